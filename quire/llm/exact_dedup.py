@@ -36,7 +36,8 @@ def heavy_hashes(hashes: DataFrame, column: str, tracked: int = TRACKED, heavy:
     """The (at most ``heavy``) most frequent values of a bigint column, as a column ``item``."""
     by_task = hashes.groupBy(F.spark_partition_id().alias("task")).agg(F.expr(f"approx_top_k_accumulate({column}, {tracked})").alias("sketch"))
     some = by_task.groupBy((F.col("task") % FAN_IN).alias("some")).agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"))
-    whole = some.agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"))
+    # grouped, as tasks without rows would else hand on sketches without a type
+    whole = some.groupBy((F.col("some") >= 0).alias("all")).agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"))
     return whole.selectExpr(f"inline(approx_top_k_estimate(sketch, {heavy}))").select("item")
 
 
@@ -52,10 +53,7 @@ def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", trac
     own = text_or_empty(text)
     digests = cut(df.select(F.col(doc_id).alias("doc_id"), F.sha2(normalised(own), 256).alias("text_sha256"), F.length(own).alias("n")))
     hashed = digests.withColumn("h", F.xxhash64("text_sha256"))
-    if digests.isEmpty():
-        heavy_ones = hashed.select(F.col("h").alias("item"))
-    else:
-        heavy_ones = heavy_hashes(hashed, "h", tracked, heavy)
+    heavy_ones = heavy_hashes(hashed, "h", tracked, heavy)
     order = F.struct(F.col("n"), F.col("doc_id").isNotNull().alias("known"), (-F.col("doc_id")).alias("small"))
     verified = (
         hashed.join(F.broadcast(heavy_ones), F.col("h") == F.col("item"), "left_semi")
