@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe_codec, exact_dedup, token_counts, url_filter
+from quire.llm import bpe_codec, exact_dedup, packing, token_counts, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_token_counts": token_counts.op1_token_counts,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op8_url_filter": url_filter.op8_url_filter,
+        "op9_best_fit_packing": packing.op9_best_fit_packing,
         "op10_bpe_codec": bpe_codec.op10_bpe_codec,
     }
 

@@ -97,14 +97,7 @@ def count_tokens(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: st
             for one in _rows(batch):
                 total = 0
                 for stretch in stretches(one) if by_unit else ():
-                    parts = units(stretch)
-                    if missing := list(set(parts).difference(cache)):
-                        found = dict(zip(missing, encode(missing), strict=True))
-                        if len(cache) + len(found) > cache.limit:
-                            missing = list(set(parts).difference(found, cache.base))
-                            found |= {k: cache[k] for k in missing}
-                        cache.add(found)
-                    total += sum(map(cache.__getitem__, parts))
+                    total += sum(cache.values_of(units(stretch), encode))
                 counts.append(total if by_unit else encode([one])[0])
             n_bytes = pa.compute.cast(pa.compute.binary_length(batch.column(0)), pa.int64())
             n_tokens = pa.array(counts, pa.int64())

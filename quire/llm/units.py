@@ -10,7 +10,7 @@ all that the pattern's does, so the cuts taken here are some of the certain ones
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 _WHITE_THEN_SPACE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S) ")
@@ -41,8 +41,16 @@ class BoundedCache(dict):
         self.base, self.limit = base or {}, limit + len(base or {})
 
     def add(self, new: dict) -> None:
-        """``new`` is kept even where it alone is more than the limit: the caller still needs it."""
         if len(self) + len(new) > self.limit:
             self.clear()
             self.update(self.base)
         self.update(new)
+
+    def values_of(self, keys: list, make: Callable[[list], list]) -> Iterator:
+        """The values of ``keys`` in order; ``make`` gives those of a list of keys that aren't held yet."""
+        if missing := list(set(keys).difference(self)):
+            new = dict(zip(missing, make(missing), strict=True))
+            if len(self) + len(new) > self.limit:
+                new |= {k: self[k] for k in set(keys).difference(new, self.base)}
+            self.add(new)
+        return map(self.__getitem__, keys)
