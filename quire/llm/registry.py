@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe_codec, exact_dedup, packing, simhash, token_counts, url_filter
+from quire.llm import bpe_codec, exact_dedup, packing, quality, simhash, token_counts, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_token_counts": token_counts.op1_token_counts,
         "op3_simhash": simhash.op3_simhash,
+        "op5_quality": quality.op5_quality,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op8_url_filter": url_filter.op8_url_filter,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
