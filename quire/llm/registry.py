@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe_codec, exact_dedup, packing, quality, simhash, token_counts, url_filter
+from quire.llm import bpe_codec, exact_dedup, html_text, packing, quality, simhash, token_counts, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_token_counts": token_counts.op1_token_counts,
+        "op2_html_text": html_text.op2_html_text,
         "op3_simhash": simhash.op3_simhash,
         "op5_quality": quality.op5_quality,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
