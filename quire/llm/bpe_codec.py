@@ -20,21 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.shared import table, text_or_empty, tokenizer_path
-from quire.llm.units import BoundedCache, stretches, units
+from quire.llm.units import PATTERN, BoundedCache, byte_letters, stretches, units
 
-#: How the byte-level pattern splits text before merges.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Entries of each of a worker's caches: fragments, and units of text.
 CACHED = 150_000
 
 
-def byte_letters() -> dict[str, int]:
-    """The letters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from U+0100 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class ForcedBoundaryBpe:
     """A byte-level BPE tokenizer read from a ``tokenizers`` file."""
 

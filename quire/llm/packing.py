@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.shared import cut, table, text_or_empty
 from quire.llm.token_counts import cuttable, load_tokenizer
-from quire.llm.units import BoundedCache, stretches, units
+from quire.llm.units import BoundedCache, UnitEncoder, stretches, units
 
 #: Tokens of a sequence, and the id that ends a document.
 CAPACITY, END = 2048, 0
@@ -182,9 +182,7 @@ def piece_documents(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end
         worker = load_tokenizer(tokenizer)
         by_unit, cache, tail = cuttable(worker), BoundedCache(CACHED), np.array([end], "<u4").tobytes()
 
-        def encode(texts: list[str]) -> list[bytes]:
-            return [np.array(x.ids, "<u4").tobytes() for x in worker.encode_batch_fast(texts, add_special_tokens=False)]
-
+        encode = UnitEncoder(worker).ids if by_unit else lambda texts: [np.array(x.ids, "<u4").tobytes() for x in worker.encode_batch_fast(texts, add_special_tokens=False)]
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
             for i, one in enumerate(batch.column(0).to_pylist()):

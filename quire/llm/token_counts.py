@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.shared import table, text_or_empty, tokenizer_path
-from quire.llm.units import BoundedCache, stretches, units
+from quire.llm.units import BoundedCache, UnitEncoder, stretches, units
 
 #: Pre-tokens that a task's summary holds at most while counting, and reports.
 SUMMARY, REPORTED = 100_000, 1000
@@ -85,13 +85,13 @@ def count_tokens(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: st
     loaded = load_tokenizer(tokenizer)
     by_unit = cuttable(loaded)
     first: list[str] = frequent_units(own.select("text")) if by_unit else []
-    lengths = [len(x.ids) for x in loaded.encode_batch_fast(first, add_special_tokens=False)]
+    lengths = UnitEncoder(loaded).counts(first) if first else []
     broadcast = df.sparkSession.sparkContext.broadcast(dict(zip(first, lengths, strict=True)))
 
     def count(batches):
         worker = load_tokenizer(tokenizer)
         cache = BoundedCache(CACHED, broadcast.value)
-        encode = lambda texts: [len(x.ids) for x in worker.encode_batch_fast(texts, add_special_tokens=False)]
+        encode = UnitEncoder(worker).counts if by_unit else lambda texts: [len(x.ids) for x in worker.encode_batch_fast(texts, add_special_tokens=False)]
         for batch in batches:
             counts = []
             for one in _rows(batch):
