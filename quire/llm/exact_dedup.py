@@ -73,7 +73,7 @@ def drop_exact_copies(df: DataFrame) -> DataFrame:
     """Documents that stay, with their own columns; rows without a doc_id can't be told apart and stay."""
     groups = exact_groups(df)
     dropped = groups.where(~F.col("kept")).select("doc_id")
-    return df.join(dropped, "doc_id", "left_anti")
+    return df.join(dropped, "doc_id", "left_anti").select(*[f"`{c}`" for c in df.columns])
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe_codec, exact_dedup, html_text, packing, quality, simhash, token_counts, url_filter
+from quire.llm import ball_tree, bpe_codec, exact_dedup, html_text, packing, quality, simhash, token_counts, url_filter
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_simhash": simhash.op3_simhash,
         "op5_quality": quality.op5_quality,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op7_topk_search": ball_tree.op7_topk_search,
         "op8_url_filter": url_filter.op8_url_filter,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
         "op10_bpe_codec": bpe_codec.op10_bpe_codec,
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": exact_dedup.OP6_SQL, "op8_url_filter": url_filter.OP8_SQL}
+    return {"op6_exact_dedup": exact_dedup.OP6_SQL, "op7_topk_search": ball_tree.OP7_SQL, "op8_url_filter": url_filter.OP8_SQL}
