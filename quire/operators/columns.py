@@ -194,7 +194,7 @@ def best_overlap(words: DataFrame, spans: DataFrame, tolerance: float = 1.5, key
     by = words.withColumn("__w", F.monotonically_increasing_id())
     overlap = F.least("x1", "s1") - F.greatest("x0", "s0")
     joined = by.join(s, list(keys)).where((F.col("st") <= F.col("top") + tolerance) & (F.col("sb") >= F.col("bottom") - tolerance) & (overlap > 0))
-    best = joined.groupBy("__w").agg(F.max_by("attributes", F.struct(overlap, -F.col("s0"))).alias("attributes"))
+    best = joined.groupBy("__w").agg(F.max_by("attributes", F.struct(overlap, -F.col("s0"), "attributes")).alias("attributes"))
     return by.join(best, "__w", "left").drop("__w")
 
 

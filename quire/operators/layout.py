@@ -124,28 +124,33 @@ def recursive_blocks(blocks: DataFrame, depth: int = 3, gap: float = 0.05, keys=
 
     Each cut depends on the one before, so a page is worked on in Python.
     """
+    import numpy as np
     import pandas as pd
 
-    def cut(page: pd.DataFrame, path: str, left: int) -> pd.Series:
-        out = pd.Series(path, index=page.index)
-        if left == 0 or len(page) < 2:
-            return out
-        best = None
-        for lo, hi, size, name in (("x0", "x1", page["page_width"].iloc[0], "v"), ("top", "bottom", page["page_height"].iloc[0], "h")):
-            order = page.sort_values([lo, hi], kind="stable")
-            ends = order[hi].cummax().shift()
-            gaps = (order[lo] - ends) / size
-            if gaps.max() > gap and (best is None or gaps.max() > best[0]):
-                best = (gaps.max(), order.index[: int(gaps.reset_index(drop=True).idxmax())], name)
-        if best:
-            first = page.index.isin(best[1])
-            out[first] = cut(page[first], f"{path}{best[2]}0", left - 1)
-            out[~first] = cut(page[~first], f"{path}{best[2]}1", left - 1)
-        return out
+    def widest(lo, hi, size):
+        """(gap, rows before it) of the widest gap between intervals, as a share of ``size``."""
+        order = np.argsort(lo, kind="stable")
+        gaps = (lo[order][1:] - np.maximum.accumulate(hi[order])[:-1]) / size
+        at = int(gaps.argmax())
+        return gaps[at], order[: at + 1]
+
+    def cut(rows, boxes, sizes, paths, path: str, left: int) -> None:
+        paths[rows] = path
+        if left == 0 or len(rows) < 2:
+            return
+        found = [(*widest(boxes[rows, i], boxes[rows, i + 1], sizes[i // 2]), name) for i, name in ((0, "v"), (2, "h"))]
+        size, first, name = max(found, key=lambda x: x[0])
+        if size > gap:
+            inside = np.zeros(len(rows), bool)
+            inside[first] = True
+            cut(rows[inside], boxes, sizes, paths, f"{path}{name}0", left - 1)
+            cut(rows[~inside], boxes, sizes, paths, f"{path}{name}1", left - 1)
 
     def fold(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.reset_index(drop=True)
-        return page.assign(block_path=cut(page, "", depth))
+        paths = np.full(len(page), "", object)
+        sizes = page["page_width"].iloc[0], page["page_height"].iloc[0]
+        cut(np.arange(len(page)), page[["x0", "x1", "top", "bottom"]].to_numpy(float), sizes, paths, "", depth)
+        return page.assign(block_path=paths)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.schema)
     return blocks.groupBy(*keys).applyInPandas(fold, fields + ", block_path string")

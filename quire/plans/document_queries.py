@@ -1 +1,330 @@
+"""Queries over documents as rows: vocabularies, headings, sections, entities, reports, learning."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quire.functions.text import heading_key
+from quire.operators import entities, headings, learning, lines, report, sections
+from quire.operators.vocabulary import extend, unique_variants
+from quire.session import table
+from quire.sources.readers import pages_to_lines
+
 Q, SQL = {}, {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        Q[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Conversations as documents: what the user says first names the section that follows.
+TALK_SQL = """talk as (select conv_id as doc_id, cast(turn as integer) as line_no, text, case when role = 'user' and turn % 4 = 0 then substr(text, 1, 12) end as canon from conversations),
+seg as (select *, coalesce(last_value(canon ignore nulls) over w, 'Contact Information') as section, cast(count(canon) over w as integer) as section_id from talk
+  window w as (partition by doc_id order by line_no rows between unbounded preceding and current row))"""
+
+
+def talk(spark, sf):
+    said = F.when((F.col("role") == "user") & (F.col("turn") % 4 == 0), F.substring("text", 1, 12))
+    return table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("line_no"), "text", said.alias("canon"))
+
+
+@query(f"with {TALK_SQL} select doc_id, section_id, section, count(*) as n_lines, cast(sum(length(text)) as bigint) as n_chars from seg group by all")
+def section_segments(spark, sf):
+    s = sections.segment(talk(spark, sf))
+    return s.groupBy("doc_id", "section_id", "section").agg(F.count("*").alias("n_lines"), F.sum(F.length("text")).alias("n_chars"))
+
+
+SECTIONS_SQL = TALK_SQL + """, secs as (select doc_id, section_id, section, string_agg(text, chr(10) order by line_no) filter (where canon is null) as content, cast(count(*) filter (where canon is null) as integer) as n_lines from seg group by all having count(*) filter (where canon is null) > 0)"""
+
+
+@query(f"with {SECTIONS_SQL} select doc_id, section_id, section, content, n_lines from secs")
+def section_contents(spark, sf):
+    return sections.section_table(sections.segment(talk(spark, sf)))
+
+
+# Short names, so that they repeat.
+SHORT_SQL = """lns as (select conv_id as doc_id, cast(turn as integer) as line_no, text, case when length(text) % 3 = 0 then 'S' || (length(text) % 4) end as canon from conversations),
+sg as (select *, coalesce(last_value(canon ignore nulls) over w, 'Unknown') as section, cast(count(canon) over w as integer) as section_id from lns window w as (partition by doc_id order by line_no rows between unbounded preceding and current row)),
+sc as (select doc_id, section_id, section, string_agg(text, chr(10) order by line_no) filter (where canon is null) as content, cast(count(*) filter (where canon is null) as integer) as n_lines from sg group by all having count(*) filter (where canon is null) > 0)"""
+
+
+def short_segments(spark, sf):
+    n = F.length("text")
+    named = F.when(n % 3 == 0, F.concat(F.lit("S"), (n % 4).cast("string")))
+    d = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("line_no"), "text", named.alias("canon"))
+    return sections.segment(d, preset="splitter")
+
+
+@query(f"with {SHORT_SQL} select doc_id, min(section_id) as section_id, section, string_agg(content, chr(10) order by section_id) as content, cast(sum(n_lines) as bigint) as n_lines from sc group by doc_id, section")
+def section_first_seen_merge(spark, sf):
+    return sections.merge_equal(sections.section_table(short_segments(spark, sf)))
+
+
+@query(f"""with {SHORT_SQL}, r as (select *, case when lag(section) over (partition by doc_id order by line_no) is not distinct from section then 0 else 1 end as new from sg),
+q as (select *, cast(sum(new) over (partition by doc_id order by line_no rows unbounded preceding) as integer) as run_id from r) select doc_id, run_id, section, count(*) as n from q group by all""")
+def section_adjacent_merge(spark, sf):
+    return sections.merge_adjacent(short_segments(spark, sf)).groupBy("doc_id", "run_id", "section").agg(F.count("*").alias("n"))
+
+
+@query(f"""with {SHORT_SQL} select doc_id, arg_min(content, section_id) filter (where section = 'S0') as "S0", arg_min(content, section_id) filter (where section = 'S1') as "S1", arg_min(content, section_id) filter (where section = 'S2') as "S2",
+ arg_min(content, section_id) filter (where section = 'S3') as "S3", arg_min(content, section_id) filter (where section = 'Unknown') as "Unknown" from sc group by doc_id""")
+def section_pivot(spark, sf):
+    return sections.pivot_sections(sections.section_table(short_segments(spark, sf)), ["S0", "S1", "S2", "S3", "Unknown"])
+
+
+@query(f"with {SHORT_SQL} select section, count(distinct doc_id) as n_docs, count(*) as n_sections from sc group by 1 order by 2 desc, 1 limit 10")
+def section_frequency_top10(spark, sf):
+    return report.section_frequency(sections.section_table(short_segments(spark, sf)))
+
+
+@query(f"""with {SHORT_SQL}, n as (select doc_id, section_id, case section_id % 5 when 0 then 'X' when 1 then 'My Experience' when 2 then 'Year 2019 things' when 3 then 'a b c d e f g h i j' else 'Odd' end as section, n_lines from sc)
+select doc_id, section_id, section, n_lines, case when regexp_matches(lower(section), 'experience|education') then null when length(section) <= 2 then 'too_short' when regexp_matches(section, '\\b(19|20)\\d{{2}}\\b') then 'date'
+  when section like 'a b%' then 'too_long' when n_lines < 2 then 'few_lines' end as unknown_reason,
+  case when regexp_matches(lower(section), 'experience|education') then null when length(section) <= 2 then 'MERGE_WITH_NEXT' when section like 'Year%' or section like 'a b%' then 'TREAT_AS_CONTENT' when n_lines < 2 then 'MERGE_WITH_NEXT' end as suggestion from n""")
+def unknown_sections(spark, sf):
+    s = sections.section_table(short_segments(spark, sf))
+    k = F.col("section_id") % 5
+    named = F.when(k == 0, "X").when(k == 1, "My Experience").when(k == 2, "Year 2019 things").when(k == 3, "a b c d e f g h i j").otherwise("Odd")
+    return sections.corrections(sections.unknown_reasons(s.select("doc_id", "section_id", named.alias("section"), "n_lines")))
+
+
+KEY_SQL = r"trim(regexp_replace(lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '[•·|]', ' ', 'g'), '&', ' and ', 'g'), '[—–]', '-', 'g'), '[^A-Za-z0-9\s:.-]', ' ', 'g'), '\s+', ' ', 'g'))), ':$', ''))"
+# The vocabulary of documents: short lines that several documents share.
+VOCAB_SQL = rf"""dl as (select doc_id, g - 1 as line_no, string_split(text, chr(10))[g] as line from (select doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) as g from documents)),
+kl as (select doc_id, line_no, line, {KEY_SQL} as key from dl where length(line) between 3 and 60 and length(line) - length(replace(line, ' ', '')) > 0 and not regexp_full_match(trim(line), '(\p{{L}}\s+)+\p{{L}}')),
+vocab as (select key as variant, regexp_replace(key, '[^a-z0-9]+', '', 'g') as nosep, 'H' || (length(key) % 7) as canon, 0 as prio from kl where key <> '' group by key having count(distinct doc_id) >= 3)"""
+
+
+def short_lines(spark, sf):
+    found = lines.text_lines(table(spark, sf, "documents"))
+    spaced = F.regexp(F.trim("text"), F.lit(r"^(\p{L}\s+)+\p{L}$"))
+    return found.where(F.length("text").between(3, 60) & F.contains("text", F.lit(" ")) & ~spaced)
+
+
+def document_vocab(spark, sf):
+    keys = short_lines(spark, sf).select("doc_id", heading_key("text").alias("variant")).where("variant <> ''")
+    shared = keys.groupBy("variant").agg(F.countDistinct("doc_id").alias("n")).where("n >= 3")
+    return unique_variants(shared.select("variant", F.concat(F.lit("H"), (F.length("variant") % 7).cast("string")).alias("canon"), F.lit(0).alias("prio")))
+
+
+@query(f"""with {VOCAB_SQL}, loose as (select nosep, max(canon) as canon from vocab group by 1)
+select coalesce(e.canon, l.canon) as canon, case when e.canon is not null then 'exact' when l.canon is not null then 'despaced' end as match, count(*) as n
+from kl left join vocab e on e.variant = kl.key left join loose l on l.nosep = regexp_replace(kl.key, '[^a-z0-9]+', '', 'g') group by all""")
+def heading_vocab_join(spark, sf):
+    found = headings.match_headings(short_lines(spark, sf), document_vocab(spark, sf), by_token=False)
+    return found.groupBy("canon", "match").agg(F.count("*").alias("n"))
+
+
+PHRASES = [("red widget", "Skills"), ("hot gear", "Tools"), ("blue", "Colour"), ("bolt", "Part"), ("ring", "Part"), ("small ring", "Jewel"), ("red", "Colour"), ("gear", "Part"), ("green", "Colour"), ("widget", "Part")]
+PHRASE_SQL = "vocab(variant, canon) as (values " + ", ".join(f"('{v}', '{c}')" for v, c in PHRASES) + ")"
+
+
+def phrases(spark):
+    return unique_variants(spark.createDataFrame([(v, c, i) for i, (v, c) in enumerate(PHRASES)], "variant string, canon string, prio int"))
+
+
+@query(f"""with {PHRASE_SQL}, w as (select p_partkey, string_split(p_name, ' ') as ws from part),
+g as (select p_partkey, n, i - 1 as pos, array_to_string(ws[i : i + n - 1], ' ') as gram from (select *, unnest(range(1, len(ws) - n + 2)) as i from (select *, unnest(range(1, least(3, len(ws)) + 1)) as n from w))),
+h as (select g.*, canon from g join vocab on gram = variant),
+f as (select * from h where not exists (select 1 from h o where o.p_partkey = h.p_partkey and o.n > h.n and o.pos <= h.pos and o.pos + o.n >= h.pos + h.n)),
+e as (select p_partkey as line_id, canon, cast(min(pos) as integer) as pos from f group by all)
+select * from e where line_id in (select line_id from e group by 1 having count(*) >= 2)""")
+def multi_heading_ngrams(spark, sf):
+    named = table(spark, sf, "part").select(F.col("p_partkey").alias("line_id"), F.col("p_name").alias("text"))
+    return headings.ngram_sections(named, phrases(spark))
+
+
+ROLES = [("standard", "A"), ("promo item", "B"), ("small", "C"), ("economy class", "D"), ("red", "E"), ("hot gear", "F")]
+ROLE_SQL = "vocab(variant, canon, prio) as (values " + ", ".join(f"('{v}', '{c}', {i})" for i, (v, c) in enumerate(ROLES)) + ")"
+
+
+@query(f"""with {ROLE_SQL}, r as (select p_partkey, lower(p_type) as role from part union all select p_partkey, p_name from part)
+select p_partkey, role, coalesce((select canon from vocab where variant = role), (select arg_min(canon, prio) from vocab where contains(role, variant) or contains(variant, role))) as canon from r""")
+def role_theta_match(spark, sf):
+    p = table(spark, sf, "part")
+    roles = p.select("p_partkey", F.lower("p_type").alias("role")).unionByName(p.select("p_partkey", F.col("p_name").alias("role")))
+    vocab = unique_variants(spark.createDataFrame([(v, c, i) for i, (v, c) in enumerate(ROLES)], "variant string, canon string, prio int"))
+    return headings.substring_match(roles, vocab)
+
+
+@query(f"""with {ROLE_SQL}, learned(variant, canon) as (values ('new one', 'A'), ('other', 'Z'), ('small', 'B')), u as (select variant, canon, prio from vocab union all select variant, case when canon in (select canon from vocab) then canon else 'Additional Information' end, 1048576 from learned)
+select variant, regexp_replace(variant, '[^a-z0-9]+', '', 'g') as nosep, arg_max(canon, prio) as canon, cast(min(prio) as integer) as prio from u group by variant""")
+def vocabulary_extend(spark, sf):
+    base = spark.createDataFrame([(v, c, i) for i, (v, c) in enumerate(ROLES)], "variant string, canon string, prio int")
+    return extend(base, spark.createDataFrame([("new one", "A"), ("other", "Z"), ("small", "B")], "variant string, canon string"))
+
+
+HEADING_SQL = r"""hd as (select lower(trim(split_part(text, ' ', 1))) as heading, cast(len(string_split(text, ' ')) % 9 as integer) as cw from conversations),
+st as (select heading, count(*) as freq, avg(cw) as context_words from hd where heading <> '' group by 1),
+vj as (select st.*, canon from st left join (values ('the', 'Article'), ('en', 'Preposition')) v(variant, canon) on variant = heading),
+vd as (select heading, freq, round(context_words, 6) as context_words, canon, case when canon is not null then 'matched' when length(heading) <= 2 or regexp_matches(heading, '[0-9]') or heading in ('the','and','for','with','page','name','date','from','this','that')
+  or regexp_matches(heading, 'inc|ltd|llc|corp|pvt|limited|technologies|solutions|company') or context_words < 3 then 'false_positive' when freq >= 3 then 'proposed' else 'uncertain' end as verdict from vj)"""
+
+
+def heading_rows(spark, sf):
+    words = F.split("text", " ")
+    return table(spark, sf, "conversations").select(words[0].alias("heading"), (F.size(words) % 9).alias("context_words"))
+
+
+def _stats(spark, sf):
+    vocab = spark.createDataFrame([("the", "Article"), ("en", "Preposition")], "variant string, canon string")
+    return learning.heading_statistics(heading_rows(spark, sf), vocab)
+
+
+@query(f"with {HEADING_SQL} select * from vd")
+def heading_statistics(spark, sf):
+    return _stats(spark, sf).withColumn("context_words", F.round("context_words", 6))
+
+
+@query(f"with {HEADING_SQL} select heading, freq from vd where verdict = 'proposed' and heading not like 'a%'")
+def new_section_proposals(spark, sf):
+    stats = _stats(spark, sf)
+    return learning.proposals(stats, stats.where("heading like 'a%'").select("heading")).select("heading", "freq")
+
+
+@query(r"""with m as (select page_id, regexp_extract_all(html, '(?is)<(h[1-6]|p|li)(?:\s[^>]*)?>([^<]*)', 1) as tags, regexp_extract_all(html, '(?is)<(h[1-6]|p|li)(?:\s[^>]*)?>([^<]*)', 0) as raw from pages) select page_id as doc_id, cast(len(list_filter(tags, lambda t: t = 'h1')) as bigint) as n_h1 from m""")
+def html_headings(spark, sf):
+    found = pages_to_lines(table(spark, sf, "pages"))
+    return found.groupBy("doc_id").agg(F.count_if(F.col("tag") == "h1").alias("n_h1"))
+
+
+# Entities made of events: groups and scores by arithmetic, words of a few letters more or less.
+GROUPS_SQL = "case event_id % 7 when 0 then 'COMPANY' when 1 then 'ROLE' when 2 then 'DATE' when 3 then 'DATE' when 4 then 'TECH' when 5 then 'TECH' else 'ROLE' end"
+ENT_SQL = f"""ents as (select user_id as doc_id, cast(event_id as integer) as pos, case when event_id % 11 = 0 then '##' || event_type when event_id % 13 = 0 then substr(event_type, 1, 3) else event_type || (event_id % 9) end as word,
+  {GROUPS_SQL} as entity_group, (event_id % 10) / 10.0::double as score from events)"""
+
+
+def ents(spark, sf):
+    e = F.col("event_id")
+    word = F.when(e % 11 == 0, F.concat(F.lit("##"), "event_type")).when(e % 13 == 0, F.substring("event_type", 1, 3)).otherwise(F.concat("event_type", (e % 9).cast("string")))
+    k = e % 7
+    group = F.when(k == 0, "COMPANY").when(k == 1, "ROLE").when(k.isin(2, 3), "DATE").when(k.isin(4, 5), "TECH").otherwise("ROLE")
+    return table(spark, sf, "events").select(F.col("user_id").alias("doc_id"), e.cast("int").alias("pos"), word.alias("word"), group.alias("entity_group"), ((e % 10) / F.lit(10.0)).alias("score"))
+
+
+@query(f"""with recursive {ENT_SQL}, o as (select *, row_number() over (partition by doc_id order by pos) as i from ents),
+walk as (select doc_id, i, pos as start, word, entity_group, score, 1 as n from o where i = 1 union all
+  select o.doc_id, o.i, case when j then w.start else o.pos end, case when j then w.word || case when starts_with(o.word, '##') then replace(o.word, '##', '') else o.word end else o.word end,
+    case when j then w.entity_group else o.entity_group end, case when j then w.score + o.score else o.score end, case when j then w.n + 1 else 1 end
+  from walk w join (select o.*, starts_with(o.word, '##') as part from o) o on o.doc_id = w.doc_id and o.i = w.i + 1,
+  lateral (select o.part or (w.n = 1 and w.entity_group = o.entity_group and length(o.word) <= 3) as j))
+select doc_id, cast(start as integer) as pos, arg_max(trim(word), n) as word, any_value(entity_group) as entity_group, round(arg_max(score / n, n), 6) as score from walk group by doc_id, start""")
+def subword_merge(spark, sf):
+    return entities.merge_word_parts(ents(spark, sf)).withColumn("score", F.round("score", 6))
+
+
+@query(f"""with {ENT_SQL} select doc_id, pos, word, entity_group, score from ents where not starts_with(word, '##') and length(trim(word)) > 1 and not (entity_group = 'TECH' and length(word) <= 2 and score < 0.7)
+ and lower(word) not in ('the','and','or','in','at','to','for','of','a','an') and score >= 0.4""")
+def entity_filter(spark, sf):
+    return entities.sound(ents(spark, sf), 0.4)
+
+
+@query(f"""with {ENT_SQL}, r as (select *, row_number() over (partition by doc_id, lower(word), entity_group order by pos) as k from ents) select doc_id, pos, word, entity_group, score from r where k = 1""")
+def ordered_distinct(spark, sf):
+    return entities.ordered_distinct(ents(spark, sf).withColumn("__l", F.lower("word")), ["doc_id", "__l", "entity_group"]).drop("__l")
+
+
+@query()
+def experience_state_machine(spark, sf):
+    found = entities.experiences(ents(spark, sf))
+    return found.select("doc_id", "exp_no", "company", "role", "from_date", "to_date", F.size("skills").alias("n_skills"))
+
+
+@query(f"""with {ENT_SQL}, s as (select doc_id, coalesce(arg_min(word, pos) filter (where entity_group = 'ROLE' and score > 0.6), arg_min(word, pos) filter (where entity_group = 'ROLE')) as role,
+ list(word order by pos) filter (where entity_group = 'DATE' and score > 0.6) as ds from ents group by 1)
+select e.doc_id, pos, word as company, role, ds[1] as from_date, ds[2] as to_date from ents e join s using (doc_id) where entity_group = 'COMPANY'""")
+def experiences_by_company(spark, sf):
+    return entities.experiences_by_company(ents(spark, sf))
+
+
+@query(f"""with {ENT_SQL}, t as (select doc_id, pos, word, ntile(5) over (partition by doc_id order by pos) as part from ents where entity_group = 'TECH') select * replace (cast(part as integer) as part) from t""")
+def even_allotment_ntile(spark, sf):
+    return entities.allot_evenly(ents(spark, sf).where("entity_group = 'TECH'"), 5).select("doc_id", "pos", "word", "part")
+
+
+@query(f"""with {ENT_SQL} select doc_id, arg_min(word, pos) filter (where entity_group = 'ROLE') as primary_role from ents group by 1""")
+def first_non_null(spark, sf):
+    e = ents(spark, sf).select("doc_id", F.col("pos").alias("exp_no"), F.when(F.col("entity_group") == "ROLE", F.col("word")).alias("role"))
+    return entities.primary_role(e)
+
+
+@query(f"""with {ENT_SQL}, f as (select doc_id, lower(trim(word)) as l, trim(word) as word, pos, row_number() over (partition by doc_id, lower(trim(word)) order by pos) as k from ents where entity_group = 'TECH' and length(trim(word)) between 2 and 40 and not starts_with(word, '##'))
+select doc_id, string_agg(word, ',' order by pos) as skills from f where k = 1 group by 1""")
+def skills_cleaned(spark, sf):
+    own = ents(spark, sf).where("entity_group = 'TECH'").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("ws"))
+    return own.select("doc_id", F.array_join(entities.clean_skills(F.transform("ws", lambda w: w["word"])), ",").alias("skills")).where("skills <> ''")
+
+
+@query(f"""with {ENT_SQL} select entity_group, count(*) as n, round(count(*) filter (where starts_with(word, '##')) / count(*), 6) as part_rate, round(count(*) filter (where length(word) <= 1) / count(*), 6) as single_rate,
+ round(count(*) filter (where score < 0.5) / count(*), 6) as low_rate from ents group by 1""")
+def entity_fragmentation(spark, sf):
+    f = report.fragmentation(ents(spark, sf), ["entity_group"])
+    return f.select("entity_group", "n", *[F.round(c, 6).alias(c) for c in ("part_rate", "single_rate", "low_rate")])
+
+
+@query("""select d.source, count(*) as total, count(*) filter (where length(trim(text)) >= 50) as successful, count(*) filter (where length(trim(text)) < 50) as empty, count(*) filter (where l.quality = 0) as failed, round(avg(n_chars / 1000.0::double), 6) as avg_seconds
+from documents d left join labels l using (doc_id) group by 1""")
+def batch_summary(spark, sf):
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    rows = d.select("source", report.text_status("text").alias("status"), (F.col("n_chars") / F.lit(1000.0)).alias("seconds"), F.when(F.col("quality") == 0, "bad").alias("error"))
+    return report.batch_summary(rows, ["source"]).withColumn("avg_seconds", F.round("avg_seconds", 6))
+
+
+@query("""select l.doc_id, l.quality, l.toxic from labels l where l.doc_id % 3 <> 0 union all select doc_id, 9, 9 from documents where doc_id % 3 = 0""")
+def upsert_by_key(spark, sf):
+    new = table(spark, sf, "documents").where("doc_id % 3 = 0").select("doc_id", F.lit(9).alias("quality"), F.lit(9).alias("toxic"))
+    return report.upsert(table(spark, sf, "labels"), new, ["doc_id"])
+
+
+@query("select doc_id, source from documents where doc_id not in (select doc_id from labels)")
+def unlabeled_anti(spark, sf):
+    return report.not_done(table(spark, sf, "documents").select("doc_id", "source"), table(spark, sf, "labels"), ["doc_id"])
+
+
+@query("""with a as (select doc_id, quality from labels where doc_id % 2 = 0), b as (select doc_id, toxic from labels where doc_id % 3 = 0)
+select coalesce(a.doc_id, b.doc_id) as doc_id, quality as left_value, toxic as right_value, case when b.doc_id is null then 'left_only' when a.doc_id is null then 'right_only' when quality is not distinct from toxic then 'equal' else 'different' end as assessment
+from a full join b on a.doc_id = b.doc_id""")
+def full_outer_compare(spark, sf):
+    labels = table(spark, sf, "labels")
+    return report.compare(labels.where("doc_id % 2 = 0").withColumnRenamed("quality", "v"), labels.where("doc_id % 3 = 0").withColumnRenamed("toxic", "v"), "doc_id", "v")
+
+
+@query("""with a as (select o_custkey as doc_id, o_orderkey as priority, o_totalprice / 5000.0 as quality, o_orderstatus as data from orders),
+r as (select *, row_number() over (partition by doc_id order by case when quality >= 60 then 0 else 1 end, case when quality >= 60 then priority end, quality desc, priority) as k from a) select doc_id, priority, round(quality, 6) as quality, data from r where k = 1""")
+def best_attempt(spark, sf):
+    a = table(spark, sf, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("priority"), (F.col("o_totalprice") / F.lit(5000.0)).alias("quality"), F.col("o_orderstatus").alias("data"))
+    return report.best_attempt(a).withColumn("quality", F.round("quality", 6))
+
+
+@query("""select o_orderkey, array_to_string(list_filter([case when not o_totalprice between 1000 and 400000 then 'o_totalprice' end, case when not o_custkey between 10 and 1000000 then 'o_custkey' end], lambda x: x is not null), ',') as errors,
+ o_totalprice between 1000 and 400000 and o_custkey between 10 and 1000000 as is_valid from orders""")
+def feature_validation(spark, sf):
+    v = report.validate_features(table(spark, sf, "orders"), {"o_totalprice": (1000, 400000), "o_custkey": (10, 1000000)})
+    return v.select("o_orderkey", F.concat_ws(",", "validation_errors").alias("errors"), "is_valid")
+
+
+@query("""with v as (select vec_id, label, embedding from embeddings), q as (select * from v where vec_id >= 20), s as (select q.vec_id, k.vec_id as k_id, round(list_cosine_similarity(cast(q.embedding as double[]), cast(k.embedding as double[])), 9) as sim from q, (select * from v where vec_id < 20) k),
+b as (select vec_id, max(sim) as similarity, arg_min(k_id, row(-sim, k_id)) as k_id from s group by 1)
+select vec_id, case when similarity >= 0.2 then 'v' || lpad(cast(k_id as varchar), 2, '0') end as canon, round(similarity, 6) as similarity from b""")
+def embedding_argmax(spark, sf):
+    e = table(spark, sf, "embeddings").withColumnRenamed("embedding", "vector")
+    variants = e.where("vec_id < 20").select(F.concat(F.lit("v"), F.lpad(F.col("vec_id").cast("string"), 2, "0")).alias("canon"), "vector")
+    found = learning.best_similar(e.where("vec_id >= 20").select("vec_id", "vector"), variants, 0.2)
+    return found.select("vec_id", "canon", F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"""with {SHORT_SQL}, m as (select doc_id, section_id, section, content from sc) select doc_id, cast(to_json(list(struct_pack(section := section, lines := string_split(content, chr(10))) order by section_id)) as varchar) as json from m group by 1""")
+def result_json(spark, sf):
+    return report.as_json(sections.section_table(short_segments(spark, sf)))
+
+
+@query(f"with {SHORT_SQL} select doc_id, count(distinct cast(line_no % 2 as bigint)) as n_pages, count(distinct line_no % 4) as n_columns, count(*) as n_lines, cast(sum(length(text)) as bigint) as n_words from sg group by 1")
+def document_stats(spark, sf):
+    s = short_segments(spark, sf)
+    return report.document_stats(s.select("doc_id", (F.col("line_no") % 2).alias("page"), F.floor(F.col("line_no") % 4 / 2).alias("column_id"), F.length("text").alias("word_count")))

@@ -1 +1,273 @@
+"""Queries over word geometry, which is derived from ``events`` by plain arithmetic."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quire.operators import columns, layout, lines
+from quire.session import table
+
 Q, SQL = {}, {}
+KEYS = ["doc_id", "page"]
+
+WORDS_SQL = """words as (
+  select user_id as doc_id, cast(event_id % 4 as integer) as page, event_type || '-' || event_id as text, cast(event_id * 37 % 560 as double) as x0, cast(event_id * 37 % 560 + 10 + event_id % 40 as double) as x1,
+    cast(event_id * 53 % 700 as double) as top, cast(event_id * 53 % 700 + 10 + event_id % 3 as double) as bottom, 612.0::double as page_width, 792.0::double as page_height,
+    cast(8 + event_id % 5 as double) as font_size, event_id % 7 = 0 as is_bold, event_type as font from events)"""
+LINES_SQL = """numbered as (
+  select *, case when top > max(bottom) over w + 0.5 or max(bottom) over w is null then 1 else 0 end as new from words window w as (partition by doc_id, page order by top, x0, x1, text rows between unbounded preceding and 1 preceding)),
+lined as (select *, cast(sum(new) over (partition by doc_id, page order by top, x0, x1, text rows unbounded preceding) - 1 as integer) as line_no from numbered),
+ls as (select doc_id, page, line_no, string_agg(text, ' ' order by x0, text) as text, min(x0) as x0, min(top) as top, max(x1) as x1, max(bottom) as bottom, avg(bottom - top) as height, count(*) as word_count,
+  cast(length(string_agg(text, ' ' order by x0, text)) as integer) as char_count, avg(font_size) as avg_font_size, avg(case when is_bold then 1.0 else 0.0 end) as bold_ratio from lined group by doc_id, page, line_no)"""
+BINS_SQL = """hist as (select doc_id, page, cast(floor((x0 + x1) / 2 / 5) as integer) as bin, count(*) as n from words group by all),
+dense as (select s.doc_id, s.page, cast(s.bin as integer) as bin, coalesce(h.n, 0) as n from (select doc_id, page, unnest(range(min(bin), max(bin) + 1)) as bin from hist group by doc_id, page) s left join hist h using (doc_id, page, bin))"""
+SMOOTH_SQL = "smooth as (select *, sum(n) over (partition by doc_id, page order by bin rows between {b} preceding and {a} following) / {k}.0 as smooth from dense)"
+PEAKS_SQL = """marked as (select *, lag(smooth) over o as b, lead(smooth) over o as a, avg(smooth) over (partition by doc_id, page) as m from smooth window o as (partition by doc_id, page order by bin)),
+peaks as (select doc_id, page, bin, smooth from marked where b < smooth and a < smooth and smooth > 0.5 * m)"""
+COLUMNS_SQL = "cols(column_id, x_start, x_end) as (values (0, 0.0::double, 200.0::double), (1, 200.0::double, 400.0::double), (2, 410.0::double, 620.0::double))"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        Q[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def words(spark, sf):
+    e = F.col("event_id")
+    x0, top = e * 37 % 560, e * 53 % 700
+    return table(spark, sf, "events").select(
+        F.col("user_id").alias("doc_id"), (e % 4).cast("int").alias("page"), F.concat_ws("-", "event_type", e.cast("string")).alias("text"), x0.cast("double").alias("x0"), (x0 + 10 + e % 40).cast("double").alias("x1"),
+        top.cast("double").alias("top"), (top + 10 + e % 3).cast("double").alias("bottom"), F.lit(612.0).alias("page_width"), F.lit(792.0).alias("page_height"),
+        (8 + e % 5).cast("double").alias("font_size"), (e % 7 == 0).alias("is_bold"), F.col("event_type").alias("font"),
+    )
+
+
+def page_lines(spark, sf):
+    return lines.lines_of_words(lines.interval_lines(words(spark, sf)))
+
+
+def page_columns(spark, sf):
+    c = [(0, 0.0, 200.0), (1, 200.0, 400.0), (2, 410.0, 620.0)]
+    struct = F.array(*[F.struct(F.lit(i).alias("column_id"), F.lit(a).alias("x_start"), F.lit(b).alias("x_end")) for i, a, b in c])
+    return words(spark, sf).select(*KEYS).distinct().select(*KEYS, F.explode(struct).alias("c")).select(*KEYS, "c.*")
+
+
+def smooth(spark, sf, before=2, after=1):
+    return columns.moving_average(columns.dense_bins(columns.center_histogram(words(spark, sf))), before, after)
+
+
+@query(f"with {WORDS_SQL}, {BINS_SQL} select doc_id, page, bin, n from hist")
+def hist_bins(spark, sf):
+    return columns.center_histogram(words(spark, sf))
+
+
+@query(f"with {WORDS_SQL} select doc_id, page, cast(least(floor(x0 / (page_width / 20)), 19) as integer) as bin, count(*) as n from words where x0 between 0 and page_width group by all")
+def hist_equal_width(spark, sf):
+    return columns.equal_width_histogram(words(spark, sf), "x0", F.col("page_width"), 20)
+
+
+@query(f"""with {WORDS_SQL}, p as (select doc_id, page, unnest(range(cast(x0 as integer), cast(x1 as integer) + 1)) as x from words)
+select doc_id, page, cast(x as integer) as x, count(*) as n from p group by all""")
+def hist_coverage(spark, sf):
+    stretches = columns.coverage_histogram(words(spark, sf)).where("n > 0")
+    return stretches.select(*KEYS, F.explode(F.sequence(F.col("x"), F.col("x_next") - 1)).alias("x"), "n")
+
+
+@query(f"with {WORDS_SQL}, {BINS_SQL}, {SMOOTH_SQL.format(b=2, a=1, k=4)} select doc_id, page, bin, n, round(smooth, 6)::double as smooth from smooth")
+def moving_avg_asym(spark, sf):
+    return smooth(spark, sf).select(*KEYS, "bin", "n", F.round("smooth", 6).alias("smooth"))
+
+
+@query(f"with {WORDS_SQL}, {BINS_SQL}, {SMOOTH_SQL.format(b=2, a=2, k=5)}, {PEAKS_SQL} select doc_id, page, bin, round(smooth, 6)::double as smooth from peaks")
+def peaks(spark, sf):
+    return columns.peaks(smooth(spark, sf, 2, 2)).select(*KEYS, "bin", F.round("smooth", 6).alias("smooth"))
+
+
+@query(f"""with {WORDS_SQL}, {BINS_SQL}, {SMOOTH_SQL.format(b=2, a=2, k=5)}, {PEAKS_SQL},
+pairs as (select doc_id, page, bin as l, lead(bin) over o as r, smooth as lv, lead(smooth) over o as rv from peaks window o as (partition by doc_id, page order by bin)),
+low as (select p.doc_id, p.page, l, r, lv, rv, min(s.smooth) as v, arg_min(s.bin, s.smooth * 1000000 + s.bin) as bin from pairs p join smooth s on s.doc_id = p.doc_id and s.page = p.page and s.bin > l and s.bin < r where r is not null group by all)
+select doc_id, page, l as "left", r as "right", bin, round(1 - v / least(lv, rv), 6)::double as depth_ratio from low""")
+def valleys_between_peaks(spark, sf):
+    s = smooth(spark, sf, 2, 2)
+    return columns.valleys(s, columns.peaks(s)).withColumn("depth_ratio", F.round("depth_ratio", 6))
+
+
+@query(f"""with {WORDS_SQL}, {BINS_SQL}, f as (select *, n = 0 as flag from dense),
+g as (select *, row_number() over (partition by doc_id, page order by bin) - row_number() over (partition by doc_id, page, flag order by bin) as g from f)
+select doc_id, page, flag, min(bin) as start, count(*) as length from g group by doc_id, page, flag, g""")
+def rle_runs(spark, sf):
+    return columns.runs(columns.dense_bins(columns.center_histogram(words(spark, sf))), F.col("n") == 0)
+
+
+@query(f"""with {WORDS_SQL}, v as (select doc_id, page, list_sort(list(x1 - x0)) as v from words group by all)
+select doc_id, page, v[least(cast(floor(len(v) * 0.5) as integer), len(v) - 1) + 1] as p50, v[least(cast(floor(len(v) * 0.75) as integer), len(v) - 1) + 1] as p75, v[least(cast(floor(len(v) * 0.9) as integer), len(v) - 1) + 1] as p90 from v""")
+def index_percentiles(spark, sf):
+    v = words(spark, sf).groupBy(*KEYS).agg(F.collect_list(F.col("x1") - F.col("x0")).alias("v"))
+    return v.select(*KEYS, *[columns.index_percentile(F.col("v"), p).alias(f"p{int(p * 100)}") for p in (0.5, 0.75, 0.9)])
+
+
+@query(f"""with {WORDS_SQL}, g as (select *, case when top - lag(top) over (partition by doc_id, page order by top, text) > 15 then 1 else 0 end as new from words),
+n as (select *, cast(sum(new) over (partition by doc_id, page order by top, text rows unbounded preceding) as integer) as group_no from g)
+select doc_id, page, group_no, count(*) as n, min(top) as lo, max(top) as hi from n group by all""")
+def chain_clusters(spark, sf):
+    g = lines.chain_groups(words(spark, sf), KEYS, "top", 15.0, ["text"])
+    return g.groupBy(*KEYS, "group_no").agg(F.count("*").alias("n"), F.min("top").alias("lo"), F.max("top").alias("hi"))
+
+
+@query(f"with {WORDS_SQL}, {LINES_SQL} select doc_id, page, line_no, text, x0, top, x1, bottom, round(height, 6) as height, word_count, char_count, round(avg_font_size, 6) as avg_font_size, round(bold_ratio, 6)::double as bold_ratio from ls")
+def interval_merge_lines(spark, sf):
+    f = page_lines(spark, sf)
+    return f.select(*KEYS, "line_no", "text", "x0", "top", "x1", "bottom", F.round("height", 6).alias("height"), "word_count", "char_count", F.round("avg_font_size", 6).alias("avg_font_size"), F.round("bold_ratio", 6).alias("bold_ratio"))
+
+
+@query(f"""with recursive {WORDS_SQL}, o as (select *, row_number() over (partition by doc_id, page order by top, x0, text) as i from words),
+walk as (select doc_id, page, i, text, top as anchor, 0 as line_no from o where i = 1 union all
+  select o.doc_id, o.page, o.i, o.text, case when abs(o.top - w.anchor) <= 5 then w.anchor else o.top end, case when abs(o.top - w.anchor) <= 5 then w.line_no else w.line_no + 1 end from walk w join o on o.doc_id = w.doc_id and o.page = w.page and o.i = w.i + 1)
+select doc_id, page, text, cast(line_no as integer) as line_no from walk""")
+def anchor_lines(spark, sf):
+    return lines.anchor_lines(words(spark, sf), 5.0).select(*KEYS, "text", "line_no")
+
+
+@query(f"""with {WORDS_SQL}, {LINES_SQL} select doc_id, page, line_no, greatest(coalesce(top - lag(bottom) over o, 0), 0)::double as space_above, greatest(coalesce(lead(top) over o - bottom, 0), 0)::double as space_below
+from ls window o as (partition by doc_id, page order by line_no)""")
+def line_spacing_lag_lead(spark, sf):
+    return lines.line_spacing(page_lines(spark, sf)).select(*KEYS, "line_no", "space_above", "space_below")
+
+
+@query(f"""with {WORDS_SQL}, {COLUMNS_SQL} select doc_id, page, text, (select min(column_id) from cols where (x0 + x1) / 2 between x_start and x_end) as column_id from words""")
+def column_interval_join(spark, sf):
+    return columns.assign_by_center(words(spark, sf), page_columns(spark, sf)).select(*KEYS, "text", "column_id")
+
+
+@query(f"""with {WORDS_SQL}, {COLUMNS_SQL},
+first as (select w.text, min(column_id) as c from words w, cols where greatest(least(x1, x_end) - greatest(x0, x_start), 0) / greatest(x1 - x0, 1e-9) >= 0.5 group by 1),
+near as (select w.text, arg_min(column_id, abs((x0 + x1) / 2 - (x_start + x_end) / 2) * 10 + column_id) as c from words w, cols group by 1)
+select doc_id, page, w.text, coalesce(f.c, n.c) as column_id from words w left join first f using (text) join near n using (text)""")
+def nearest_column(spark, sf):
+    return columns.assign_by_overlap(words(spark, sf), page_columns(spark, sf)).select(*KEYS, "text", "column_id")
+
+
+@query(f"""with {WORDS_SQL}, w as (select *, cast(floor(x0 / 80) as integer) as column_id from words),
+s as (select doc_id, page, column_id, count(*) as n, avg((x0 + x1) / 2) as c from w group by all)
+select w.doc_id, w.page, w.text, case when o.n >= 3 then w.column_id else coalesce((select arg_min(b.column_id, row(abs(b.c - o.c), b.column_id)) from s b where b.doc_id = w.doc_id and b.page = w.page and b.n >= 3), w.column_id) end as column_id
+from w join s o on o.doc_id = w.doc_id and o.page = w.page and o.column_id = w.column_id""")
+def small_columns_merged(spark, sf):
+    w = words(spark, sf).withColumn("column_id", F.floor(F.col("x0") / 80).cast("int"))
+    return columns.merge_small_columns(w, 3).select(*KEYS, "text", "column_id")
+
+
+@query(f"""with {WORDS_SQL}, sp as (select doc_id, page, x0 + 5 as s0, x1 + 25 as s1, top - 1 as st, bottom + 1 as sb, text as attributes from words),
+j as (select w.doc_id, w.page, w.text, sp.attributes, row_number() over (partition by w.text order by least(w.x1, s1) - greatest(w.x0, s0) desc, s0, sp.attributes desc) as r from words w join sp on w.doc_id = sp.doc_id and w.page = sp.page
+  and st <= w.top + 1.5 and sb >= w.bottom - 1.5 and least(w.x1, s1) - greatest(w.x0, s0) > 0)
+select w.doc_id, w.page, w.text, j.attributes from words w left join j on j.text = w.text and j.r = 1""")
+def argmax_overlap(spark, sf):
+    w = words(spark, sf)
+    spans = w.select(*KEYS, (F.col("x0") + 5).alias("x0"), (F.col("x1") + 25).alias("x1"), (F.col("top") - 1).alias("top"), (F.col("bottom") + 1).alias("bottom"), F.col("text").alias("attributes"))
+    return columns.best_overlap(w, spans).select(*KEYS, "text", "attributes")
+
+
+REGIONS_SQL = """regioned as (select *, case when top - max(bottom) over (partition by doc_id, page order by top, bottom rows between unbounded preceding and 1 preceding) >= 30 then 1 else 0 end as new from ls),
+rn as (select *, cast(sum(new) over (partition by doc_id, page order by top, bottom rows unbounded preceding) as integer) as region_no from regioned),
+regions as (select doc_id, page, region_no, min(top) as y_start, max(bottom) as y_end, count(*) as n_lines from rn group by doc_id, page, region_no)"""
+
+
+@query(f"with {WORDS_SQL}, {LINES_SQL}, {REGIONS_SQL} select * from regions")
+def whitespace_regions(spark, sf):
+    return columns.whitespace_regions(page_lines(spark, sf))
+
+
+@query(f"""with {WORDS_SQL}, {LINES_SQL}, {REGIONS_SQL}, k as (select *, row_number() over (partition by doc_id, page order by n_lines desc, region_no) as r from regions)
+select doc_id, page, region_no, n_lines from k where r <= 2""")
+def largest_regions(spark, sf):
+    found = columns.whitespace_regions(page_lines(spark, sf))
+    return columns.largest(found, F.col("n_lines"), 2, "region_no").select(*KEYS, "region_no", "n_lines")
+
+
+@query(f"""with {WORDS_SQL}, {LINES_SQL}, {REGIONS_SQL} select w.doc_id, w.page, region_no, count(*) as n from words w join regions r on r.doc_id = w.doc_id and r.page = w.page
+and (w.top between y_start and y_end or w.bottom between y_start and y_end) group by all""")
+def region_assignment(spark, sf):
+    regions = columns.whitespace_regions(page_lines(spark, sf))
+    return columns.assign_regions(words(spark, sf), regions).groupBy(*KEYS, "region_no").agg(F.count("*").alias("n"))
+
+
+@query(f"""with {WORDS_SQL}, {LINES_SQL} select a.doc_id, a.page, count(*) as n_pairs, round(avg(greatest(least(a.bottom, b.bottom) - greatest(a.top, b.top), 0) / greatest(least(a.bottom - a.top, b.bottom - b.top), 1e-9)), 6)::double as mean_overlap
+from ls a join ls b on a.doc_id = b.doc_id and a.page = b.page and b.line_no - a.line_no between 1 and 19 group by all""")
+def pairwise_overlap_mean(spark, sf):
+    return layout.pairwise_overlap(page_lines(spark, sf)).withColumn("mean_overlap", F.round("mean_overlap", 6))
+
+
+@query(f"""with {WORDS_SQL}, s as (select doc_id, page, avg(case when (x0 + x1) / 2 < 306 then (x0 + x1) / 2 end) as ml, avg(case when (x0 + x1) / 2 >= 306 then (x0 + x1) / 2 end) as mr,
+ stddev_pop(case when (x0 + x1) / 2 < 306 then (x0 + x1) / 2 end) as sl, stddev_pop(case when (x0 + x1) / 2 >= 306 then (x0 + x1) / 2 end) as sr from words group by all)
+select doc_id, page, round(abs(mr - ml) / 612 / case when (sl + sr) / 612 is null then 0.01 else greatest((sl + sr) / 612, 0.01) end, 6) as bimodality from s""")
+def bimodality(spark, sf):
+    return layout.bimodality(words(spark, sf)).withColumn("bimodality", F.round("bimodality", 6))
+
+
+@query(f"""with {WORDS_SQL} select doc_id, page, count(*) as n_words, round_even(avg((x1 - x0) / page_width), 4) as avg_word_width_ratio, round_even(avg(bottom - top), 4) as avg_height, round_even(stddev_pop(bottom - top), 4) as height_std,
+ round_even(avg(case when top < 0.15 * page_height then 1.0 else 0.0 end)::double, 4) as header_fraction, round_even(var_pop(top / page_height), 4) as line_density_variance from words group by all""")
+def page_features(spark, sf):
+    return layout.page_features(words(spark, sf))
+
+
+@query(f"""with {WORDS_SQL}, {LINES_SQL}, sp as (select *, greatest(coalesce(top - lag(bottom) over (partition by doc_id, page order by line_no), 0), 0)::double as space_above from ls),
+s as (select doc_id, avg(height) as mh, stddev_pop(height) as sh, quantile_cont(space_above, 0.75) as q, avg(char_count) as mc from sp group by 1)
+select doc_id, case when sh > 0.2 * mh then 1.2 else 1.3 end::double as height_ratio, round(greatest(q, 2.0), 6) as space_above, case when mc > 60 then 0.65 else 0.6 end::double as score from s""")
+def adaptive_thresholds(spark, sf):
+    return layout.adaptive_thresholds(lines.line_spacing(page_lines(spark, sf))).withColumn("space_above", F.round("space_above", 6))
+
+
+@query(f"""with {WORDS_SQL}, b as (select doc_id, page, unnest(range(greatest(cast(floor(top / (page_height / 60)) as integer), 0), least(cast(floor(bottom / (page_height / 60)) as integer), 59) + 1)) as band from words)
+select doc_id, page, cast(band as integer) as band, count(*) as n from b group by all""")
+def band_density(spark, sf):
+    return layout.band_density(words(spark, sf))
+
+
+@query(f"""with {WORDS_SQL}, {LINES_SQL}, k as (select *, (x1 - x0) >= 459 as f, x0 < 183.6 as l, x0 > 122.4 as r from ls),
+c as (select doc_id, page, count(*) filter (not f and l) as n_left, count(*) filter (not f and not l and r) as n_right, count(*) filter (f) as n_full from k group by all)
+select *, case when n_left >= 3 and n_right >= 3 then 2 else 1 end as n_columns from c""")
+def side_lines(spark, sf):
+    return layout.side_lines(page_lines(spark, sf).withColumn("page_width", F.lit(612.0)))
+
+
+@query(f"""with {WORDS_SQL}, c as (select doc_id, page, count(*) as n, count(*) filter ((x0 + x1) / 2 < 306) as n_left from words group by all)
+select *, case when n_left / n > 0.3 and 1 - n_left / n > 0.3 then 2 else 1 end as n_columns from c""")
+def half_columns(spark, sf):
+    return layout.half_columns(words(spark, sf))
+
+
+@query(f"""with recursive {WORDS_SQL}, o as (select doc_id, page, x0, row_number() over (partition by doc_id, page order by x0, text) as i from words),
+walk as (select doc_id, page, i, x0 as last, 1 as kept from o where i = 1 union all
+ select o.doc_id, o.page, o.i, case when o.x0 - w.last >= 80 then o.x0 else w.last end, case when o.x0 - w.last >= 80 then w.kept + 1 else w.kept end from walk w join o on o.doc_id = w.doc_id and o.page = w.page and o.i = w.i + 1)
+select doc_id, page, cast(max(kept) as integer) as n_kept, max(last) as last from walk group by all""")
+def separators_merged(spark, sf):
+    kept = words(spark, sf).groupBy(*KEYS).agg(columns.merge_close(F.array_sort(F.collect_list("x0")), 80.0).alias("k"))
+    return kept.select(*KEYS, F.size("k").alias("n_kept"), F.array_max("k").alias("last"))
+
+
+@query()
+def gap_separators(spark, sf):
+    found = columns.gap_separators(words(spark, sf))
+    return found.select(*KEYS, F.round("threshold", 6).alias("threshold"), F.size("separators").alias("n_separators"))
+
+
+@query()
+def first_fit_lines(spark, sf):
+    fitted = lines.first_fit_lines(words(spark, sf).select(*KEYS, "text", "x0", "top", "bottom"))
+    return fitted.groupBy(*KEYS, "line_no").agg(F.count("*").alias("n"))
+
+
+@query()
+def global_columns(spark, sf):
+    starts = words(spark, sf).groupBy("doc_id").agg(columns.greedy_global_columns(F.collect_list("x0")).alias("cs"))
+    return starts.select("doc_id", F.posexplode("cs").alias("column_id", "c")).select("doc_id", "column_id", F.round("c.mean", 6).alias("mean"), "c.n")
+
+
+@query()
+def recursive_layout(spark, sf):
+    blocks = words(spark, sf).select(*KEYS, "text", "x0", "x1", "top", "bottom", "page_width", "page_height")
+    return layout.recursive_blocks(blocks).groupBy(*KEYS, "block_path").agg(F.count("*").alias("n"))
