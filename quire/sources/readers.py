@@ -16,7 +16,7 @@ WORD_SCHEMA = (
     "path string, page int, text string, x0 double, top double, x1 double, bottom double, page_width double, page_height double, "
     "font string, font_size double, is_bold boolean, confidence double"
 )
-#: Columns that CSV files may be encoded in, tried in this order; latin-1 reads anything.
+#: What CSV files may be encoded in, tried in this order; latin-1 reads anything.
 ENCODINGS = ("utf-8", "utf-16", "cp1252", "iso-8859-1", "latin-1")
 
 
@@ -36,7 +36,7 @@ def is_pdf(content: Column) -> Column:
 
 def read_texts(spark: SparkSession, folder: str) -> DataFrame:
     """(path, text) of whole text files."""
-    return spark.read.option("wholetext", True).text(folder).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
@@ -65,6 +65,8 @@ def read_csv(spark: SparkSession, path: str, encodings=ENCODINGS) -> DataFrame:
         for b in batches:
             def fits(raw: bytes) -> str:
                 for e in encodings:
+                    if e == "utf-16" and raw[:2] not in (b"\xff\xfe", b"\xfe\xff"):
+                        continue  # without its mark it would take any even number of bytes
                     try:
                         raw.decode(e)
                         return e
