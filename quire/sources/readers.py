@@ -16,8 +16,8 @@ WORD_SCHEMA = (
     "path string, page int, text string, x0 double, top double, x1 double, bottom double, page_width double, page_height double, "
     "font string, font_size double, is_bold boolean, confidence double"
 )
-#: What CSV files may be encoded in, tried in this order; latin-1 reads anything.
-ENCODINGS = ("utf-8", "utf-16", "cp1252", "iso-8859-1", "latin-1")
+#: What CSV files may be encoded in, tried in this order; the last reads anything.
+ENCODINGS = ("utf-8", "utf-16", "iso-8859-1")
 
 
 def list_files(spark: SparkSession, folder: str, extensions: list[str] = ("pdf", "docx", "txt"), recursive: bool = True, limit: int | None = None, content: bool = False) -> DataFrame:
@@ -72,7 +72,7 @@ def read_csv(spark: SparkSession, path: str, encodings=ENCODINGS) -> DataFrame:
                         return e
                     except UnicodeError:
                         continue
-                return "latin-1"
+                return "iso-8859-1"
             yield pd.DataFrame({"encoding": [fits(bytes(x)) for x in b["content"]]})
 
     named = spark.read.format("binaryFile").load(path).select("content").mapInPandas(decodable, "encoding string").first()
