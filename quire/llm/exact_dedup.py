@@ -38,7 +38,7 @@ def heavy_hashes(hashes: DataFrame, column: str, tracked: int = TRACKED, heavy:
     some = by_task.groupBy((F.col("task") % FAN_IN).alias("some")).agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"))
     # grouped, as tasks without rows would else hand on sketches without a type
     whole = some.groupBy((F.col("some") >= 0).alias("all")).agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"))
-    return whole.selectExpr(f"inline(approx_top_k_estimate(sketch, {heavy}))").select("item")
+    return whole.selectExpr(f"inline(approx_top_k_estimate(sketch, {min(heavy, tracked)}))").select("item")
 
 
 def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tracked: int = TRACKED, heavy: int = HEAVY) -> DataFrame:

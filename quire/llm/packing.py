@@ -34,8 +34,12 @@ from quire.llm.units import BoundedCache, UnitEncoder, stretches, units
 #: Tokens of a sequence, and the id that ends a document.
 CAPACITY, END = 2048, 0
 CACHED = 150_000
-#: Of the solver: rounds of weights, configurations priced in a round, how fast weights fall, times that the rest is solved again.
-ROUNDS, PRICED, RATE, LEVELS = 150, 48, 0.5, 4
+#: Of the solver: configurations priced in a round, how fast weights fall, a round's part of all
+#: sequences (one in so many), times that the rest is solved again, pieces few enough for best fit.
+PRICED, RATE, PART, LEVELS, ALONE = 48, 0.5, 20, 6, 32_768
+#: (Rounds, how many of them only find the weights): without such, full configurations come first, which is best for even
+#: histograms; with them, lengths that are hard to place. Both are solved, the plan with fewer sequences is taken.
+SCHEDULES = ((80, 0), (120, 40))
 #: Groups in which pieces are ranked: no smaller than this many rows, about so many groups in all.
 GROUP_ROWS, GROUPS = 256, 8192
 
@@ -78,7 +82,7 @@ def price(worth: np.ndarray, capacity: int, many: int) -> list[Configuration]:
     whole = best[capacity - sizes] + values
     out = set()
     for j in np.argsort(-whole, kind="stable")[:many]:
-        if whole[j] < 0.97 * best[capacity]:
+        if whole[j] < 0.995 * best[capacity]:
             break
         held, room = Counter([int(sizes[j])]), capacity - int(sizes[j])
         while room > 0:
@@ -91,44 +95,63 @@ def price(worth: np.ndarray, capacity: int, many: int) -> list[Configuration]:
     return sorted(out)
 
 
-def fractional(left: np.ndarray, capacity: int, rounds: int = ROUNDS, many: int = PRICED, rate: float = RATE) -> dict[Configuration, float]:
-    """A fractional cover of ``left`` (how many pieces of each length, from 0) by multiplicative weights."""
+def fractional(left: np.ndarray, capacity: int, rounds: int, only_weights: int, many: int = PRICED, rate: float = RATE) -> dict[Configuration, float]:
+    """A fractional cover of ``left`` (how many pieces of each length, from 0) by multiplicative weights.
+
+    Weights begin as lengths. A round takes the configurations that are worth most, a small part of all sequences
+    in all, and lengths lose weight by the share of their pieces that it covers.
+    The first rounds may only find the weights.
+    """
+    sizes = np.arange(len(left))
     held = left > 0
-    weight = np.where(held, np.arange(len(left)) / capacity, 0.0)
+    weight = np.where(held, sizes / capacity, 0.0)
+    need = (sizes * left).sum() / capacity
     copies: dict[Configuration, float] = {}
-    for _ in range(rounds):
+    for round_ in range(rounds):
+        steps = {conf: min(left[length] / n for length, n in conf) for conf in price(weight, capacity, many)}
+        part = min(0.25, need / PART / max(sum(steps.values()), 1e-9))
         used = np.zeros(len(left))
-        for conf in price(weight, capacity, many):
-            step = min(left[length] / n for length, n in conf) / 8
-            copies[conf] = copies.get(conf, 0.0) + step
+        for conf, step in steps.items():
+            if round_ >= only_weights:
+                copies[conf] = copies.get(conf, 0.0) + step * part
             for length, n in conf:
-                used[length] += step * n
+                used[length] += step * part * n
         covered = np.divide(used, left, out=np.zeros(len(left)), where=held)
         weight *= np.exp(-rate * np.minimum(covered, 4.0))
         weight /= weight.max()
     return copies
 
 
+def _take(left: np.ndarray, conf: Configuration, copies: int) -> None:
+    for length, n in conf:
+        left[length] -= copies * n
+
+
 def round_down(copies: dict[Configuration, float], left: np.ndarray, capacity: int) -> list[tuple[Configuration, int]]:
-    """Whole numbers of copies within ``left``, which they are taken from; fuller configurations come first."""
-    need = sum(np.arange(len(left)) * left) / capacity
-    scale = need / max(sum(copies.values()), 1e-9)
-    fill = lambda conf: sum(length * n for length, n in conf)
-    out: Counter = Counter()
-    for share in (scale, np.inf):  # by the program first, then what more fits of its full configurations
-        for conf in sorted(copies, key=lambda c: (-fill(c), -copies[c], c)):
-            if share == np.inf and fill(conf) < capacity * 0.998:
-                break
-            most = min(int(left[length]) // n for length, n in conf)
-            if k := most if share == np.inf else min(most, int(copies[conf] * share)):
-                out[conf] += k
-                for length, n in conf:
-                    left[length] -= k * n
-    return list(out.items())
+    """Whole numbers of copies in proportion to the solution and within ``left``, from which they are taken."""
+    share = (np.arange(len(left)) * left).sum() / capacity / max(sum(copies.values()), 1e-9)
+    out = []
+    for conf in sorted(copies, key=lambda c: (-copies[c], c)):
+        if k := min(int(copies[conf] * share), *(int(left[length]) // n for length, n in conf)):
+            out.append((conf, k))
+            _take(left, conf, k)
+    return out
+
+
+def fill_up(left: np.ndarray, capacity: int, enough: int) -> list[tuple[Configuration, int]]:
+    """Fullest configurations one by one, each as often as it goes, until ``enough`` pieces are left; each uses up a length at least."""
+    out = []
+    while left.sum() > enough:
+        conf = price(np.where(left > 0, np.arange(len(left)), 0).astype(float), capacity, 1)[0]
+        conf = tuple((length, min(n, int(left[length]))) for length, n in conf)
+        k = min(int(left[length]) // n for length, n in conf)
+        out.append((conf, k))
+        _take(left, conf, k)
+    return out
 
 
 def best_fit(left: np.ndarray, capacity: int) -> list[tuple[Configuration, int]]:
-    """What is left, longest first, each into the fullest sequence that it fits; counted, not piece by piece, where a whole sequence repeats."""
+    """What is left, longest first, each into the fullest sequence that it fits; at most ``ALONE`` pieces come here."""
     by_room: list[list[list[int]]] = [[] for _ in range(capacity + 1)]
     for length in range(len(left) - 1, 0, -1):
         for _ in range(int(left[length])):
@@ -140,25 +163,30 @@ def best_fit(left: np.ndarray, capacity: int) -> list[tuple[Configuration, int]]
     return sorted(found.items())
 
 
+def configurations(left: np.ndarray, capacity: int, rounds: int, only_weights: int) -> list[tuple[Configuration, int]]:
+    """Configurations with their copies for all pieces of ``left``."""
+    left = left.copy()
+    chosen: list[tuple[Configuration, int]] = []
+    for level in range(LEVELS):
+        before = left.sum()
+        if before <= (ALONE if level else 0):
+            break
+        chosen += round_down(fractional(left, capacity, rounds, only_weights), left, capacity)
+        if left.sum() > 0.8 * before:  # counts so small that rounding down leaves most
+            break
+    chosen += fill_up(left, capacity, ALONE)
+    return chosen + best_fit(left, capacity)
+
+
 def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
-    """Configurations with their copies for the whole histogram, as ranges of ranks."""
+    """A plan for the whole histogram, as ranges of ranks."""
     left = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         left[length] = n
-    chosen: list[tuple[Configuration, int]] = []
-    if left[capacity]:
-        chosen.append((((capacity, 1),), int(left[capacity])))
-        left[capacity] = 0
-    for _ in range(LEVELS):
-        if left.sum() <= 4 * capacity:
-            break
-        chosen += round_down(fractional(left, capacity), left, capacity)
-    for length in np.flatnonzero(left > 64):  # long runs of one length by whole copies, so that best fit has few pieces
-        each = capacity // int(length)
-        if (k := int(left[length]) // each - 8) > 0:
-            chosen.append((((int(length), each),), k))
-            left[length] -= k * each
-    chosen += best_fit(left, capacity)
+    whole = [(((capacity, 1),), int(left[capacity]))] if left[capacity] else []
+    left[capacity] = 0
+    plans = [configurations(left, capacity, *schedule) for schedule in SCHEDULES]
+    chosen = whole + min(plans, key=lambda plan: sum(k for _, k in plan))
     ranked, ranges, sequences = Counter(), [], 0
     for conf, k in chosen:
         offset = 0
