@@ -12,6 +12,8 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from collections.abc import Callable
+from functools import lru_cache
 from itertools import chain
 
 import pyarrow as pa
@@ -48,17 +50,29 @@ class ForcedBoundaryBpe:
             self.tokens[i] = token
         self.decimal = [str(i) for i in range(len(self.tokens))]
         inner = {(a, b) for t in self.ids for a, b in zip(t, t[1:])}
-        self.forced = frozenset((a << 8) | b for a in range(256) for b in range(256) if (a, b) not in inner)
+        self.forced = frozenset((a, b) for a in range(256) for b in range(256) if (a, b) not in inner)
+        self.fragment_ids = self._by_rank([raw(a) + raw(b) for a, b in merges]) or self.merge
         self.split_words = regex.compile(PATTERN).findall
         # longest first, as one added token may begin with another
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else lambda x: [x]
         self.by_unit = not any(k.split() != [k] for k in self.added)
         self.fragments, self.by_text = BoundedCache(CACHED), BoundedCache(CACHED)
 
+    def _by_rank(self, merged: list[bytes]) -> Callable[[bytes], list[int]] | None:
+        """tiktoken's encoder of single fragments, where ids are in the order of the merges; it does what ``merge`` does, in native code."""
+        order = [self.ids[m] for m in merged]
+        if order != sorted(set(order)) or order and order[0] < 256 or any(self.ids.get(bytes([b]), 256) >= 256 for b in range(256)):
+            return None
+        import tiktoken
+
+        return tiktoken.Encoding("fragments", pat_str=PATTERN, mergeable_ranks=self.ids, special_tokens={})._encode_single_piece
+
     def cut(self, word: bytes) -> list[bytes]:
         """``word`` cut between all two bytes that no token has side by side."""
         forced = self.forced
-        at = [0, *[i for i, (a, b) in enumerate(zip(word, word[1:]), 1) if (a << 8) | b in forced], len(word)]
+        if forced.isdisjoint(zip(word, word[1:])):
+            return [word]
+        at = [0, *[i for i, pair in enumerate(zip(word, word[1:]), 1) if pair in forced], len(word)]
         return [word[i:j] for i, j in zip(at, at[1:])]
 
     def merge(self, fragment: bytes) -> tuple[int, ...]:
@@ -118,7 +132,7 @@ class ForcedBoundaryBpe:
                 for fragment in self.cut(word.encode("utf-8")):
                     ids = self.fragments.get(fragment)
                     if ids is None:
-                        ids = self.merge(fragment)
+                        ids = tuple(self.fragment_ids(fragment))
                         self.fragments.add({fragment: ids})
                     out.extend(ids)
         return tuple(out)
@@ -141,7 +155,9 @@ class ForcedBoundaryBpe:
         return b"".join(map(self.tokens.__getitem__, ids)).decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=2)
 def load(name: str) -> ForcedBoundaryBpe:
+    """Kept for the worker's next tasks, with what its caches hold."""
     return ForcedBoundaryBpe(name if os.path.isabs(name) else tokenizer_path(name))
 
 

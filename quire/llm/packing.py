@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm.shared import cut, table, text_or_empty
-from quire.llm.token_counts import cuttable, load_tokenizer
-from quire.llm.units import BoundedCache, UnitEncoder, stretches, units
+from quire.llm.token_counts import cuttable, load_tokenizer, unit_encoder
+from quire.llm.units import BoundedCache, stretches, units
 
 #: Tokens of a sequence, and the id that ends a document.
 CAPACITY, END = 2048, 0
@@ -205,12 +205,12 @@ def piece_documents(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end
     """doc_id, piece, start, length, ids_crc32 of every document's pieces; the first of a document that is cut takes what is over."""
     own = df.select(text_or_empty(text).alias("text"), F.col(doc_id).alias("doc_id"))
     kind = own.schema["doc_id"].dataType.simpleString()
+    by_unit = cuttable(load_tokenizer(tokenizer))
 
     def pieces(batches):
-        worker = load_tokenizer(tokenizer)
-        by_unit, cache, tail = cuttable(worker), BoundedCache(CACHED), np.array([end], "<u4").tobytes()
+        cache, tail = BoundedCache(CACHED), np.array([end], "<u4").tobytes()
+        encode = unit_encoder(tokenizer).ids if by_unit else lambda texts: [np.array(x.ids, "<u4").tobytes() for x in load_tokenizer(tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
 
-        encode = UnitEncoder(worker).ids if by_unit else lambda texts: [np.array(x.ids, "<u4").tobytes() for x in worker.encode_batch_fast(texts, add_special_tokens=False)]
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
             for i, one in enumerate(batch.column(0).to_pylist()):

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 from collections import Counter
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -40,6 +41,12 @@ def load_tokenizer(name: str):
     return tokenizer
 
 
+@lru_cache(maxsize=2)
+def unit_encoder(name: str) -> UnitEncoder:
+    """Kept for the worker's next tasks."""
+    return UnitEncoder(load_tokenizer(name))
+
+
 def cuttable(tokenizer) -> bool:
     """Whether texts may be encoded unit by unit: a byte-level pattern, nothing rewritten, no added token with white space."""
     import json
@@ -85,13 +92,12 @@ def count_tokens(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: st
     loaded = load_tokenizer(tokenizer)
     by_unit = cuttable(loaded)
     first: list[str] = frequent_units(own.select("text")) if by_unit else []
-    lengths = UnitEncoder(loaded).counts(first) if first else []
+    lengths = unit_encoder(tokenizer).counts(first) if first else []
     broadcast = df.sparkSession.sparkContext.broadcast(dict(zip(first, lengths, strict=True)))
 
     def count(batches):
-        worker = load_tokenizer(tokenizer)
         cache = BoundedCache(CACHED, broadcast.value)
-        encode = UnitEncoder(worker).counts if by_unit else lambda texts: [len(x.ids) for x in worker.encode_batch_fast(texts, add_special_tokens=False)]
+        encode = unit_encoder(tokenizer).counts if by_unit else lambda texts: [len(x.ids) for x in load_tokenizer(tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
         for batch in batches:
             counts = []
             for one in _rows(batch):
