@@ -19,11 +19,11 @@ def cosine(a: Column, b: Column) -> Column:
 def best_similar(queries: DataFrame, variants: DataFrame, least: float = 0.75) -> DataFrame:
     """Adds canon and similarity: the variant (canon, vector) most like each query's vector, null canon below ``least``.
 
-    Variants are a vocabulary, so the whole table is the broadcast side; distinct
-    queries should be asked once. Of equals the first name is taken.
+    Variants are a vocabulary and meet the queries as one row; Spark broadcasts it if it is small.
+    Distinct queries should be asked once. Of equals the first name is taken.
     """
     v = variants.select(F.collect_list(F.struct("canon", "vector")).alias("__vs"))
-    both = queries.join(F.broadcast(v), F.lit(True))
+    both = queries.join(v, F.lit(True))
     scored = F.transform("__vs", lambda x: F.struct((-F.bround(cosine(F.col("vector"), x["vector"]), 9)).alias("d"), x["canon"].alias("canon")))
     best = F.array_min(scored)
     return both.withColumn("__b", best).select(*[c for c in queries.columns], F.when(-F.col("__b.d") >= least, F.col("__b.canon")).alias("canon"), (-F.col("__b.d")).alias("similarity"))

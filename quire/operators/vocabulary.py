@@ -69,7 +69,7 @@ def extend(base: DataFrame, learned: DataFrame, fallback: str = "Additional Info
     """Base and learned rows (variant, canon); a canonical name that the base lacks becomes ``fallback``."""
     known = base.select("canon").distinct().withColumn("__k", F.lit(True))
     start = F.lit(1 << 20)
-    more = learned.join(F.broadcast(known), "canon", "left").select("variant", F.when(F.col("__k"), F.col("canon")).otherwise(fallback).alias("canon"), start.cast("int").alias("prio"))
+    more = learned.join(known, "canon", "left").select("variant", F.when(F.col("__k"), F.col("canon")).otherwise(fallback).alias("canon"), start.cast("int").alias("prio"))
     return unique_variants(base.select("variant", "canon", "prio").unionByName(more))
 
 
