@@ -22,12 +22,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.shared import table, text_or_empty, tokenizer_path
-from quire.llm.units import PATTERN, BoundedCache, byte_letters, stretches, units
+from quire.llm.units import PATTERN, byte_letters, stretches, units
 
 #: Entries of each of a worker's caches: fragments, and units of text.
 CACHED = 150_000
 
 
+class Remembered(dict):
+    """Values by key, made when they are first asked for; emptied when full. Long keys are not kept."""
+
+    def __init__(self, make: Callable, limit: int, longest: int = 64):
+        super().__init__()
+        self.make, self.limit, self.longest = make, limit, longest
+
+    def __missing__(self, key):
+        value = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.limit:
+                self.clear()
+            self[key] = value
+        return value
+
+
 class ForcedBoundaryBpe:
     """A byte-level BPE tokenizer read from a ``tokenizers`` file."""
 
@@ -56,7 +72,8 @@ class ForcedBoundaryBpe:
         # longest first, as one added token may begin with another
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else lambda x: [x]
         self.by_unit = not any(k.split() != [k] for k in self.added)
-        self.fragments, self.by_text = BoundedCache(CACHED), BoundedCache(CACHED)
+        self.fragments = Remembered(lambda fragment: tuple(self.fragment_ids(fragment)), CACHED)
+        self.by_text = Remembered(self._encode, CACHED)
 
     def _by_rank(self, merged: list[bytes]) -> Callable[[bytes], list[int]] | None:
         """tiktoken's encoder of single fragments, where ids are in the order of the merges; it does what ``merge`` does, in native code."""
@@ -122,33 +139,27 @@ class ForcedBoundaryBpe:
                     heappush(heap, (r, x, parts[x], parts[y]))
         return tuple(self.ids[p] for p, live in zip(parts, alive) if live)
 
+    def _words(self, text: str) -> list[str]:
+        # a space and Latin letters are one pre-token; the pattern is asked about all else
+        if text[:1] == " " and text[1:].isalpha() and (text.isascii() or max(text) < "\u0250"):
+            return [text]
+        return self.split_words(text)
+
     def _encode(self, text: str) -> tuple[int, ...]:
         out: list[int] = []
-        for piece in self.split_added(text):
+        for piece in self.split_added(text) if any(a in text for a in self.added) else (text,):
             if piece in self.added:
                 out.append(self.added[piece])
                 continue
-            for word in self.split_words(piece):
+            for word in self._words(piece):
                 for fragment in self.cut(word.encode("utf-8")):
-                    ids = self.fragments.get(fragment)
-                    if ids is None:
-                        ids = tuple(self.fragment_ids(fragment))
-                        self.fragments.add({fragment: ids})
-                    out.extend(ids)
+                    out.extend(self.fragments[fragment])
         return tuple(out)
 
-    def _unit(self, unit: str) -> tuple[int, ...]:
-        ids = self.by_text.get(unit)
-        if ids is None:
-            ids = self._encode(unit)
-            if len(unit) < 64:
-                self.by_text.add({unit: ids})
-        return ids
-
     def encode(self, text: str) -> list[int]:
         if not self.by_unit:
             return list(self._encode(text))
-        return list(chain.from_iterable(self._unit(u) for stretch in stretches(text) for u in units(stretch)))
+        return list(chain.from_iterable(ids for stretch in stretches(text) for ids in map(self.by_text.__getitem__, units(stretch))))
 
     def decode(self, ids: list[int]) -> str:
         """Bytes that are no UTF-8 become U+FFFD."""
