@@ -28,7 +28,7 @@ BLOCK = frozenset(
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript iframe noembed noframes xmp template svg math canvas object audio video".split())
+RAW = frozenset("script style button title textarea noscript iframe noembed noframes xmp template svg math canvas object audio video".split())
 CLOSES_P = BLOCK - {"body", "caption", "head", "html", "legend", "optgroup", "option", "tbody", "td", "tfoot", "th", "thead", "tr"}
 #: Elements whose start ends an open one of these kinds, unless one of the bounds lies between.
 SIBLINGS = {
@@ -37,12 +37,12 @@ SIBLINGS = {
     "tbody": (("tbody", "thead", "tfoot", "tr", "td", "th"), ("table",)), "tfoot": (("tbody", "thead", "tr", "td", "th"), ("table",)),
 }
 # The classifier: names that tell of boilerplate or content, and weights.
-BOILER_TAGS = frozenset("nav footer aside form menu dialog search select fieldset button head".split())
+BOILER_TAGS = frozenset("nav footer aside form menu dialog search select fieldset head".split())
 HEAD_TAGS = frozenset(["header"])
 MAIN_TAGS = frozenset(["article", "main"])
 BOILER_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies "
-    "copyright dialog disclaimer disqus footer gdpr legal login menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo "
+    "copyright dialog disclaimer discussion disqus footer gdpr legal login menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo "
     "promoted promotion recommended recommendations related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe "
     "subscription toolbar topbar widget widgets complementary alert".split()
 )
@@ -126,6 +126,8 @@ def read_blocks(page: str) -> list[Block]:
 
     def say(raw: str) -> None:
         nonlocal linked
+        if stack[-1].boiler and not next(e for e in reversed(stack) if e.tag in BLOCK or e is root).boiler:
+            return  # hidden or boilerplate within a block's text
         text = html.unescape(raw) if "&" in raw else raw
         buffer.append(text)
         if links:

@@ -24,6 +24,7 @@ def test_main_text():
         assert isinstance(html_text.main_text(page), str)
     assert html_text.main_text("<body><nav><a href=x>a</a></nav></body>") == ""
     assert html_text.main_text("<p>one<p>two</p><!-- <p>three</p> -->") == "one\ntwo"
+    assert html_text.main_text('<article><p>one <span style="display: none">x</span><span class="ad">y</span><button>z</button>two <b>three</article>') == "one two three"
 
 
 def test_long_and_deep_pages():
