@@ -102,3 +102,27 @@ def as_json(results: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, json): [{section, lines}] of each document in order."""
     made = results.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("section_id", "section", F.split("content", "\n").alias("lines")))).alias("ss"))
     return made.select(key, F.to_json(F.transform("ss", lambda s: F.struct(s["section"].alias("section"), s["lines"].alias("lines")))).alias("json"))
+
+
+def contact_from_lines(lines: DataFrame, fields: dict[str, Column], head: int = 40, key: str = "doc_id", order=("page", "line_no")) -> DataFrame:
+    """One row a document: for each field the match (a column over ``lines``) of the first line that has one,
+    among the first ``head`` lines of the first page, else in the whole document.
+    """
+    w = Window.partitionBy(key).orderBy(*order)
+    numbered = lines.select(key, order[0], F.row_number().over(w).alias("__n"), F.min(order[0]).over(Window.partitionBy(key)).alias("__p"), *[c.alias(f"__{name}") for name, c in fields.items()])
+    near = (F.col("__n") <= head) & (F.col(order[0]) == F.col("__p"))
+    best = lambda name: F.min(F.when(F.col(f"__{name}").isNotNull(), F.struct((~near).cast("int").alias("far"), F.col("__n").alias("n"), F.col(f"__{name}").alias("v"))))
+    return numbered.groupBy(key).agg(*[best(name)["v"].alias(name) for name in fields])
+
+
+def best_location(entities: DataFrame, cities: list[str], key: str = "doc_id") -> DataFrame:
+    """The place that is a known city, else the first place that is no company's name."""
+    word = F.lower(F.trim("word"))
+    places = entities.where("entity_group = 'LOCATION'").where(~F.regexp(word, F.lit(r"\b(?:ltd|limited|inc|pvt|technologies|solutions|university|college)\b")))
+    return places.groupBy(key).agg(F.min(F.struct((~word.isin(cities)).cast("int").alias("unknown"), "pos", "word"))["word"].alias("location"))
+
+
+def distribution(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
+    """(by, counts as a map, most_common): how often each value occurs, of equals the smallest is the most common."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+    return counts.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(value), F.col("n"))))).alias("counts"), F.min(F.struct((-F.col("n")).alias("n"), F.col(value).alias("v")))["v"].alias("most_common"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.functions.text import heading_key
+from quire.functions import contact
+from quire.functions.text import first_of, heading_key
 from quire.operators import entities, headings, learning, lines, report, sections
 from quire.operators.vocabulary import extend, unique_variants
 from quire.session import table
@@ -328,3 +329,31 @@ def result_json(spark, sf):
 def document_stats(spark, sf):
     s = short_segments(spark, sf)
     return report.document_stats(s.select("doc_id", (F.col("line_no") % 2).alias("page"), F.floor(F.col("line_no") % 4 / 2).alias("column_id"), F.length("text").alias("word_count")))
+
+
+@query(r"""with l as (select doc_id, g as n, string_split(text, chr(10))[g] as line from (select doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) as g from documents)),
+m as (select doc_id, n, nullif(regexp_extract(line, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b'), '') as email, nullif(regexp_extract(line, '\+\d{1,3} \(\d{3}\) \d{3}-\d{4}'), '') as phone from l)
+select doc_id, arg_min(email, n) filter (where email is not null) as email, arg_min(phone, n) filter (where phone is not null) as phone from m group by 1""")
+def contact_head_window(spark, sf):
+    found = lines.text_lines(table(spark, sf, "documents")).withColumn("page", F.lit(0))
+    fields = {"email": contact.email("text"), "phone": first_of("text", r"\+\d{1,3} \(\d{3}\) \d{3}-\d{4}")}
+    return report.contact_from_lines(found, fields)
+
+
+@query("""with c as (select source, lang, count(*) as n from documents group by all) select source, string_agg(lang || '=' || n, ',' order by lang) as counts, arg_min(lang, row(-n, lang)) as most_common from c group by 1""")
+def layout_distribution(spark, sf):
+    d = report.distribution(table(spark, sf, "documents"), "lang", ["source"])
+    pairs = F.transform(F.map_entries("counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return d.select("source", F.array_join(pairs, ",").alias("counts"), "most_common")
+
+
+@query("select quality, toxic, count(*) as n from labels group by all")
+def label_distribution(spark, sf):
+    return table(spark, sf, "labels").groupBy("quality", "toxic").agg(F.count("*").alias("n"))
+
+
+@query(f"""with {ENT_SQL}, p as (select doc_id, pos, word from ents where entity_group = 'ROLE' and word not like '%sign%')
+select doc_id, arg_min(word, row(case when lower(word) in ('view1', 'click2', 'error3') then 0 else 1 end, pos)) as location from p group by 1""")
+def location_choice(spark, sf):
+    e = ents(spark, sf).where("entity_group = 'ROLE' and word not like '%sign%'").withColumn("entity_group", F.lit("LOCATION"))
+    return report.best_location(e, ["view1", "click2", "error3"])
