@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import ball_tree, bpe_codec, exact_dedup, html_text, packing, quality, simhash, token_counts, url_filter
+from quire.llm import ball_tree, bpe_codec, exact_dedup, html_text, license_scan, packing, quality, simhash, token_counts, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_token_counts": token_counts.op1_token_counts,
         "op2_html_text": html_text.op2_html_text,
         "op3_simhash": simhash.op3_simhash,
+        "op4_license_scan": license_scan.op4_license_scan,
         "op5_quality": quality.op5_quality,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_topk_search": ball_tree.op7_topk_search,
