@@ -17,13 +17,25 @@ distinct fingerprints; copies never meet.
   each), for two fingerprints share such a word exactly if they differ in at most two bits,
   and no word has more than 65 of them.
 * Links make components (see ``components``).
+
+``drop_near_copies``, the pipeline's stage, has a criterion of its own: texts whose sets
+of five-word shingles have a Jaccard similarity of at least 0.8 are linked.
+
+* Candidates share a band of five least hashes. Of pairs with a similarity of 0.8 a part
+  of (1 - 0.8^5)^40 = 1.2e-7 shares none of the 40 bands, of more similar ones less.
+* Work is on distinct sets; only sets with a candidate are made a second time, and
+  every link is verified by the sets themselves.
+* In a band that more than ``BUCKET`` sets share, all are compared with the ``PIVOTS`` of
+  them that have the fewest rare shingles, and those that share a rare shingle with each
+  other; then those that still lie in different components are compared pair by pair, but
+  for pairs that have too many rare shingles to be similar. Nothing is capped.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm.components import components
@@ -37,6 +49,12 @@ WORDS, SEED = 3, 42
 BUCKET = 64
 #: Words that are hashed at a time.
 STRETCH = 1 << 16
+#: The stage's shingles; bands and least hashes of a band; sets of a full band that all its others are compared with first.
+STAGE_WORDS, BANDS, ROWS, PIVOTS = 5, 40, 5, 4
+#: Sets of full bands that may have a rare shingle.
+RARE = 16
+#: Shingles whose hashes are permuted at a time.
+CHUNK = 1 << 11
 #: The Golay code's generator x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1, its length, and the segments' widths.
 GENERATOR, LENGTH, SEGMENTS = 0b110001110101, 23, (21, 21, 22)
 
@@ -205,9 +223,112 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", b
     return prints.join(known, F.col("f") == F.col("g")).select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+_RANDOM = np.random.default_rng(SEED)
+_MIX = _RANDOM.integers(0, 1 << 64, 8, dtype=np.uint64) | np.uint64(1)
+_TIMES = _RANDOM.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32) | np.uint32(1)
+_PLUS = _RANDOM.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32)
+_BAND = _RANDOM.integers(0, 1 << 64, BANDS, dtype=np.uint64)
+
+
+def shingle_set(text: str, size: int = STAGE_WORDS) -> np.ndarray:
+    """Hashes (uint64) of the distinct shingles; a text of fewer words is one shingle, one without words has none."""
+    from xxhash import xxh64_intdigest
+
+    words = words_of(text)
+    size = min(size, len(words))
+    hashes = np.array([xxh64_intdigest(w, SEED) for w in words], np.uint64)
+    total = np.zeros(len(words) - size + 1 if words else 0, np.uint64)
+    for i in range(size):
+        total += hashes[i : i + len(total)] * _MIX[i]
+    total ^= total >> np.uint64(32)
+    total *= _MIX[-1]
+    return np.unique(total ^ total >> np.uint64(29))
+
+
+def set_name(own: np.ndarray) -> int:
+    """A signed number that names a set of shingles."""
+    from xxhash import xxh64_intdigest
+
+    return int(np.uint64(xxh64_intdigest(own.tobytes(), SEED)).view(np.int64))
+
+
+def band_keys(own: np.ndarray) -> np.ndarray:
+    """The keys (bigint) of a set's bands; none of an empty set."""
+    if not len(own):
+        return np.zeros(0, np.int64)
+    upper, least = (own >> np.uint64(32)).astype(np.uint32), np.full(len(_TIMES), 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(upper), CHUNK):
+        least = np.minimum(least, (upper[None, at : at + CHUNK] * _TIMES + _PLUS).min(axis=1))
+    return ((least.reshape(BANDS, ROWS) * _MIX[:ROWS]).sum(axis=1, dtype=np.uint64) ^ _BAND).view(np.int64)
+
+
+def similar_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket: int = BUCKET, pivots: int = PIVOTS) -> DataFrame:
+    """One row per row of ``df``: doc_id, h (xxhash64 of the text), component_id: the smallest doc_id reachable over similarities of at least 0.8.
+
+    Texts without words are copies of one another. Null ids have no say in component_id.
+    """
+    own = df.select(text_or_empty(text).alias("text"), F.col(doc_id).alias("doc_id")).withColumn("h", F.xxhash64("text"))
+
+    def banded(batches):
+        for batch in batches:
+            sets = [shingle_set(x.as_py()) for x in batch.column(0)]
+            columns = [pa.array([set_name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *columns], names=["doc_id", "h", "f", "n", "keys"])
+
+    rows = cut(own.mapInArrow(banded, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, h bigint, f bigint, n bigint, keys array<bigint>"))
+    distinct = rows.groupBy("f").agg(F.min("doc_id").alias("least"))
+    keyed = rows.groupBy("f").agg(F.first("n").alias("n"), F.first("keys").alias("keys")).select("f", "n", F.explode("keys").alias("key"))
+    same = Window.partitionBy("key")
+    shared = cut(keyed.select("key", "f", "n", F.count("*").over(same).alias("m")).where("m > 1"))
+    wanted = rows.join(shared.select("f").distinct(), "f", "left_semi").select("h").distinct()
+
+    def whole(batches):
+        for batch in batches:
+            sets = [shingle_set(x.as_py()) for x in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([set_name(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["f", "shingles"])
+
+    sets = cut(own.join(wanted, "h", "left_semi").select("text").mapInArrow(whole, "f bigint, shingles array<bigint>").dropDuplicates(["f"]))
+    full = shared.where((F.col("m") > bucket) & (F.col("m") > pivots)).select("f").distinct()
+    # Of the sets of full bands those that share a rare shingle are compared for that; for all other pairs the rare ones bound
+    # the similarity. The set with the fewest is the likeliest centre.
+    own_shingles = sets.join(full, "f", "left_semi").select("f", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    rare = cut(own_shingles.join(own_shingles.groupBy("s").agg(F.count("*").alias("c")).where(F.col("c") <= RARE), "s"))
+    lone = full.join(rare.groupBy("f").agg(F.count("*").alias("u")), "f", "left").select(F.col("f").alias("g"), F.coalesce("u", F.lit(0)).alias("u"))
+    first, second = (rare.where("c > 1").select("s", *[F.col(c).alias(f"{c}_{x}") for c in ("f", "n")]) for x in "ab")
+    by_rare = first.join(second, "s").where("f_a < f_b and 5 * n_a >= 4 * n_b and 5 * n_b >= 4 * n_a").select("f_a", "f_b")
+    bounded = shared.join(lone, F.col("f") == F.col("g"), "left").select("key", "f", "n", "m", "u")
+    shared = cut(bounded.withColumn("r", F.row_number().over(same.orderBy("u", "f"))))
+    first, second = (shared.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("f", "n", "u", "r", "m")]) for x in "ab")
+    both = F.col("u_a").isNotNull() & F.col("u_b").isNotNull()  # rare shingles are counted among the sets of full bands
+    close = 9 * F.when(both, F.least(F.col("n_a") - F.col("u_a"), F.col("n_b") - F.col("u_b"))).otherwise(F.least("n_a", "n_b")) >= 4 * (F.col("n_a") + F.col("n_b"))
+    pairs = first.join(second, "key").where(F.col("r_a") < F.col("r_b")).where(close).where((F.col("m_a") <= bucket) | (F.col("r_a") <= pivots))
+    found = cut(_similar(pairs.select("f_a", "f_b").unionByName(by_rare), sets))
+    crowded = shared.where((F.col("m") > bucket) & (F.col("m") > pivots))
+    if not crowded.isEmpty():
+        classes = components(found).select(F.col("node").alias("f"), "component")
+        placed = crowded.join(classes, "f", "left").select("key", "f", "n", "u", "r", F.coalesce("component", "f").alias("c"))
+        several = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+        placed = cut(placed.join(several, "key", "left_semi"))
+        first, second = (placed.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("f", "n", "u", "r", "c")]) for x in "ab")
+        rest = first.join(second, "key").where((F.col("r_a") < F.col("r_b")) & (F.col("r_a") > pivots) & (F.col("c_a") != F.col("c_b"))).where(close)
+        found = found.unionByName(_similar(rest, sets))
+    named = components(found).join(distinct, F.col("node") == F.col("f")).select("f", "component", "least")
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    linked = named.join(least, "component").select(F.col("f").alias("g"), "component_id")
+    known = cut(distinct.join(linked, F.col("f") == F.col("g"), "left").select(F.col("f").alias("g"), F.coalesce("component_id", "least").alias("component_id")))
+    return rows.join(known, F.col("f") == F.col("g")).select("doc_id", "h", "component_id")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): of pairs (f_a, f_b) those whose sets have a similarity of at least 0.8."""
+    x, y = (sets.select(F.col("f").alias(f"f_{s}"), F.col("shingles").alias(f"set_{s}")) for s in "ab")
+    both = pairs.select("f_a", "f_b").distinct().join(x, "f_a").join(y, "f_b")
+    return both.where(9 * F.size(F.array_intersect("set_a", "set_b")) >= 4 * (F.size("set_a") + F.size("set_b"))).select(F.col("f_a").alias("a"), F.col("f_b").alias("b"))
+
+
 def drop_near_copies(df: DataFrame) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id, with the columns of ``df``; rows without an id stay."""
-    groups = near_duplicates(df)
+    """One document of each group of similar ones (``similar_groups``), the one with the smallest doc_id, with the columns of ``df``; rows without an id stay."""
+    groups = similar_groups(df)
     return df.join(groups.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(*[f"`{c}`" for c in df.columns])
 
 

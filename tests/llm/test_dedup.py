@@ -160,3 +160,71 @@ def test_drop_near_copies_keeps_columns(spark, documents):
     df = documents([(5, "same words here today"), (3, "same  words here today"), (9, "quite another text altogether now")])
     kept = simhash.drop_near_copies(df)
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [3, 9]
+
+
+def brute_similar(rows):
+    """doc_ids that stay where five-word shingles with a Jaccard similarity of 0.8 or more link texts."""
+    sets = []
+    for _, t in rows:
+        w = re.findall("[^\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    own = list(range(len(rows)))
+
+    def root(x):
+        while own[x] != x:
+            x = own[x]
+        return x
+
+    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a == b or 5 * len(a & b) >= 4 * len(a | b)]
+    for i, j in links:
+        own[root(i)] = root(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[root(i)] = min(least.get(root(i), d), d)
+    return sorted(least.values()), links
+
+
+def planted(rng, copies):
+    """Texts of 20 to 400 words with copies of which up to a fifth of the shingles changes."""
+    rows = []
+    for k in range(12):
+        words = [f"w{rng.randint(0, 3000)}" for _ in range(rng.choice([20, 60, 150, 400]))]
+        for c in range(copies):
+            own = list(words)
+            for _ in range(rng.randint(0, max(1, len(words) // 30)) if c else 0):
+                own[rng.randrange(len(own))] = f"new{rng.randint(0, 9999)}"
+            rows.append((1000 - 40 * k + c, " ".join(own)))
+    return rows
+
+
+@pytest.mark.parametrize("bucket, pivots", [(64, 4), (3, 1)])
+def test_drop_near_copies_finds_planted_pairs(spark, documents, bucket, pivots):
+    rows = planted(random.Random(5), 8) + [(1, None), (2, " "), (3, "one two"), (4, "One  two"), (5, "two one")]
+    want, links = brute_similar(rows)
+    prints = [brute_print(t) for _, t in rows]
+    assert sum((prints[i] ^ prints[j]).bit_count() > 2 for i, j in links) > len(links) / 3  # which two bits would miss
+    groups = simhash.similar_groups(documents(rows), bucket=bucket, pivots=pivots)
+    assert sorted(r["doc_id"] for r in groups.where("doc_id = component_id").collect()) == want
+    if bucket == 64:
+        assert sorted(r["doc_id"] for r in simhash.drop_near_copies(documents(rows)).collect()) == want
+
+
+def test_large_group_of_similar_texts(spark, documents):
+    rng = random.Random(6)
+    words, rows = [f"w{i}" for i in range(150)], []
+    for k in range(150):
+        own = list(words)
+        for at in rng.sample(range(150), k % 6):
+            own[at] = rng.choice(["red", "blue", f"new{k}"])
+        rows.append((500 - k, " ".join(own)))
+    groups = simhash.similar_groups(documents(rows), bucket=16, pivots=2).collect()
+    assert sorted(r["doc_id"] for r in groups if r["doc_id"] == r["component_id"]) == brute_similar(rows)[0]
+
+
+def test_bands_of_similar_sets():
+    rng, shared = np.random.default_rng(3), []
+    for _ in range(300):
+        common, apart = rng.integers(0, 1 << 64, 160, dtype=np.uint64), rng.integers(0, 1 << 64, 40, dtype=np.uint64)
+        a, b = (np.unique(np.concatenate([common, x])) for x in (apart[:20], apart[20:]))  # similarity 0.8
+        shared.append(np.mean(simhash.band_keys(a) == simhash.band_keys(b)))
+    assert min(shared) > 0 and abs(np.mean(shared) - 0.8**5) < 0.02
