@@ -1,7 +1,7 @@
 """Operator 4, licence scans by sentence rules.
 
 A text is cut into sentences, at line ends and after marks. A sentence that runs
-on over line ends is also tried as a whole, from each of its lines on. Sentences
+on over line ends, colons or semicolons is also tried as a whole, from each of its parts on. Sentences
 are normalised (letters and digits in lower case) and looked up among known
 licence sentences. The identifiers found, in order, are matched against ordered licence
 rules: a rule is a sequence of identifiers that must follow one another with at most
@@ -111,9 +111,9 @@ class Scanner:
 
     def sentences(self, text: str) -> list[Found]:
         """Known sentences in order, of those that overlap the one that begins first and is longest."""
-        found, open_, number, at = [], [], 0, 0  # open_: (normalised, begin, number) of lines that the sentence so far consists of
-        ends = [(m.start(), m.end(), m.group() == "\n") for m in _END.finditer(text)] + [(len(text), len(text), False)]
-        for stop, after, line_end in ends:
+        found, open_, number, at = [], [], 0, 0  # open_: (normalised, begin, number) of parts that the sentence so far consists of
+        ends = [(m.start(), m.end(), not m.group().strip("\n:;")) for m in _END.finditer(text)] + [(len(text), len(text), False)]
+        for stop, after, inner in ends:
             own = normalise(text[at:stop]) if stop > at else ""
             if own:
                 identifier, begin, first = self.known.get(own), at, number
@@ -128,9 +128,9 @@ class Scanner:
                     while found and found[-1].last >= first:
                         found.pop()
                     found.append(Found(first, number, identifier, begin, stop))
-                open_ = [*open_, (own, at, number)][-self.longest :] if line_end else []
+                open_ = [*open_, (own, at, number)][-self.longest :] if inner else []
                 number += 1
-            elif not line_end:
+            elif not inner:
                 open_ = []
             at = after
         return found

@@ -44,6 +44,31 @@ def test_whole_licence_is_one_match():
     assert ("x\n" + MIT)[begin:end].startswith("MIT License") and ("x\n" + MIT)[begin:end].endswith("Software")
 
 
+GPL = """This program is free software{mark} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{then} either version {version} of the License, or
+(at your option) any later version.
+"""
+PUBLISHED = [
+    ("SPDX-License-Identifier: MIT", "MIT"), ("// SPDX-License-Identifier: Apache-2.0", "Apache-2.0"), ("# SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0"),
+    ("SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0"), ("/* SPDX-License-Identifier: BSD-3-Clause */", "BSD-3-Clause"),
+    (GPL.format(mark=":", then=",", version=3), "GPL-3.0"), (GPL.format(mark=";", then=";", version=2), "GPL-2.0"), (GPL.format(mark=";", then=",", version=2), "GPL-2.0"),
+    ('Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n', "Apache-2.0"),
+]
+
+
+@pytest.mark.parametrize("notice, licence", PUBLISHED)
+def test_published_notices(notice, licence):
+    assert scan(notice) == scan(f"Some words.\n{notice}\nmore: words") == [licence]
+
+
+@pytest.mark.parametrize("mark", ["\n", ": ", "; "])
+def test_every_sentence_over_inner_marks(mark):
+    scanner = license_scan.Scanner()
+    for sentence, identifier in scanner.known.items():
+        assert identifier in [f.identifier for f in scanner.sentences(sentence.replace(" ", mark, 2))], sentence
+
+
 def test_rules_in_order_and_gaps():
     rules = (("AB", ("a", "b")), ("A", ("a",)), ("B", ("b",)))
     scanner = license_scan.Scanner({"one": "a", "two": "b"}, rules, gap=1)
