@@ -1,6 +1,7 @@
 import itertools
 import os
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -188,3 +189,13 @@ def test_held_out_accuracy(spark):
     folder = DATA.replace("sf0.001", "sf0.01")
     rows = registry.queries()["op5_quality"](spark, folder).where("held_out").join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").collect()
     assert sum(r["predicted"] == r["quality"] for r in rows) >= 0.95 * len(rows)
+
+
+def test_quality_repeated_id_takes_no_places(spark, documents):
+    good = [(i, "the lamp and the river walk of stone. " * (i % 5 + 1)) for i in range(101, 140)]
+    bad = [(i, "BUY!! NOW!! $$$ 111 " * (i % 5 + 1)) for i in range(201, 240)]
+    hot = next(i for i in range(1, 50) if zlib.crc32(str(i).encode()) % 5)
+    labels = spark.createDataFrame([(i, int(i < 200)) for i, _ in good + bad + [(hot, "")]], "doc_id long, quality int")
+    once = good + bad + [(hot, good[0][1])]
+    learned = [quality.learn(quality.featured(documents(rows)), labels, 100) for rows in (once, once + [(hot, good[0][1])] * 400)]
+    assert learned[0] == learned[1] and any(learned[0].weights)
