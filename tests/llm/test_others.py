@@ -1,6 +1,7 @@
 import itertools
 import os
 import random
+import time
 import zlib
 
 import numpy as np
@@ -28,9 +29,71 @@ def test_main_text():
     assert html_text.main_text('<article><p>one <span style="display: none">x</span><span class="ad">y</span><button>z</button>two <b>three</article>') == "one two three"
 
 
+LONG = "A paragraph that is long enough to be taken for prose of an article, with some more words in it, so that it counts as such."
+
+
+@pytest.mark.parametrize("page", [
+    '<div class="content has-sidebar"><p>{}</p></div>', '<article class="post comments-open"><p>{}</p></article>', '<main class="no-ads"><p>{}</p></main>', '<main id="legal-history"><p>{}</p></main>',
+    '<article><div class="related-work"><p>{}</p></div></article>', '<body class="comments sidebar"><p>{}</p></body>', '<form><div class="content"><p>{}</p></div></form>', '<div class="sidebar"><article><p>{}</p></article></div>',
+    '<div class="widget"><main><p>{}</p></main></div><div class="ad">Buy</div>', '<article><p>{}</p><section class="comments"><article><p>Nice one, I have read it all and liked it much.</p></article></section></article>',
+    '<article><script src=/x/>var a = "<p>b</p>";</script><p>{}</p></article>', '<article><p>{}</p><div class="post-comments"><p>One more that says nothing.</p></div><aside>See this</aside></article>',
+    '<article><p>{}</p></article><div class="cookie-notice">We use them</div><div class="relatedPosts"><p>Others</p></div><ol class="comment-list"><li>Well said</ol>',
+])
+def test_names_of_elements(page):
+    """A name that only holds a word for boilerplate, or stands on a wrapper of the article, takes nothing away; whole names do."""
+    assert html_text.main_text(page.format(LONG)) == LONG
+
+
+def test_raw_and_unclosed_elements():
+    assert html_text.main_text(f"<div><button>open<p>{LONG}</p></div><p>{LONG}") == f"open\n{LONG}\n{LONG}"
+    assert html_text.main_text(f"<article><p>{LONG}<p>a <math><mi>x</mi><mo>=</mo><mn>2</mn></math> b<svg/> c<svg><title>d</title></svg><iframe>e</article>") == f"{LONG}\na x=2 b c e"
+    assert html_text.main_text(f"<p>{LONG}</p><script>open <p>x</p>") == LONG
+
+
+def test_cut_decides():
+    """A short block between long ones is boilerplate by its own evidence, and stays by its neighbours; without them it goes."""
+    page = f"<div>{LONG}</div><div>* * *</div><div>{LONG}</div>"
+    assert html_text.main_text(page) == f"{LONG}\n* * *\n{LONG}" and html_text.main_text("<div>* * *</div>") == ""
+    assert [b.evidence > 0 for b, _ in html_text.labelled(page)] == [True, False, True]
+
+
+def random_page(rng):
+    """A page of at most a dozen texts."""
+
+    def part(depth):
+        tag = rng.choice("div section ul article p li nav aside h2 table td main".split())
+        name = rng.choice(["", "", ' class="related-work"', ' class="ad"', ' class="content"', ' id="comments"', ' class="legal-notes share"'])
+        inner = "".join(part(depth + 1) if depth < 3 and rng.random() < 0.5 else rng.choice(["word ", LONG, '<a href="/">link</a> ', "a few words "]) for _ in range(rng.randint(1, 3)))
+        return f"<{tag}{name}>{inner}</{tag}>"
+
+    return "".join(part(0) for _ in range(2))
+
+
+def test_whole_pages_by_brute_force():
+    """The text of a page is that of the cheapest labelling, of equal ones the one with the fewest content blocks."""
+    rng, changed, tried = random.Random(5), 0, 0
+    for _ in range(400):
+        page = random_page(rng)
+        pairs = html_text.labelled(page)
+        if len(pairs) > 10:
+            continue
+        blocks = [b for b, _ in pairs]
+        capacity, links = [round(html_text.SCALE * b.evidence) for b in blocks], html_text.edges(blocks)
+        cost = lambda side: sum(abs(e) for e, s in zip(capacity, side) if s != (e > 0)) + sum(c for i, j, c in links if side[i] != side[j])
+        best = min(itertools.product((False, True), repeat=len(blocks)), key=lambda side: (cost(side), sum(side)))
+        assert html_text.main_text(page) == "\n".join(b.text for b, keep in zip(blocks, best) if keep)
+        changed += sum((c > 0) != keep for c, keep in zip(capacity, best))
+        tried += len(blocks)
+    assert tried > 1000 and changed > 20
+
+
 def test_long_and_deep_pages():
     assert html_text.main_text("<article>" + "<p>abc def</p><div class=ad>ad</div>" * 3000 + "</article>").count("abc def") == 3000
     assert html_text.main_text("<div>" * 5000 + "<p>a paragraph that is long enough to be a text</p>").startswith("a paragraph")
+    for page in ("<div>" * 20_000 + "x" + "</div>" * 20_000, "<div>x" * 20_000, "<b><p>x" * 20_000, "<button>x" * 20_000):
+        began = time.process_time()
+        html_text.main_text(page)
+        assert time.process_time() - began < 2
 
 
 def test_minimum_cut_by_brute_force():
