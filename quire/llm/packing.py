@@ -4,10 +4,15 @@ Pieces matter to the packing only by their length, so the driver sees a
 histogram of at most ``capacity`` lengths, however many documents there are. A
 configuration is a multiset of lengths that fits one sequence. The program
 "fewest configurations that cover the histogram" is solved by multiplicative
-weights: a knapsack by dynamic programming prices the configurations that are
-worth most under the current weights, and what they cover loses weight. Its
-solution is rounded down to whole numbers of copies within what is left to
-cover, the rest is solved again, and the last few pieces are put by best fit.
+weights: a length's weight falls with the share of its pieces that is covered, and a
+knapsack by dynamic programming prices, for every length as the longest, the configuration
+that is worth most under the current weights. Worths begin as lengths, which is right where
+sequences can be filled up; where that leaves more than ``GAP`` of them empty, they begin as weights
+that a program over groups of lengths has found, and the better plan is taken. The solution is rounded down to whole
+numbers of copies; what is left is a smaller program of the same kind, solved and rounded in its
+turn. Where nearly all numbers are below one, some configurations are taken once, those with the
+longest pieces first. So every piece, at every size of table, gets its place from a
+priced configuration.
 
 Copies of a configuration get consecutive sequence numbers, so the solution is a
 list of ranges: "ranks ``start .. start + copies - 1`` among the pieces of this length
@@ -34,14 +39,15 @@ from quire.llm.units import BoundedCache, stretches, units
 #: Tokens of a sequence, and the id that ends a document.
 CAPACITY, END = 2048, 0
 CACHED = 150_000
-#: Of the solver: configurations priced in a round, how fast weights fall, a round's part of all
-#: sequences (one in so many), times that the rest is solved again, pieces few enough for best fit.
-PRICED, RATE, PART, LEVELS, ALONE = 48, 0.5, 20, 6, 32_768
-#: (Rounds, how many of them only find the weights): without such, full configurations come first, which is best for even
-#: histograms; with them, lengths that are hard to place. Both are solved, the plan with fewer sequences is taken.
-SCHEDULES = ((80, 0), (120, 40))
+#: Of the solver: rounds of a program at most, how fast weights fall, how much hard lengths count besides the length
+#: itself and how steeply that rises, a round's bound on the copies of a length (a part of the round's sequences), and the
+#: share of what is left that each rounding takes at least.
+ROUNDS, RATE, HARD, STEEP, PART, SHARE = 20, 4.0, 1.0, 6, 8, 0.1
+#: Of the program over groups of lengths: groups, rounds, how much weights change, configurations of a round; of worths that
+#: begin with its weights, how much a length that is covered less counts besides; and the part of the volume that a plan may be above it.
+LENGTH_GROUPS, GROUP_ROUNDS, GROUP_RATE, GROUP_PRICED, UNCOVERED, GAP = 64, 300, 0.1, 8, 0.1, 0.001
 #: Groups in which pieces are ranked: no smaller than this many rows, about so many groups in all.
-GROUP_ROWS, GROUPS = 256, 8192
+GROUP_ROWS, GROUPS = 256, 65_536
 
 Configuration = tuple[tuple[int, int], ...]
 
@@ -67,115 +73,151 @@ class Plan:
         return self.first_sequence[lo] + ranks - self.start[lo], self.offset[lo]
 
 
-def price(worth: np.ndarray, capacity: int, many: int) -> list[Configuration]:
-    """The configurations worth most, one for each of the ``many`` best last lengths; ``worth`` has the worth of each length, from 0."""
-    sizes = np.flatnonzero(worth > 0)
-    values = worth[sizes]
-    best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    upto = np.searchsorted(sizes, np.arange(capacity + 1), "right")
-    for c in range(1, capacity + 1):
-        best[c], last[c] = best[c - 1], 0
-        if k := upto[c]:
-            found = best[c - sizes[:k]] + values[:k]
-            if found[j := int(found.argmax())] > best[c]:
-                best[c], last[c] = found[j], sizes[j]
-    whole = best[capacity - sizes] + values
-    out = set()
-    for j in np.argsort(-whole, kind="stable")[:many]:
-        if whole[j] < 0.995 * best[capacity]:
-            break
-        held, room = Counter([int(sizes[j])]), capacity - int(sizes[j])
-        while room > 0:
-            if last[room]:
-                held[int(last[room])] += 1
-                room -= int(last[room])
-            else:
-                room -= 1
-        out.add(tuple(sorted(held.items(), reverse=True)))
-    return sorted(out)
-
-
-def fractional(left: np.ndarray, capacity: int, rounds: int, only_weights: int, many: int = PRICED, rate: float = RATE) -> dict[Configuration, float]:
-    """A fractional cover of ``left`` (how many pieces of each length, from 0) by multiplicative weights.
-
-    Weights begin as lengths. A round takes the configurations that are worth most, a small part of all sequences
-    in all, and lengths lose weight by the share of their pieces that it covers.
-    The first rounds may only find the weights.
+class Prices:
+    """A knapsack over lengths with bounded numbers of copies; a row of ``took`` for each package (length, copies), shortest first.
+
+    Bounds are split into powers of two, so there are at most ``log2`` packages a length, and a byte of ``took`` for
+    each package and each fill.
     """
-    sizes = np.arange(len(left))
-    held = left > 0
-    weight = np.where(held, sizes / capacity, 0.0)
-    need = (sizes * left).sum() / capacity
-    copies: dict[Configuration, float] = {}
-    for round_ in range(rounds):
-        steps = {conf: min(left[length] / n for length, n in conf) for conf in price(weight, capacity, many)}
-        part = min(0.25, need / PART / max(sum(steps.values()), 1e-9))
+
+    def __init__(self, worth: np.ndarray, bound: np.ndarray, capacity: int):
+        self.capacity, self.packages = capacity, []
+        for length in np.flatnonzero((worth > 0) & (bound > 0)).tolist():
+            many, k = min(int(bound[length]), capacity // length), 1
+            while many > 0:
+                self.packages.append((length, min(k, many)))
+                many -= k
+                k *= 2
+        best = np.zeros(capacity + 1)
+        self.took = np.zeros((len(self.packages), capacity + 1), bool)
+        #: What the best configuration is worth that has this package and of the others only those before it.
+        self.whole = np.empty(len(self.packages))
+        for i, (length, k) in enumerate(self.packages):
+            size, value = length * k, worth[length] * k
+            self.whole[i] = best[capacity - size] + value
+            found = best[: capacity + 1 - size] + value
+            better = found > best[size:] + 1e-12
+            self.took[i, size:] = better
+            np.copyto(best[size:], found, where=better)
+
+    def configuration(self, i: int) -> Configuration:
+        """The best one whose last package is ``i``."""
+        length, k = self.packages[i]
+        held, room = Counter({length: k}), self.capacity - length * k
+        for j in range(i - 1, -1, -1):
+            if room == 0:
+                break
+            if self.took[j, room]:
+                length, k = self.packages[j]
+                held[length] += k
+                room -= length * k
+        return tuple(sorted(held.items(), reverse=True))
+
+
+def length_worths(left: np.ndarray, capacity: int) -> np.ndarray:
+    """What each length is worth, by multiplicative weights over groups of lengths of about equal volume, each as long as its longest."""
+    sizes, held = np.arange(len(left)), np.flatnonzero(left)
+    volume = sizes * left
+    group = np.minimum((np.cumsum(volume)[held] - volume[held] / 2) * LENGTH_GROUPS // volume.sum(), LENGTH_GROUPS - 1)
+    many = np.zeros(len(left))
+    for g in np.unique(group):
+        own = held[group == g]
+        many[own[-1]] = left[own].sum()
+    open_, need = many > 0, float((sizes * many).sum()) / capacity
+    worth, total = np.where(open_, sizes / capacity, 0.0), np.zeros(len(left))
+    bound = np.where(open_, capacity // np.maximum(sizes, 1), 0)
+    for r in range(GROUP_ROUNDS):
+        prices = Prices(worth, bound, capacity)
+        worth = worth / prices.whole.max()
+        if r >= GROUP_ROUNDS // 3:
+            total += worth
+        best = [i for i in np.argsort(-prices.whole, kind="stable").tolist()[:GROUP_PRICED] if prices.whole[i] >= 0.99 * prices.whole.max()]
         used = np.zeros(len(left))
-        for conf, step in steps.items():
-            if round_ >= only_weights:
-                copies[conf] = copies.get(conf, 0.0) + step * part
-            for length, n in conf:
-                used[length] += step * part * n
-        covered = np.divide(used, left, out=np.zeros(len(left)), where=held)
-        weight *= np.exp(-rate * np.minimum(covered, 4.0))
-        weight /= weight.max()
+        for i in best:
+            for length, n in prices.configuration(i):
+                used[length] += n * need / len(best)
+        covered = np.divide(used, many, out=np.zeros(len(left)), where=open_)
+        worth = worth * np.exp(-GROUP_RATE / (1 + r) ** 0.5 * np.minimum(covered - 1, 5.0))
+    known = np.flatnonzero(total)
+    between = np.interp(sizes, [0, *known], [0.0, *np.maximum.accumulate(total[known])])  # a longer piece is worth no less
+    return np.where(left > 0, between / between.max(), 0.0)
+
+
+def fractional(left: np.ndarray, base: np.ndarray, hard: np.ndarray, capacity: int, rounds: int) -> dict[Configuration, float]:
+    """A fractional packing of ``left`` (how many pieces of each length, from 0) by multiplicative weights.
+
+    A length is worth ``base``, and a part of that more which is ``hard`` at first and falls by the share of its pieces
+    that is covered. A round gives an even part of all sequences
+    to the configurations that are worth most, within the pieces that are not covered yet.
+    """
+    sizes, held, open_ = np.arange(len(left)), left > 0, left.astype(float)
+    quota = (sizes * left).sum() / capacity / rounds
+    copies: dict[Configuration, float] = {}
+    for _ in range(rounds):
+        live = open_ > 1e-6 * left.max()
+        if not live.any():
+            break
+        share = np.divide(open_, left, out=np.zeros(len(left)), where=held)
+        worth = np.where(live, base * (1 + hard * np.exp(RATE * (share - share[live].max()))), 0.0)
+        bound = np.where(live, np.maximum(1, left // max(1.0, quota / PART)), 0).astype(np.int64)
+        prices, given = Prices(worth, bound, capacity), 0.0
+        for i in np.argsort(-prices.whole, kind="stable").tolist():
+            if given >= quota:
+                break
+            length = prices.packages[i][0]
+            if open_[length] <= 0:
+                continue
+            conf = prices.configuration(i)
+            step = min(quota - given, max(quota / 64, left[length] / rounds), *(open_[size] / n for size, n in conf))
+            if step > 0:
+                copies[conf] = copies.get(conf, 0.0) + step
+                given += step
+                for size, n in conf:
+                    open_[size] -= n * step
     return copies
 
 
-def _take(left: np.ndarray, conf: Configuration, copies: int) -> None:
-    for length, n in conf:
-        left[length] -= copies * n
+def round_down(copies: dict[Configuration, float], left: np.ndarray, capacity: int) -> list[tuple[Configuration, int]]:
+    """Whole numbers of copies within ``left``, from which they are taken.
 
+    Where that is less than ``SHARE`` of what is left, further ones are taken once each, those with the longest pieces first.
+    """
+    wanted, out = SHARE * (np.arange(len(left)) * left).sum() / capacity, []
 
-def round_down(copies: dict[Configuration, float], left: np.ndarray, capacity: int) -> list[tuple[Configuration, int]]:
-    """Whole numbers of copies in proportion to the solution and within ``left``, from which they are taken."""
-    share = (np.arange(len(left)) * left).sum() / capacity / max(sum(copies.values()), 1e-9)
-    out = []
-    for conf in sorted(copies, key=lambda c: (-copies[c], c)):
-        if k := min(int(copies[conf] * share), *(int(left[length]) // n for length, n in conf)):
+    def take(conf: Configuration, most: int) -> int:
+        k = min(most, *(int(left[length]) // n for length, n in conf))
+        if k:
             out.append((conf, k))
-            _take(left, conf, k)
+            for length, n in conf:
+                left[length] -= k * n
+        return k
+
+    given = sum(take(conf, int(copies[conf])) for conf in sorted(copies, key=lambda c: (-copies[c], c)))
+    for conf in sorted(copies, key=lambda c: [(-length, -n) for length, n in c]):
+        if given >= wanted:
+            break
+        given += take(conf, 1)
     return out
 
 
-def fill_up(left: np.ndarray, capacity: int, enough: int) -> list[tuple[Configuration, int]]:
-    """Fullest configurations one by one, each as often as it goes, until ``enough`` pieces are left; each uses up a length at least."""
-    out = []
-    while left.sum() > enough:
-        conf = price(np.where(left > 0, np.arange(len(left)), 0).astype(float), capacity, 1)[0]
-        conf = tuple((length, min(n, int(left[length]))) for length, n in conf)
-        k = min(int(left[length]) // n for length, n in conf)
-        out.append((conf, k))
-        _take(left, conf, k)
-    return out
+def rounded(left: np.ndarray, base: np.ndarray, hard: np.ndarray, capacity: int) -> Counter:
+    """Copies of configurations for all pieces of ``left``; each program leaves less to the next."""
+    left, chosen = left.copy(), Counter()
+    while left.any():
+        need = (np.arange(len(left)) * left).sum() / capacity
+        for conf, k in round_down(fractional(left, base, hard, capacity, max(2, min(ROUNDS, int(need / 8) + 1))), left, capacity):
+            chosen[conf] += k
+    return chosen
 
 
-def best_fit(left: np.ndarray, capacity: int) -> list[tuple[Configuration, int]]:
-    """What is left, longest first, each into the fullest sequence that it fits; at most ``ALONE`` pieces come here."""
-    by_room: list[list[list[int]]] = [[] for _ in range(capacity + 1)]
-    for length in range(len(left) - 1, 0, -1):
-        for _ in range(int(left[length])):
-            room = next((r for r in range(length, capacity + 1) if by_room[r]), None)
-            held = by_room[room].pop() if room is not None else []
-            held.append(length)
-            by_room[(capacity if room is None else room) - length].append(held)
-    found = Counter(tuple(sorted(Counter(held).items(), reverse=True)) for own in by_room for held in own)
-    return sorted(found.items())
-
-
-def configurations(left: np.ndarray, capacity: int, rounds: int, only_weights: int) -> list[tuple[Configuration, int]]:
-    """Configurations with their copies for all pieces of ``left``."""
-    left = left.copy()
-    chosen: list[tuple[Configuration, int]] = []
-    for level in range(LEVELS):
-        before = left.sum()
-        if before <= (ALONE if level else 0):
-            break
-        chosen += round_down(fractional(left, capacity, rounds, only_weights), left, capacity)
-        if left.sum() > 0.8 * before:  # counts so small that rounding down leaves most
-            break
-    chosen += fill_up(left, capacity, ALONE)
-    return chosen + best_fit(left, capacity)
+def configurations(left: np.ndarray, capacity: int) -> list[tuple[Configuration, int]]:
+    """Configurations with their copies for all pieces of ``left``, by worths that begin as lengths or as found over groups of lengths."""
+    sizes = np.arange(len(left))
+    plan = rounded(left, sizes.astype(float), HARD * (sizes / capacity) ** STEEP, capacity)
+    if plan.total() > (1 + GAP) * (sizes * left).sum() / capacity + 1:
+        base = length_worths(left, capacity)
+        plan = min(plan, rounded(left, base, UNCOVERED * base, capacity), key=Counter.total)
+    return sorted(plan.items(), reverse=True)
 
 
 def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
@@ -185,8 +227,7 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
         left[length] = n
     whole = [(((capacity, 1),), int(left[capacity]))] if left[capacity] else []
     left[capacity] = 0
-    plans = [configurations(left, capacity, *schedule) for schedule in SCHEDULES]
-    chosen = whole + min(plans, key=lambda plan: sum(k for _, k in plan))
+    chosen = whole + configurations(left, capacity)
     ranked, ranges, sequences = Counter(), [], 0
     for conf, k in chosen:
         offset = 0
@@ -209,8 +250,7 @@ def piece_documents(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end
 
     def pieces(batches):
         cache, tail = BoundedCache(CACHED), np.array([end], "<u4").tobytes()
-        encode = unit_encoder(tokenizer).ids if by_unit else lambda texts: [np.array(x.ids, "<u4").tobytes() for x in load_tokenizer(tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
-
+        encode = unit_encoder(tokenizer).ids if by_unit else whole_encoder(tokenizer)
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
             for i, one in enumerate(batch.column(0).to_pylist()):
@@ -230,13 +270,22 @@ def piece_documents(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end
     return own.mapInArrow(pieces, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
+def whole_encoder(tokenizer: str):
+    """Encodes texts that can't be cut into units; the tokenizer is read once."""
+    loaded = load_tokenizer(tokenizer)
+    return lambda texts: [np.array(x.ids, "<u4").tobytes() for x in loaded.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS, groups: int = GROUPS) -> DataFrame:
-    """``pieces`` (doc_id, piece, length, ...) with sequence_id and offset.
+    """``pieces`` (doc_id, piece, length, ...) with sequence_id and offset; columns of these two names are replaced.
 
     Lengths are 1 to ``capacity``. Equal pieces, also of repeated rows, get places
-    each; an empty table gives an empty result.
+    each; ties are broken by doc_id and piece. An empty table gives an empty result. Other columns,
+    whatever their names, are handed on.
     """
-    held = cut(pieces)
+    names = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
+    # columns by number, as a function over batches can't be given names of every kind
+    held = cut(pieces.select("doc_id", "piece", "length", *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]))
     histogram = {r["length"]: r["n"] for r in held.groupBy("length").agg(F.count("*").alias("n")).collect()}
     size = max(group_rows, sum(histogram.values()) // groups)
     dealt = [max(1, -(-histogram.get(length, 0) // size)) for length in range(capacity + 1)]
@@ -253,18 +302,18 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = G
         offsets[base[length] + group] = before[length, group]
     known = pieces.sparkSession.sparkContext.broadcast((solve(histogram, capacity), base, offsets))
     ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "group").orderBy("doc_id", "piece")))
-    names = [c for c in pieces.columns]
+    numbered = [f"c{i}" for i in range(len(names))]
 
     def place(batches):
         plan, base, offsets = known.value
         for batch in batches:
             length, group, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "group", "rank"))
             sequence, offset = plan.place(length, offsets[base[length] + group] + rank - 1)
-            kept = [batch.column(batch.schema.get_field_index(c)) for c in names]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], names=[*names, "sequence_id", "offset"])
+            kept = [batch.column(batch.schema.get_field_index(c)) for c in numbered]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], names=[*numbered, "sequence_id", "offset"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return ranked.mapInArrow(place, f"{fields}, sequence_id bigint, offset bigint")
+    fields = ", ".join(f"{c} {held.schema[c].dataType.simpleString()}" for c in numbered)
+    return ranked.mapInArrow(place, f"{fields}, sequence_id bigint, offset bigint").toDF(*names, "sequence_id", "offset")
 
 
 def pack_documents(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

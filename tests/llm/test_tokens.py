@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -142,6 +143,44 @@ def test_solver_covers_and_packs_well(n, hot):
     assert used == plan.sequences <= 1.005 * -(-int(lengths.sum()) // 2048) + 1
 
 
+def best_fit_decreasing(lengths, capacity=2048):
+    """How many sequences plain best fit takes, longest pieces first."""
+    by_room, used = [0] * (capacity + 1), 0
+    for length in sorted(lengths, reverse=True):
+        room = next((r for r in range(length, capacity + 1) if by_room[r]), None)
+        if room is None:
+            used, room = used + 1, capacity
+        else:
+            by_room[room] -= 1
+        by_room[room - length] += 1
+    return used
+
+
+@pytest.mark.parametrize("kind, n", [("lognormal", 200), ("lognormal", 1100), ("lognormal", 20_000), ("halves", 3000), ("thirds", 1000), ("few", 500)])
+def test_no_more_sequences_than_best_fit(kind, n):
+    rng = np.random.default_rng(11)
+    lengths = {"lognormal": lambda: np.clip(rng.lognormal(5.5, 1.2, n).astype(int) + 1, 1, 2047), "halves": lambda: rng.integers(500, 1100, n), "thirds": lambda: rng.integers(600, 720, n), "few": lambda: rng.choice([3, 700, 1400], n)}[kind]()
+    values, counts = np.unique(lengths, return_counts=True)
+    assert packing.solve(dict(zip(values.tolist(), counts.tolist()))).sequences <= best_fit_decreasing(lengths.tolist())
+
+
+def test_prices_by_brute_force():
+    """For each length the configuration that is worth most of those with it as the longest, by trying all."""
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        capacity, worth, bound = 20, np.zeros(21), np.zeros(21, np.int64)
+        sizes = rng.choice(np.arange(2, 15), 4, replace=False)
+        worth[sizes], bound[sizes] = rng.random(4) + 0.1, rng.integers(1, 4, 4)
+        prices = packing.Prices(worth, bound, capacity)
+        every = [c for c in itertools.product(*(range(bound[s] + 1) for s in sizes)) if sum(int(n * s) for n, s in zip(c, sizes)) <= capacity]
+        best = max(sum(n * worth[s] for n, s in zip(c, sizes)) for c in every)
+        assert abs(prices.whole.max() - best) < 1e-9
+        for i, whole in enumerate(prices.whole):
+            conf = dict(prices.configuration(i))
+            assert abs(sum(n * worth[s] for s, n in conf.items()) - whole) < 1e-9
+            assert sum(n * s for s, n in conf.items()) <= capacity and all(n <= bound[s] for s, n in conf.items())
+
+
 def test_solver_is_optimal_on_small_cases():
     assert packing.solve({1024: 2}).sequences == 1
     assert packing.solve({1500: 3, 548: 3}).sequences == 3
@@ -155,3 +194,28 @@ def test_ranks_do_not_depend_on_groups(spark):
         rows = packing.pack_pieces(pieces, group_rows=10, groups=groups).collect()
         assert len({r["doc_id"] for r in rows}) == 2000
         check_packing([(r["sequence_id"], r["offset"], r["length"]) for r in rows], None)
+
+
+def test_columns_of_pieces_are_safe(spark):
+    pieces = spark.range(50).selectExpr("id as doc_id", "0 as piece", "1 + id as length", "'g' as `group`", "'r' as rank", "'x' as `__group0`", "id as `a.b`", "'o' as offset")
+    got = packing.pack_pieces(pieces)
+    assert got.columns == ["doc_id", "piece", "length", "group", "rank", "__group0", "a.b", "sequence_id", "offset"]
+    rows = got.collect()
+    assert {(r["group"], r["rank"], r["__group0"], r["a.b"] == r["doc_id"]) for r in rows} == {("g", "r", "x", True)}
+    check_packing([(r["sequence_id"], r["offset"], r["length"]) for r in rows], None)
+
+
+def test_frequent_units(spark):
+    """What fills more than its share of all units is found, whatever the partitions; long units are left out."""
+    texts = spark.range(0, 400, 1, 7).selectExpr("if(id < 100, concat(repeat('abc ', 50), 'x', id), concat_ws(' ', transform(sequence(0, 40), i -> concat('w', id, '_', i)))) as text")
+    texts = texts.unionByName(spark.createDataFrame([("y" * 100_000,)], "text string"))
+    found = token_counts.frequent_units(texts, summary=50, reported=20, frequent=30)
+    assert " abc" in found and len(found) <= 30 and max(map(len, found)) <= units.LONGEST
+    assert token_counts.frequent_units(texts.limit(0)) == []
+
+
+def test_long_units_are_not_kept():
+    cache = units.BoundedCache(10)
+    long = "z" * 1000
+    assert list(cache.values_of(["a", long, "b", long], lambda new: [len(x) for x in new])) == [1, 1000, 1, 1000]
+    assert set(cache) == {"a", "b"}
