@@ -21,6 +21,8 @@ _CUT = re.compile(r"(?<=\S) ")
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Units that are encoded as one text.
 TOGETHER = 4096
+#: Longer units are not kept in caches or tables.
+LONGEST = 64
 #: Texts are worked on in stretches of about so many characters.
 STRETCH = 1 << 20
 
@@ -118,7 +120,7 @@ class UnitEncoder:
 
 
 class BoundedCache(dict):
-    """A dict that is emptied when it is full; ``base`` stays in it always."""
+    """A dict that is emptied when it is full; ``base`` stays in it always. Long keys are not kept."""
 
     def __init__(self, limit: int, base: dict | None = None):
         super().__init__(base or {})
@@ -134,7 +136,10 @@ class BoundedCache(dict):
         """The values of ``keys`` in order; ``make`` gives those of a list of keys that aren't held yet."""
         if missing := [k for k in set(keys) if k not in self]:
             new = dict(zip(missing, make(missing), strict=True))
+            long = {k: new.pop(k) for k in missing if len(k) > LONGEST}
             if len(self) + len(new) > self.limit:
-                new |= {k: self[k] for k in set(keys) if k not in new}
+                new |= {k: self[k] for k in set(keys) if k not in new and k not in long}
             self.add(new)
+            if long:
+                return (long[k] if k in long else self[k] for k in keys)
         return map(self.__getitem__, keys)
