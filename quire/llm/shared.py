@@ -25,11 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder for checkpoints that driver and executors share: the one the session names in ``spark.checkpoint.dir``.
 
-    A folder of this machine is set only where none is named, as in tests.
+    A folder of this machine is set only where none is named and all tasks run on this machine, as in tests.
     """
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quire-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context._jsc.sc().isLocal():
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quire-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -47,3 +50,40 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def text_hash(name: str = "text"):
+    """With the id it tells rows apart: rows that agree in both are repeated ones."""
+    return F.xxhash64(text_or_empty(name))
+
+
+def known_rows(rows: DataFrame) -> DataFrame:
+    """(doc_id, h), each once."""
+    return rows.select("doc_id", "h").distinct()
+
+
+_ID, _HASH = "__row id__", "__row hash__"
+
+
+def _named(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(f"`{c}`") for c in df.columns], F.col("doc_id").alias(_ID), text_hash().alias(_HASH))
+
+
+def _these(named: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    own = rows.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
+    return named.join(own, F.col(f"`{_HASH}`").eqNullSafe(F.col("__h")) & F.col(f"`{_ID}`").eqNullSafe(F.col("__id")), how)
+
+
+def without_rows(df: DataFrame, rows: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
+    """``df`` (with doc_id and text) without the rows that ``rows`` (doc_id, h) names; of those that ``repeated`` names one each stays.
+
+    Null ids equal one another. Of repeated rows with different other columns the least in these is the one that stays,
+    by an aggregation that combines map-side.
+    """
+    names = [f"`{c}`" for c in df.columns]
+    left = _these(_named(df), rows, "left_anti")
+    if repeated is None or repeated.isEmpty():
+        return left.select(*names)
+    once = _these(left, repeated, "left_anti").select(*names)
+    least = _these(left, repeated, "left_semi").groupBy(f"`{_ID}`", f"`{_HASH}`").agg(F.min(F.struct(*[F.col(c) for c in names])).alias("row"))
+    return once.union(least.select(*[F.col(f"row.{c}") for c in names]))

@@ -262,3 +262,24 @@ def test_quality_repeated_id_takes_no_places(spark, documents):
     once = good + bad + [(hot, good[0][1])]
     learned = [quality.learn(quality.featured(documents(rows)), labels, 100) for rows in (once, once + [(hot, good[0][1])] * 400)]
     assert learned[0] == learned[1] and any(learned[0].weights)
+
+
+def test_features_do_not_depend_on_stretches():
+    for text in ("alpha beta gamma " * 3000, "one\ntwo!!! two three  " * 500 + "x" * 5000 + " end", "nowhitespace" * 900, ""):
+        whole = quality.features(text)
+        assert all(np.allclose(quality.features(text, stretch), whole, rtol=1e-12) for stretch in (1, 7, 100, 4096))
+
+
+def test_keep_good_goes_row_by_row(spark):
+    """Rows that share an id are judged each by its text, rows without an id too."""
+    rng = np.random.default_rng(4)
+    good = lambda: " ".join(rng.choice(["the", "river", "walks", "along.", "stone", "house,"], 30))
+    bad = lambda: "!!! ".join(rng.choice(["BUY", "NOW", "CHEAP"], 30))
+    known = [(i, good() if i < 60 else bad()) for i in range(120)]
+    more = [(1, bad()), (100, good()), (None, good()), (None, bad()), (300, known[0][1]), (300, known[0][1])]
+    df = spark.createDataFrame([(i, t, 0.5) for i, t in known + more], "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(2, 119) if i != 100], "doc_id long, quality int")
+    kept = quality.keep_good(df, labels)
+    assert kept.columns == df.columns
+    rows = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert sorted(rows, key=str) == sorted([(i, t) for i, t in known + more if "!!!" not in t], key=str)
