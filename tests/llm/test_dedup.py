@@ -228,3 +228,35 @@ def test_bands_of_similar_sets():
         a, b = (np.unique(np.concatenate([common, x])) for x in (apart[:20], apart[20:]))  # similarity 0.8
         shared.append(np.mean(simhash.band_keys(a) == simhash.band_keys(b)))
     assert min(shared) > 0 and abs(np.mean(shared) - 0.8**5) < 0.02
+
+
+ROWS = [(1, "a  "), (2, "a"), (2, "unique"), (3, "q"), (3, "q"), (3, "q r"), (None, "z"), (None, "z"), (None, "q"), (4, None), (5, " ")]
+
+
+def texts_of(df):
+    return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+
+
+def test_exact_copies_go_row_by_row(spark):
+    """Repeated ids with different texts lose nothing; repeated rows and rows without an id are copies as all others."""
+    df = spark.createDataFrame([(i, t, "x", n) for n, (i, t) in enumerate(ROWS)], "doc_id long, text string, h string, `row.h` int")
+    kept = exact_dedup.drop_exact_copies(df)
+    assert kept.columns == df.columns
+    assert texts_of(kept) == sorted([(1, "a  "), (2, "unique"), (3, "q"), (3, "q r"), (None, "z"), (5, " ")], key=str)
+    assert {r["row.h"] for r in kept.collect()} == {0, 2, 3, 5, 6, 10}
+
+
+def test_near_copies_go_row_by_row(spark):
+    rng = np.random.default_rng(8)
+    text = lambda: " ".join(f"w{x}" for x in rng.integers(0, 10_000, 60))
+    one, two = text(), text()
+    rows_alone = text()
+    rows = [(1, one), (1, two), (2, one + " more"), (3, two), (3, two), (4, text()), (None, one), (None, rows_alone + " x"), (None, rows_alone), (5, None), (6, "")]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, component string")
+    kept = texts_of(simhash.drop_near_copies(df))
+    alone = [r for r in kept if r[0] is None]
+    assert len(alone) == 1 and alone[0][1].startswith(rows_alone)
+    assert [r for r in kept if r[0] is not None] == sorted([(1, one), (1, two), (4, rows[5][1]), (5, None)], key=str)
+    assert simhash.drop_near_copies(df.limit(0)).count() == 0
+    twice = spark.createDataFrame([(7, one, "b"), (7, one, "a")], df.schema)
+    assert [tuple(r) for r in simhash.drop_near_copies(twice).collect()] == [(7, one, "a")]
