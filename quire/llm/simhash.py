@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm.components import components
-from quire.llm.shared import cut, table, text_or_empty
+from quire.llm.shared import cut, known_rows, table, text_hash, text_or_empty, without_rows
 
 #: White space between words; a word is a run of other characters.
 WHITE = " \t\n\x0b\x0c\r"
@@ -263,11 +263,11 @@ def band_keys(own: np.ndarray) -> np.ndarray:
 
 
 def similar_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket: int = BUCKET, pivots: int = PIVOTS) -> DataFrame:
-    """One row per row of ``df``: doc_id, h (xxhash64 of the text), component_id: the smallest doc_id reachable over similarities of at least 0.8.
+    """One row per row of ``df``: doc_id, h (a hash of the text), component (a number of its group), component_id: the smallest doc_id reachable over similarities of at least 0.8.
 
     Texts without words are copies of one another. Null ids have no say in component_id.
     """
-    own = df.select(text_or_empty(text).alias("text"), F.col(doc_id).alias("doc_id")).withColumn("h", F.xxhash64("text"))
+    own = df.select(text_or_empty(text).alias("text"), F.col(doc_id).alias("doc_id"), text_hash(text).alias("h"))
 
     def banded(batches):
         for batch in batches:
@@ -314,9 +314,9 @@ def similar_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bu
         found = found.unionByName(_similar(rest, sets))
     named = components(found).join(distinct, F.col("node") == F.col("f")).select("f", "component", "least")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    linked = named.join(least, "component").select(F.col("f").alias("g"), "component_id")
-    known = cut(distinct.join(linked, F.col("f") == F.col("g"), "left").select(F.col("f").alias("g"), F.coalesce("component_id", "least").alias("component_id")))
-    return rows.join(known, F.col("f") == F.col("g")).select("doc_id", "h", "component_id")
+    linked = named.join(least, "component").select(F.col("f").alias("g"), "component", "component_id")
+    known = cut(distinct.join(linked, F.col("f") == F.col("g"), "left").select(F.col("f").alias("g"), F.coalesce("component", "f").alias("component"), F.coalesce("component_id", "least").alias("component_id")))
+    return rows.join(known, F.col("f") == F.col("g")).select("doc_id", "h", "component", "component_id")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -327,9 +327,19 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(df: DataFrame) -> DataFrame:
-    """One document of each group of similar ones (``similar_groups``), the one with the smallest doc_id, with the columns of ``df``; rows without an id stay."""
-    groups = similar_groups(df)
-    return df.join(groups.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(*[f"`{c}`" for c in df.columns])
+    """Of each group of similar texts (``similar_groups``) one row of ``df``, the one with the smallest doc_id, with its own columns.
+
+    Rows are told apart by id and text: of several texts with the smallest id one stays, the one with the least hash; rows
+    without an id stay only where a group has no others; of repeated rows one stays, the least in its other
+    columns (which have to be comparable). Null texts count as empty, and all texts without words are one group. An
+    empty table gives an empty result.
+    """
+    rows = cut(similar_groups(df))
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("keep_id"), F.col("h").alias("keep_h"))).alias("keep"), F.count("*").alias("size"))
+    judged = rows.join(cut(first.where("size > 1")), "component")  # written, so that the join deals both sides anew and can split large groups
+    stays = F.col("doc_id").eqNullSafe(F.col("keep.keep_id")) & (F.col("h") == F.col("keep.keep_h"))
+    repeated = judged.where(stays).groupBy("doc_id", "h").agg(F.count("*").alias("m")).where("m > 1")
+    return without_rows(df, known_rows(judged.where(~stays)), cut(repeated.select("doc_id", "h")))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
