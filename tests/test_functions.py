@@ -61,16 +61,24 @@ def test_durations(spark):
     assert one(spark, "none", dates.explicit_years) is None
 
 
+def located(c):
+    return contact.location(c, ["Delhi", "New Delhi", "Pune"])
+
+
 def test_contact(spark):
     said = "Jane Doe\nEmail: jane.doe@example.com\nMobile: +91-98765 43210\nLocation: Pune"
     assert one(spark, said, contact.email) == "jane.doe@example.com"
     assert one(spark, said, contact.mobile) == "+919876543210"
-    assert one(spark, said, contact.location) == "Pune"
+    assert one(spark, said, located) == "Pune"
+    assert one(spark, "x\nIn new delhi now", located) == "New Delhi" and one(spark, "City: Pune, India", located) == "Pune"
+    assert one(spark, "call (044) 555-0199 77 now", contact.phone) == "(044) 555-0199 77"
+    assert one(spark, "at https://www.LinkedIn.com/in/jane-doe?x=1, ok", contact.linkedin) == "https://www.LinkedIn.com/in/jane-doe?x=1"
+    assert one(spark, "github.com/jane;", contact.github) == "github.com/jane"
     assert one(spark, said, contact.name_from_text) == "Jane Doe"
     assert one(spark, "RESUME\nJANE DOE\nx", contact.name_from_text) == "JANE DOE"
     assert one(spark, "jane.doe@example.com", contact.name_from_email) == "Jane Doe"
     assert one(spark, "/tmp/jane_doe_resume_2024.pdf", contact.name_from_filename) == "Jane Doe"
-    for make in (contact.email, contact.mobile, contact.location, contact.name_from_text, contact.name_from_email, contact.name_from_filename):
+    for make in (contact.email, contact.mobile, contact.phone, contact.linkedin, contact.github, located, contact.name_from_text, contact.name_from_email, contact.name_from_filename):
         assert one(spark, None, make) is None
     assert one(spark, "+1 (743) 555-3824", contact.normalize_phone) == "+1 743 555 3824"
     assert one(spark, "12345", contact.normalize_phone) is None

@@ -10,6 +10,22 @@ from quire.sources import readers, sinks
 WORD = "doc_id long, page int, text string, x0 double, x1 double, top double, bottom double, page_width double, page_height double"
 
 
+HEADINGS = {
+    "Summary": ["summary"],
+    "Skills": ["skills", "technical skills", "language skills"],
+    "Experience": ["experience", "work experience", "professional experience", "work history", "project experience"],
+    "Projects": ["projects", "project experience"],
+    "Education": ["education"],
+    "Achievements": ["achievements", "extracurricular activities"],
+    "Languages": ["language skills"],
+    "Hobbies": ["extracurricular activities"],
+}
+
+
+def small_vocabulary(spark):
+    return vocabulary.vocabulary(spark, vocabulary.section_rows(HEADINGS))
+
+
 def two_columns(spark):
     rows = [(1, 0, f"l{i}", 50.0, 280.0, 100.0 + 15 * i, 112.0 + 15 * i, 595.0, 842.0) for i in range(20)]
     rows += [(1, 0, f"r{i}", 320.0, 550.0, 100.0 + 15 * i, 112.0 + 15 * i, 595.0, 842.0) for i in range(20)]
@@ -64,7 +80,7 @@ def test_split_detections_and_bbox(spark):
 
 
 def test_headings_and_vocabulary(spark):
-    vocab = vocabulary.vocabulary(spark)
+    vocab = small_vocabulary(spark)
     kept = {r["variant"]: r["canon"] for r in vocab.collect()}
     assert kept["extracurricular activities"] == "Hobbies" and kept["project experience"] == "Projects" and kept["language skills"] == "Languages"
     rows = [(1, "EXPERIENCE"), (2, "T e c h n i c a l"), (3, "S K I L L S"), (4, "Work-History:"), (5, "EXPERIENCE SKILLS"), (6, "hello there"), (7, ""), (8, None)]
@@ -73,9 +89,23 @@ def test_headings_and_vocabulary(spark):
     assert got[2] == got[6] == got[7] == got[8] == (None, None)
 
 
+def test_built_in_vocabulary_holds_the_names_of_sections(spark):
+    kept = {r["variant"]: r["canon"] for r in vocabulary.vocabulary(spark).collect()}
+    assert len(kept) == len(vocabulary.SECTIONS) and kept["contact information"] == "Contact Information"
+
+
+def test_candidate_headings(spark):
+    cols = "doc_id long, t string, font_size double, space_above double, width_ratio double, upper_ratio double, bold_ratio double, word_count int"
+    plain = [(1, f"p{i}", 12.0, 10.0, 0.5, 0.1, 0.2, 4) for i in range(5)]
+    rows = plain + [(1, "bad", 6.0, 1.0, 0.95, 0.0, 0.0, 9), (1, "bold", 6.0, 1.0, 0.95, 0.0, 0.4, 9), (1, "null", None, 1.0, 0.95, 0.0, 0.0, 9)]
+    rows += [(2, "only", 0.0, 0.0, 0.95, 0.0, 0.0, 9)]
+    got = {r["t"] for r in headings.candidate_headings(spark.createDataFrame(rows, cols)).collect()}
+    assert got == {f"p{i}" for i in range(5)} | {"bold", "null", "only"}
+
+
 def test_multi_section_headers(spark):
     rows = [(1, "EXPERIENCE SKILLS"), (2, "WORK HISTORY     TECHNICAL SKILLS"), (3, "PROFESSIONAL EXPERIENCE EDUCATION"), (4, "PROJECTS AND ACHIEVEMENTS"), (5, "SUMMARY")]
-    found = headings.ngram_sections(spark.createDataFrame(rows, "line_id int, text string"), vocabulary.vocabulary(spark))
+    found = headings.ngram_sections(spark.createDataFrame(rows, "line_id int, text string"), small_vocabulary(spark))
     got = {}
     for r in found.orderBy("line_id", "pos").collect():
         got.setdefault(r["line_id"], []).append(r["canon"])
@@ -85,11 +115,11 @@ def test_multi_section_headers(spark):
 def test_every_line_lands_in_one_section(spark):
     said = "Jane Doe\nSUMMARY\nshort\nEXPERIENCE\nmade\nmore\nSKILLS\n"
     d = lines.text_lines(spark.createDataFrame([(1, said), (2, ""), (3, None)], "doc_id long, text string"))
-    seg = sections.segment(headings.match_headings(d, vocabulary.vocabulary(spark)))
+    seg = sections.segment(headings.match_headings(d, small_vocabulary(spark)))
     assert seg.count() == d.count()
     got = [(r["section"], r["content"]) for r in sections.section_table(seg.where("doc_id = 1")).orderBy("section_id").collect()]
     assert got == [("Contact Information", "Jane Doe"), ("Summary", "short"), ("Experience", "made\nmore"), ("Skills", "")]
-    assert sections.segment(headings.match_headings(d, vocabulary.vocabulary(spark)), preset="scored").where("section = 'Contact Information'").count() == 0
+    assert sections.segment(headings.match_headings(d, small_vocabulary(spark)), preset="scored").where("section = 'Contact Information'").count() == 0
 
 
 def state_machine(es):
@@ -146,7 +176,7 @@ def test_skills_totals_and_roles(spark):
 def test_learning(spark):
     ask = lambda h: spark.createDataFrame([(h,)], "h string").select(learning.learn_from_pattern(F.col("h")).alias("g")).first()["g"]
     assert tuple(ask("Relevant Work Experience")) == ("Experience", 0.9) and tuple(ask("Skills matrix")) == ("Skills", 0.75) and ask("Poems") is None
-    vocab = vocabulary.vocabulary(spark)
+    vocab = small_vocabulary(spark)
     new = learning.add_variants(vocab, spark.createDataFrame([("Rich Work Experience",), ("skills",)], "heading string"))
     assert [tuple(r) for r in new.collect()] == [("Experience", "rich work experience")]
     assert vocabulary.new_variants(new, new).count() == 0
