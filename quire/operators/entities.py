@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.text import alpha_ratio, tokens
+
 # Words that are no entity, and words that are no skill.
 NOISE = ["the", "and", "or", "in", "at", "to", "for", "of", "a", "an"]
 NOT_SKILLS = [
@@ -145,13 +147,32 @@ def total_years(exps: DataFrame, explicit: DataFrame, key: str = "doc_id") -> Da
     return explicit.join(summed, key, "left").select(key, F.coalesce(F.when(F.col("explicit_years") > 0, F.col("explicit_years")), "__s", F.lit(0.0)).alias("total_years"))
 
 
-def best_person(entities: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The likeliest person's name: early, of two to four words in title case, no words of jobs."""
-    n = F.size(F.split(F.trim("word"), r"\s+"))
+# Labels that are no person, and words of jobs.
+LABELS = [
+    "email", "phone", "mobile", "resume", "cv", "address", "location", "objective", "summary", "experience", "education", "skills",
+    "profile", "contact", "linkedin", "github", "portfolio",
+]
+JOBS = ["engineer", "developer", "manager", "analyst", "consultant", "specialist"]
+
+
+def best_person(people: DataFrame, texts: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, name, points): the likeliest of a document's recognised persons (key, pos, word); documents without one above zero points have no row.
+
+    Names of one word and labels don't count. Points: twice (5 - i) where the name first stands in line i (from 0) of the
+    first five of ``texts`` (key, text), unless that line holds a label; 3 for two to four words; -5 for a word of jobs; twice the share
+    of letters and spaces; 2 where every word begins in upper case. Ties: the earlier position.
+    """
+    name, low = F.col("word"), F.lower("word")
+    words = tokens("word")
+    heads = texts.select(key, F.slice(F.split(F.coalesce("text", F.lit("")), "\n"), 1, 5).alias("__lines"))
+    joined = people.join(heads, key, "left").withColumn("__lines", F.coalesce("__lines", F.array().cast("array<string>")))
+    marked = F.transform("__lines", lambda line, i: F.when(F.contains(line, name), F.struct(i.alias("i"), F.lower(line).alias("line"))))
+    at = F.try_element_at(F.array_compact(marked), F.lit(1))
+    placed = F.when(at.isNotNull() & ~F.regexp(at["line"], F.lit("|".join(LABELS))), (5 - at["i"]) * 2).otherwise(0)
     points = (
-        F.when(F.col("pos") < 5, 3).when(F.col("pos") < 15, 1).otherwise(0) + F.when(n.between(2, 4), 3).otherwise(-2)
-        + F.when(F.regexp(F.lower("word"), F.lit("engineer|developer|manager|analyst|university|college|resume")), -5).otherwise(0)
-        + F.when(F.regexp("word", F.lit(r"^(\p{Lu}[\p{L}.'-]*\s?)+$")), 2).otherwise(-1) + F.when(F.regexp("word", F.lit("[0-9]")), -3).otherwise(0)
+        placed + F.when(F.size(words).between(2, 4), 3).otherwise(0) - F.when(F.regexp(low, F.lit("|".join(JOBS))), 5).otherwise(0)
+        + 2 * alpha_ratio("word") + F.when(F.forall(words, lambda w: F.regexp(w, F.lit(r"^\p{Lu}"))), 2).otherwise(0)
     )
-    people = entities.where("entity_group = 'PERSON'").withColumn("points", points).where("points > 0")
-    return people.groupBy(key).agg(F.max_by("word", F.struct("points", -F.col("pos"))).alias("name"))
+    scored = joined.where(~low.isin(LABELS) & (F.size(words) >= 2)).select(key, "pos", "word", points.alias("points")).where("points > 0")
+    first = F.struct("points", -F.col("pos"))
+    return scored.groupBy(key).agg(F.max_by("word", first).alias("name"), F.max("points").alias("points"))

@@ -16,17 +16,26 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.greatest(F.sqrt(dot(a, a) * dot(b, b)), F.lit(1e-12))
 
 
+#: Variants that one row of a block of the vocabulary holds.
+VARIANTS = 1024
+
+
 def best_similar(queries: DataFrame, variants: DataFrame, least: float = 0.75) -> DataFrame:
     """Adds canon and similarity: the variant (canon, vector) most like each query's vector, null canon below ``least``.
 
-    Variants are a vocabulary and meet the queries as one row; Spark broadcasts it if it is small.
-    Distinct queries should be asked once. Of equals the first name is taken.
+    Distinct query vectors meet the vocabulary in blocks of about ``VARIANTS`` variants, so a row's size is bounded
+    whatever the vocabulary; each block gives its best and the best of those stays. Of equals the first name is taken.
+    Queries without a vector, and all where there are no variants, have null canon and similarity.
     """
-    v = variants.select(F.collect_list(F.struct("canon", "vector")).alias("__vs"))
-    both = queries.join(v, F.lit(True))
+    blocks = max(1, -(-variants.count() // VARIANTS))
+    block = F.pmod(F.xxhash64("canon", "vector"), F.lit(blocks))
+    held = variants.where("vector is not null").groupBy(block.alias("__block")).agg(F.collect_list(F.struct("canon", "vector")).alias("__vs"))
+    asked = queries.where("vector is not null").select("vector").distinct().withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     scored = F.transform("__vs", lambda x: F.struct((-F.bround(cosine(F.col("vector"), x["vector"]), 9)).alias("d"), x["canon"].alias("canon")))
-    best = F.array_min(scored)
-    return both.withColumn("__b", best).select(*[c for c in queries.columns], F.when(-F.col("__b.d") >= least, F.col("__b.canon")).alias("canon"), (-F.col("__b.d")).alias("similarity"))
+    met = asked.join(held, "__block").select("vector", F.array_min(scored).alias("__b")).groupBy("vector").agg(F.min("__b").alias("__b"))
+    met = met.withColumnRenamed("vector", "__v")
+    found = queries.join(met, F.col("vector") == F.col("__v"), "left")
+    return found.select(*[F.col(f"`{c}`") for c in queries.columns], F.when(-F.col("__b.d") >= least, F.col("__b.canon")).alias("canon"), (-F.col("__b.d")).alias("similarity"))
 
 
 def heading_statistics(headings: DataFrame, vocab: DataFrame, min_freq: int = 3) -> DataFrame:
@@ -47,21 +56,29 @@ def proposals(stats: DataFrame, false_positives: DataFrame | None = None) -> Dat
     return out if false_positives is None else out.join(false_positives.select("heading"), "heading", "left_anti")
 
 
+# Words that tell a section, in the order in which they are tried, and how sure they are.
+JOB_WORDS = [
+    "developer", "engineer", "analyst", "manager", "architect", "consultant", "specialist", "lead", "senior", "junior", "intern", "trainee",
+    "qa", "tester", "designer", "programmer", "scientist", "researcher", "coordinator", "administrator", "director", "officer", "assistant", "associate",
+]
+SIGNS = [
+    ("Projects", ["project", "portfolio", "work sample", "case study"], 0.8),
+    ("Education", ["university", "college", "school", "degree", "bachelor", "master", "phd", "diploma"], 0.8),
+    ("Certifications", ["certification", "certificate", "certified", "license", "training"], 0.8),
+    ("Skills", ["skill", "expertise", "proficiency", "competenc", "technical", "knowledge"], 0.75),
+]
+
+
 def learn_from_pattern(c: Column) -> Column:
-    """struct(canon, confidence) from keywords, in this order; a heading that ends in the word is surer."""
-    low = F.lower(F.trim(c))
+    """struct(canon, confidence) by the first sign that the text holds, null without one or for null.
 
-    def rung(words: str, canon: str, loose: float) -> tuple[Column, Column]:
-        return F.regexp(low, F.lit(words)), F.struct(F.lit(canon).alias("canon"), F.when(F.regexp(low, F.lit(f"(?:{words})$")), 0.9).otherwise(loose).alias("confidence"))
-
-    rungs = [
-        rung("experience|employment|work history|career", "Experience", 0.8), rung("projects?", "Projects", 0.8), rung("education|academics?|qualifications?", "Education", 0.8),
-        rung("certifications?|certificates?|licenses?|courses", "Certifications", 0.75), rung("skills?|technologies|competencies|expertise", "Skills", 0.75),
-    ]
-    out = F.when(*rungs[0])
-    for condition, value in rungs[1:]:
-        out = out.when(condition, value)
-    return out
+    Jobs come first: the first job word held decides, .9 where the text ends in it, else .75.
+    """
+    low = F.lower(F.trim(c))
+    guess = lambda canon, confidence: F.struct(F.lit(canon).alias("canon"), confidence.alias("confidence"))
+    rungs = [(F.contains(low, F.lit(w)), guess("Experience", F.when(F.endswith(low, F.lit(w)), 0.9).otherwise(0.75))) for w in JOB_WORDS]
+    rungs += [(F.regexp(low, F.lit("|".join(words))), guess(canon, F.lit(sure))) for canon, words, sure in SIGNS]
+    return F.coalesce(*[F.when(held, value) for held, value in rungs])
 
 
 def add_variants(vocab: DataFrame, headings: DataFrame, least: float = 0.8) -> DataFrame:

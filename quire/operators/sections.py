@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,16 +48,33 @@ def pivot_sections(sections: DataFrame, names: list[str], key: str = "doc_id") -
     return sections.groupBy(key).pivot("section", names).agg(F.min_by("content", "section_id"))
 
 
-def unknown_reasons(sections: DataFrame, similarity: str | None = None) -> DataFrame:
-    """Adds unknown_reason: why a section's name looks wrong; null if it doesn't. A common name within it clears it first."""
-    name = F.lower(F.trim("section"))
-    common = F.regexp(name, F.lit("experience|education|skills|projects|summary|certification|achievement|contact|language|reference"))
+# Names that clear a section, and what dates look like.
+COMMON = [
+    "experience", "education", "skills", "summary", "work experience", "professional experience", "technical skills", "core competencies",
+    "projects", "certifications", "achievements", "employment",
+]
+DATED = r"\d{4}|\d{1,2}/\d{1,2}|\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
+
+
+def unknown_reasons(sections: DataFrame, similarity: str | None = None, n_words: str = "n_words", has_header: str | None = None) -> DataFrame:
+    """Adds unknown_reason: why a section's name looks wrong; null if it doesn't.
+
+    A common name that it holds, or that holds it, clears it first. Sections of
+    at most two lines count as few only with at most five words in all (column
+    ``n_words``) and, where ``has_header`` is given, only with a header line.
+    """
+    name = F.lower(F.col("section"))
+    common = reduce(or_, [F.contains(name, F.lit(x)) | F.contains(F.lit(x), name) for x in COMMON])
+    few = (F.col("n_lines") <= 2) & (F.col(n_words) <= 5)
+    if has_header:
+        few &= F.col(has_header)
     reason = (
-        F.when(common, None).when(F.length(name) <= 2, "too_short").when(F.regexp(name, F.lit(r"\b(19|20)\d{2}\b")), "date")
-        .when(word_count(name) > 8, "too_long").when(F.col("n_lines") < 2, "few_lines")
+        F.when(common, None).when(F.length(name) <= 2, "too_short").when(F.regexp(name, F.lit(DATED)), "date")
+        .when(word_count(name) > 8, "too_long").when(few, "few_lines")
     )
     if similarity:
-        reason = reason.when(F.col(similarity).between(0.6, 0.8), "ambiguous")
+        s = F.col(similarity)
+        reason = reason.when((s > 0.6) & (s < 0.8), "ambiguous")
     return sections.withColumn("unknown_reason", reason)
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire.functions import contact
-from quire.functions.text import first_of, heading_key
+from quire.functions.text import heading_key, word_count
 from quire.operators import entities, headings, learning, lines, report, sections
 from quire.operators.vocabulary import extend, unique_variants
 from quire.session import table
@@ -25,13 +26,13 @@ def query(sql: str | None = None):
 
 
 # Conversations as documents: what the user says first names the section that follows.
-TALK_SQL = """talk as (select conv_id as doc_id, cast(turn as integer) as line_no, text, case when role = 'user' and turn % 4 = 0 then substr(text, 1, 12) end as canon from conversations),
+TALK_SQL = """talk as (select conv_id as doc_id, cast(turn as integer) as line_no, text, case when role = 'user' and turn % 4 = 0 then text end as canon from conversations),
 seg as (select *, coalesce(last_value(canon ignore nulls) over w, 'Contact Information') as section, cast(count(canon) over w as integer) as section_id from talk
   window w as (partition by doc_id order by line_no rows between unbounded preceding and current row))"""
 
 
 def talk(spark, sf):
-    said = F.when((F.col("role") == "user") & (F.col("turn") % 4 == 0), F.substring("text", 1, 12))
+    said = F.when((F.col("role") == "user") & (F.col("turn") % 4 == 0), F.col("text"))
     return table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("line_no"), "text", said.alias("canon"))
 
 
@@ -84,42 +85,48 @@ def section_frequency_top10(spark, sf):
     return report.section_frequency(sections.section_table(short_segments(spark, sf)))
 
 
-@query(f"""with {SHORT_SQL}, n as (select doc_id, section_id, case section_id % 5 when 0 then 'X' when 1 then 'My Experience' when 2 then 'Year 2019 things' when 3 then 'a b c d e f g h i j' else 'Odd' end as section, n_lines from sc)
-select doc_id, section_id, section, n_lines, case when regexp_matches(lower(section), 'experience|education') then null when length(section) <= 2 then 'too_short' when regexp_matches(section, '\\b(19|20)\\d{{2}}\\b') then 'date'
-  when section like 'a b%' then 'too_long' when n_lines < 2 then 'few_lines' end as unknown_reason,
-  case when regexp_matches(lower(section), 'experience|education') then null when length(section) <= 2 then 'MERGE_WITH_NEXT' when section like 'Year%' or section like 'a b%' then 'TREAT_AS_CONTENT' when n_lines < 2 then 'MERGE_WITH_NEXT' end as suggestion from n""")
+NAMES = ["X", "My Experience", "Year 2019 things", "a b c d e f g h i j", "Odd", "Skill", "on 12/3", "Marching", "Core"]
+COMMON_SQL = "['experience','education','skills','summary','work experience','professional experience','technical skills','core competencies','projects','certifications','achievements','employment']"
+
+
+@query(rf"""with {SHORT_SQL}, n as (select doc_id, section_id, ({NAMES})[section_id % {len(NAMES)} + 1] as section, n_lines, cast(len(regexp_extract_all(content, '\S+')) as integer) as n_words from sc),
+r as (select *, case when len(list_filter({COMMON_SQL}, lambda x: contains(lower(section), x) or contains(x, lower(section)))) > 0 then null when length(section) <= 2 then 'too_short'
+  when regexp_matches(lower(section), '[0-9]{{4}}|[0-9]{{1,2}}/[0-9]{{1,2}}|\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)') then 'date' when len(string_split(section, ' ')) > 8 then 'too_long'
+  when n_lines <= 2 and n_words <= 5 then 'few_lines' end as unknown_reason from n)
+select *, case unknown_reason when 'too_short' then 'MERGE_WITH_NEXT' when 'few_lines' then 'MERGE_WITH_NEXT' when 'date' then 'TREAT_AS_CONTENT' when 'too_long' then 'TREAT_AS_CONTENT' end as suggestion from r""")
 def unknown_sections(spark, sf):
-    s = sections.section_table(short_segments(spark, sf))
-    k = F.col("section_id") % 5
-    named = F.when(k == 0, "X").when(k == 1, "My Experience").when(k == 2, "Year 2019 things").when(k == 3, "a b c d e f g h i j").otherwise("Odd")
-    return sections.corrections(sections.unknown_reasons(s.select("doc_id", "section_id", named.alias("section"), "n_lines")))
+    named = F.element_at(F.array(*map(F.lit, NAMES)), F.col("section_id") % len(NAMES) + 1)
+    s = sections.section_table(short_segments(spark, sf)).select("doc_id", "section_id", named.alias("section"), "n_lines", word_count("content").alias("n_words"))
+    return sections.corrections(sections.unknown_reasons(s))
 
 
 KEY_SQL = r"trim(regexp_replace(lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '[•·|]', ' ', 'g'), '&', ' and ', 'g'), '[—–]', '-', 'g'), '[^A-Za-z0-9\s:.-]', ' ', 'g'), '\s+', ' ', 'g'))), ':$', ''))"
-# The vocabulary of documents: short lines that several documents share.
-VOCAB_SQL = rf"""dl as (select doc_id, g - 1 as line_no, string_split(text, chr(10))[g] as line from (select doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) as g from documents)),
-kl as (select doc_id, line_no, line, {KEY_SQL} as key from dl where length(line) between 3 and 60 and length(line) - length(replace(line, ' ', '')) > 0 and not regexp_full_match(trim(line), '(\p{{L}}\s+)+\p{{L}}')),
-vocab as (select key as variant, regexp_replace(key, '[^a-z0-9]+', '', 'g') as nosep, 'H' || (length(key) % 7) as canon, 0 as prio from kl where key <> '' group by key having count(distinct doc_id) >= 3)"""
+# The vocabulary of documents: lines that several documents share.
+LINES_SQL = "dl as (select doc_id, g - 1 as line_no, string_split(text, chr(10))[g] as line from (select doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) as g from documents))"
+VOCAB_SQL = rf"""{LINES_SQL}, one as (select *, trim(regexp_replace(line, '\s+', ' ', 'g')) as o from dl), pl as (select doc_id, line_no, case when regexp_full_match(o, '(\p{{L}} )+\p{{L}}') then replace(o, ' ', '') else line end as line from one),
+kl as (select doc_id, line_no, line, {KEY_SQL} as key from pl),
+vocab as (select key as variant, regexp_replace(key, '[^a-z0-9]+', '', 'g') as nosep, 'H' || (length(key) % 7) as canon, cast(length(key) as integer) as prio from kl where key <> '' group by key having count(distinct doc_id) >= 3)"""
 
 
-def short_lines(spark, sf):
-    found = lines.text_lines(table(spark, sf, "documents"))
-    spaced = F.regexp(F.trim("text"), F.lit(r"^(\p{L}\s+)+\p{L}$"))
-    return found.where(F.length("text").between(3, 60) & F.contains("text", F.lit(" ")) & ~spaced)
+def document_lines(spark, sf):
+    return lines.text_lines(table(spark, sf, "documents"))
 
 
-def document_vocab(spark, sf):
-    keys = short_lines(spark, sf).select("doc_id", heading_key("text").alias("variant")).where("variant <> ''")
+def document_vocab(found):
+    """Of lines (doc_id, text); the length of a variant is its priority, so that variants that differ in spaces alone have an order."""
+    keys = found.select("doc_id", heading_key("text").alias("variant")).where("variant <> ''")
     shared = keys.groupBy("variant").agg(F.countDistinct("doc_id").alias("n")).where("n >= 3")
-    return unique_variants(shared.select("variant", F.concat(F.lit("H"), (F.length("variant") % 7).cast("string")).alias("canon"), F.lit(0).alias("prio")))
+    return unique_variants(shared.select("variant", F.concat(F.lit("H"), (F.length("variant") % 7).cast("string")).alias("canon"), F.length("variant").alias("prio")))
 
 
-@query(f"""with {VOCAB_SQL}, loose as (select nosep, max(canon) as canon from vocab group by 1)
-select coalesce(e.canon, l.canon) as canon, case when e.canon is not null then 'exact' when l.canon is not null then 'despaced' end as match, count(*) as n
-from kl left join vocab e on e.variant = kl.key left join loose l on l.nosep = regexp_replace(kl.key, '[^a-z0-9]+', '', 'g') group by all""")
+@query(f"""with {VOCAB_SQL}, loose as (select nosep, arg_max(canon, prio) as canon from vocab group by 1),
+tok as (select key, list_filter(list_transform(list_filter(string_split_regex(key, '[\\s|/&]+'), lambda w: length(w) > 2), lambda w: m.all[w]), lambda x: x is not null)[1] as canon
+  from (select distinct key from kl), (select map_from_entries(list((variant, canon))) as all from vocab) m)
+select coalesce(e.canon, l.canon, t.canon) as canon, case when e.canon is not null then 'exact' when l.canon is not null then 'despaced' when t.canon is not null then 'token' end as match, count(*) as n
+from kl left join vocab e on e.variant = kl.key left join loose l on l.nosep = regexp_replace(kl.key, '[^a-z0-9]+', '', 'g') left join tok t on t.key = kl.key group by all""")
 def heading_vocab_join(spark, sf):
-    found = headings.match_headings(short_lines(spark, sf), document_vocab(spark, sf), by_token=False)
-    return found.groupBy("canon", "match").agg(F.count("*").alias("n"))
+    found = document_lines(spark, sf)
+    return headings.match_headings(found, document_vocab(found)).groupBy("canon", "match").agg(F.count("*").alias("n"))
 
 
 PHRASES = [("red widget", "Skills"), ("hot gear", "Tools"), ("blue", "Colour"), ("bolt", "Part"), ("ring", "Part"), ("small ring", "Jewel"), ("red", "Colour"), ("gear", "Part"), ("green", "Colour"), ("widget", "Part")]
@@ -161,32 +168,30 @@ def vocabulary_extend(spark, sf):
     return extend(base, spark.createDataFrame([("new one", "A"), ("other", "Z"), ("small", "B")], "variant string, canon string"))
 
 
-HEADING_SQL = r"""hd as (select lower(trim(split_part(text, ' ', 1))) as heading, cast(len(string_split(text, ' ')) % 9 as integer) as cw from conversations),
-st as (select heading, count(*) as freq, avg(cw) as context_words from hd where heading <> '' group by 1),
-vj as (select st.*, canon from st left join (values ('the', 'Article'), ('en', 'Preposition')) v(variant, canon) on variant = heading),
-vd as (select heading, freq, round(context_words, 6) as context_words, canon, case when canon is not null then 'matched' when length(heading) <= 2 or regexp_matches(heading, '[0-9]') or heading in ('the','and','for','with','page','name','date','from','this','that')
-  or regexp_matches(heading, 'inc|ltd|llc|corp|pvt|limited|technologies|solutions|company') or context_words < 3 then 'false_positive' when freq >= 3 then 'proposed' else 'uncertain' end as verdict from vj)"""
-
-
-def heading_rows(spark, sf):
-    words = F.split("text", " ")
-    return table(spark, sf, "conversations").select(words[0].alias("heading"), (F.size(words) % 9).alias("context_words"))
+# Every line as a heading; its context are the words of up to five lines that follow.
+HEADING_SQL = rf"""{LINES_SQL}, hd as (select lower(trim(line)) as heading, avg(len(regexp_extract_all(line, '\S+'))) over (partition by doc_id order by line_no rows between 1 following and 5 following) as cw from dl),
+st as (select heading, count(*) as freq, round(avg(cw), 6) as context_words from hd where heading <> '' group by 1),
+vj as (select st.*, canon from st left join (values ('and ornd.', 'Known'), ('in in oredble ea.', 'Other')) v(variant, canon) on variant = heading),
+vd as (select heading, freq, context_words, canon, case when canon is not null then 'matched' when length(heading) <= 2 or regexp_matches(heading, '[0-9]') or heading in ('details','information','description','other','misc','miscellaneous')
+  or len(list_filter(['inc','corp','corporation','ltd','llc','pvt','limited'], lambda w: contains(heading, w))) > 0 or coalesce(context_words < 3, false) then 'false_positive' when freq >= 3 then 'proposed' else 'uncertain' end as verdict from vj)"""
 
 
 def _stats(spark, sf):
-    vocab = spark.createDataFrame([("the", "Article"), ("en", "Preposition")], "variant string, canon string")
-    return learning.heading_statistics(heading_rows(spark, sf), vocab)
+    after = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(1, 5)
+    found = document_lines(spark, sf).select(F.col("text").alias("heading"), F.avg(word_count("text")).over(after).alias("context_words"))
+    vocab = spark.createDataFrame([("and ornd.", "Known"), ("in in oredble ea.", "Other")], "variant string, canon string")
+    return learning.heading_statistics(found, vocab)
 
 
 @query(f"with {HEADING_SQL} select * from vd")
 def heading_statistics(spark, sf):
-    return _stats(spark, sf).withColumn("context_words", F.round("context_words", 6))
+    return _stats(spark, sf)
 
 
-@query(f"with {HEADING_SQL} select heading, freq from vd where verdict = 'proposed' and heading not like 'a%'")
+@query(f"with {HEADING_SQL} select heading, freq from vd where verdict = 'proposed' and heading <> 'to oned onerntat thatthtieror.'")
 def new_section_proposals(spark, sf):
-    stats = _stats(spark, sf)
-    return learning.proposals(stats, stats.where("heading like 'a%'").select("heading")).select("heading", "freq")
+    marked = spark.createDataFrame([("to oned onerntat thatthtieror.",)], "heading string")
+    return learning.proposals(_stats(spark, sf), marked).select("heading", "freq")
 
 
 @query(r"""with m as (select page_id, regexp_extract_all(html, '(?is)<(h[1-6]|p|li)(?:\s[^>]*)?>([^<]*)', 1) as tags, regexp_extract_all(html, '(?is)<(h[1-6]|p|li)(?:\s[^>]*)?>([^<]*)', 0) as raw from pages) select page_id as doc_id, cast(len(list_filter(tags, lambda t: t = 'h1')) as bigint) as n_h1 from m""")
@@ -277,10 +282,10 @@ def batch_summary(spark, sf):
     return report.batch_summary(rows, ["source"]).withColumn("avg_seconds", F.round("avg_seconds", 6))
 
 
-@query("""select l.doc_id, l.quality, l.toxic from labels l where l.doc_id % 3 <> 0 union all select doc_id, 9, 9 from documents where doc_id % 3 = 0""")
+@query("""select d.doc_id, coalesce(l.quality, -1) as quality, coalesce(l.toxic, -1) as toxic from documents d left join labels l using (doc_id) union all select doc_id, quality, toxic from labels where doc_id not in (select doc_id from documents)""")
 def upsert_by_key(spark, sf):
-    new = table(spark, sf, "documents").where("doc_id % 3 = 0").select("doc_id", F.lit(9).alias("quality"), F.lit(9).alias("toxic"))
-    return report.upsert(table(spark, sf, "labels"), new, ["doc_id"])
+    old = table(spark, sf, "documents").select("doc_id", F.lit(-1).alias("quality"), F.lit(-1).alias("toxic"))
+    return report.upsert(old, table(spark, sf, "labels").select("doc_id", "quality", "toxic"), ["doc_id"])
 
 
 @query("select doc_id, source from documents where doc_id not in (select doc_id from labels)")
@@ -288,12 +293,11 @@ def unlabeled_anti(spark, sf):
     return report.not_done(table(spark, sf, "documents").select("doc_id", "source"), table(spark, sf, "labels"), ["doc_id"])
 
 
-@query("""with a as (select doc_id, quality from labels where doc_id % 2 = 0), b as (select doc_id, toxic from labels where doc_id % 3 = 0)
-select coalesce(a.doc_id, b.doc_id) as doc_id, quality as left_value, toxic as right_value, case when b.doc_id is null then 'left_only' when a.doc_id is null then 'right_only' when quality is not distinct from toxic then 'equal' else 'different' end as assessment
-from a full join b on a.doc_id = b.doc_id""")
+@query("""select coalesce(a.doc_id, b.doc_id) as doc_id, quality as left_value, long_ as right_value, case when b.doc_id is null then 'left_only' when a.doc_id is null then 'right_only' when quality is not distinct from long_ then 'equal' else 'different' end as assessment
+from labels a full join (select doc_id, cast(n_chars >= 1000 as integer) as long_ from documents) b on a.doc_id = b.doc_id""")
 def full_outer_compare(spark, sf):
-    labels = table(spark, sf, "labels")
-    return report.compare(labels.where("doc_id % 2 = 0").withColumnRenamed("quality", "v"), labels.where("doc_id % 3 = 0").withColumnRenamed("toxic", "v"), "doc_id", "v")
+    lengths = table(spark, sf, "documents").select("doc_id", (F.col("n_chars") >= 1000).cast("int").alias("v"))
+    return report.compare(table(spark, sf, "labels").select("doc_id", F.col("quality").alias("v")), lengths, "doc_id", "v")
 
 
 @query("""with a as (select o_custkey as doc_id, o_orderkey as priority, o_totalprice / 5000.0 as quality, o_orderstatus as data from orders),
@@ -310,13 +314,14 @@ def feature_validation(spark, sf):
     return v.select("o_orderkey", F.concat_ws(",", "validation_errors").alias("errors"), "is_valid")
 
 
-@query("""with v as (select vec_id, label, embedding from embeddings), q as (select * from v where vec_id >= 20), s as (select q.vec_id, k.vec_id as k_id, round(list_cosine_similarity(cast(q.embedding as double[]), cast(k.embedding as double[])), 9) as sim from q, (select * from v where vec_id < 20) k),
-b as (select vec_id, max(sim) as similarity, arg_min(k_id, row(-sim, k_id)) as k_id from s group by 1)
-select vec_id, case when similarity >= 0.2 then 'v' || lpad(cast(k_id as varchar), 2, '0') end as canon, round(similarity, 6) as similarity from b""")
+@query("""with v as (select vec_id, cast(embedding as double[]) as e, label from embeddings), k as (select label, arg_min(e, vec_id) as e from v where label is not null group by 1),
+s as (select v.vec_id, 'L' || k.label as canon, round(list_cosine_similarity(v.e, k.e), 9) as sim from v, k), b as (select vec_id, max(sim) as similarity, arg_min(canon, row(-sim, canon)) as canon from s group by 1)
+select vec_id, case when similarity >= 0.2 then canon end as canon, round(similarity, 6) as similarity from b""")
 def embedding_argmax(spark, sf):
+    """Every vector against the first vector of each label."""
     e = table(spark, sf, "embeddings").withColumnRenamed("embedding", "vector")
-    variants = e.where("vec_id < 20").select(F.concat(F.lit("v"), F.lpad(F.col("vec_id").cast("string"), 2, "0")).alias("canon"), "vector")
-    found = learning.best_similar(e.where("vec_id >= 20").select("vec_id", "vector"), variants, 0.2)
+    variants = e.where("label is not null").groupBy(F.concat(F.lit("L"), F.col("label").cast("string")).alias("canon")).agg(F.min_by("vector", "vec_id").alias("vector"))
+    found = learning.best_similar(e.select("vec_id", "vector"), variants, 0.2)
     return found.select("vec_id", "canon", F.round("similarity", 6).alias("similarity"))
 
 
@@ -332,11 +337,11 @@ def document_stats(spark, sf):
 
 
 @query(r"""with l as (select doc_id, g as n, string_split(text, chr(10))[g] as line from (select doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) as g from documents)),
-m as (select doc_id, n, nullif(regexp_extract(line, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b'), '') as email, nullif(regexp_extract(line, '\+\d{1,3} \(\d{3}\) \d{3}-\d{4}'), '') as phone from l)
+m as (select doc_id, n, nullif(regexp_extract(line, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b'), '') as email, nullif(regexp_extract(line, '(?:\+|00)?\d{1,3}[\s\-\.]?(?:\(?\d{2,5}\)?[\s\-\.]?)?\d{3,5}[\s\-\.]?\d{3,5}'), '') as phone from l)
 select doc_id, arg_min(email, n) filter (where email is not null) as email, arg_min(phone, n) filter (where phone is not null) as phone from m group by 1""")
 def contact_head_window(spark, sf):
     found = lines.text_lines(table(spark, sf, "documents")).withColumn("page", F.lit(0))
-    fields = {"email": contact.email("text"), "phone": first_of("text", r"\+\d{1,3} \(\d{3}\) \d{3}-\d{4}")}
+    fields = {"email": contact.email("text"), "phone": contact.phone("text")}
     return report.contact_from_lines(found, fields)
 
 
@@ -352,8 +357,8 @@ def label_distribution(spark, sf):
     return table(spark, sf, "labels").groupBy("quality", "toxic").agg(F.count("*").alias("n"))
 
 
-@query(f"""with {ENT_SQL}, p as (select doc_id, pos, word from ents where entity_group = 'ROLE' and word not like '%sign%')
+@query(f"""with {ENT_SQL}, p as (select doc_id, pos, word from ents where entity_group = 'ROLE' )
 select doc_id, arg_min(word, row(case when lower(word) in ('view1', 'click2', 'error3') then 0 else 1 end, pos)) as location from p group by 1""")
 def location_choice(spark, sf):
-    e = ents(spark, sf).where("entity_group = 'ROLE' and word not like '%sign%'").withColumn("entity_group", F.lit("LOCATION"))
+    e = ents(spark, sf).where("entity_group = 'ROLE'").withColumn("entity_group", F.lit("LOCATION"))
     return report.best_location(e, ["view1", "click2", "error3"])

@@ -25,7 +25,7 @@ def query(sql: str | None = None):
 WORDS = r"list_filter(string_split_regex(trim(regexp_replace({c}, '\s+', ' ', 'g')), ' '), lambda w: w <> '')"
 COUNT = "cast(length(regexp_replace({c}, '{not}', '', 'g')) as bigint)"
 EMAIL_SQL = r"nullif(regexp_extract(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b'), '')"
-PHONE_SQL = r"nullif(regexp_extract(text, '\+\d{1,3} \(\d{3}\) \d{3}-\d{4}'), '')"
+PHONE_SQL = r"nullif(regexp_extract(text, '(?:\+|00)?\d{1,3}[\s\-\.]?(?:\(?\d{2,5}\)?[\s\-\.]?)?\d{3,5}[\s\-\.]?\d{3,5}'), '')"
 
 
 @query(rf"""
@@ -33,7 +33,7 @@ with d as (select source, {EMAIL_SQL} as email, coalesce(nullif(regexp_extract(t
   nullif(regexp_extract(text, '\+91[-\s]?\d{{5}}[-\s]?\d{{5}}'), ''), nullif(regexp_extract(text, '\b\d{{5}}[-\s]?\d{{5}}\b'), '')) as mobile, {PHONE_SQL} as phone from documents)
 select source, count(*) as n_docs, count(email) as n_email, count(mobile) as n_mobile, count(phone) as n_phone from d group by source""")
 def contact_extract(spark, sf):
-    d = table(spark, sf, "documents").select("source", contact.email("text").alias("email"), contact.mobile("text").alias("mobile"), text.first_of("text", r"\+\d{1,3} \(\d{3}\) \d{3}-\d{4}").alias("phone"))
+    d = table(spark, sf, "documents").select("source", contact.email("text").alias("email"), contact.mobile("text").alias("mobile"), contact.phone("text").alias("phone"))
     return d.groupBy("source").agg(F.count("*").alias("n_docs"), F.count("email").alias("n_email"), F.count("mobile").alias("n_mobile"), F.count("phone").alias("n_phone"))
 
 
@@ -48,7 +48,7 @@ def name_from_email(spark, sf):
 @query(rf"""
 select doc_id, {PHONE_SQL} as phone, trim(regexp_replace(regexp_replace({PHONE_SQL}, '[^\d+]', ' ', 'g'), '\s+', ' ', 'g')) as normalized from documents where {PHONE_SQL} is not null""")
 def phone_normalized(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", text.first_of("text", r"\+\d{1,3} \(\d{3}\) \d{3}-\d{4}").alias("phone")).where("phone is not null")
+    d = table(spark, sf, "documents").select("doc_id", contact.phone("text").alias("phone")).where("phone is not null")
     return d.withColumn("normalized", contact.normalize_phone("phone"))
 
 
@@ -86,14 +86,19 @@ def text_normalized(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.normalize_text("text").alias("normalized"))
 
 
-@query(r"""
-select conv_id, turn, regexp_replace(lower(text[1:60]), '[^a-z0-9]+', '', 'g') as nosep,
-  trim(regexp_replace(lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text[1:60], '[•·|]', ' ', 'g'), '&', ' and ', 'g'), '[—–]', '-', 'g'), '[^A-Za-z0-9\s:.-]', ' ', 'g'), '\s+', ' ', 'g'))), ':$', '')) as key
-from conversations where not regexp_full_match(trim(regexp_replace(text[1:60], '\s+', ' ', 'g')), '(\p{L} )+\p{L}')""")
+# Whole texts, and who speaks as a heading of letters set apart.
+SPELLED_SQL = r"""said as (select conv_id, turn, 0 as spelled, coalesce(text, '') as t from conversations union all select conv_id, turn, 1, trim(regexp_replace(coalesce(role, ''), '(.)', '\1 ', 'g')) from conversations),
+joined as (select *, trim(regexp_replace(t, '\s+', ' ', 'g')) as one from said), plain as (select *, case when regexp_full_match(one, '(\p{L} )+\p{L}') then replace(one, ' ', '') else t end as c from joined)"""
+
+
+@query(rf"""
+with {SPELLED_SQL} select conv_id, turn, spelled, regexp_replace(lower(t), '[^a-z0-9]+', '', 'g') as nosep,
+  lower(trim(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(c, '[•·|]', ' ', 'g'), '&', ' and ', 'g'), '[—–]', '-', 'g'), '[^A-Za-z0-9\s:.-]', ' ', 'g'), '\s+', ' ', 'g')), ':$', ''))) as key from plain""")
 def heading_keys(spark, sf):
-    head = F.substring("text", 1, 60)
-    said = table(spark, sf, "conversations").where(~F.regexp(F.trim(F.regexp_replace(head, r"\s+", " ")), F.lit(r"^(\p{L} )+\p{L}$")))
-    return said.select("conv_id", "turn", text.despaced(head).alias("nosep"), text.heading_key(head).alias("key"))
+    said = table(spark, sf, "conversations")
+    apart = F.trim(F.regexp_replace(F.coalesce("role", F.lit("")), "(.)", "$1 "))
+    both = said.select("conv_id", "turn", F.lit(0).alias("spelled"), "text").unionByName(said.select("conv_id", "turn", F.lit(1).alias("spelled"), apart.alias("text")))
+    return both.select("conv_id", "turn", "spelled", text.despaced("text").alias("nosep"), text.heading_key("text").alias("key"))
 
 
 @query(r"""select case when length(trim(coalesce(text, ''))) >= 50 then 'success' else 'empty' end as status, count(*) as n, cast(sum(n_chars) as bigint) as chars from documents group by 1""")
@@ -159,7 +164,7 @@ def _stats(spark, sf):
     n = F.size(F.split("text", "\n"))
     blank = F.size(F.filter(F.split("text", "\n"), lambda x: x == ""))
     return table(spark, sf, "documents").select(
-        "doc_id", "text", n.alias("n_lines"), (blank + F.floor(n / 3).cast("int")).alias("n_sections"), contact.email("text").isNotNull().alias("e"), text.first_of("text", r"\+\d{1,3} \(\d{3}\) \d{3}-\d{4}").isNotNull().alias("p")
+        "doc_id", "text", n.alias("n_lines"), (blank + F.floor(n / 3).cast("int")).alias("n_sections"), contact.email("text").isNotNull().alias("e"), contact.phone("text").isNotNull().alias("p")
     )
 
 
@@ -196,15 +201,26 @@ def strategy_selection(spark, sf):
     return d.select("doc_id", "kind", layout.strategy(F.col("kind"), F.col("n_chars") < 100, F.col("n_chars") % 3).alias("strategy"))
 
 
-@query(r"""
-with h as (select page_id, lower(trim(case page_id % 6 when 0 then 'Work History' when 1 then 'Key Projects' when 2 then 'My Education so far' when 3 then 'Online Courses' when 4 then 'Skill and more' else 'Nothing' end)) as h from pages)
-select page_id, h as heading, case when regexp_matches(h, 'experience|employment|work history|career') then 'Experience' when regexp_matches(h, 'projects?') then 'Projects' when regexp_matches(h, 'education|academics?|qualifications?') then 'Education'
-  when regexp_matches(h, 'certifications?|certificates?|licenses?|courses') then 'Certifications' when regexp_matches(h, 'skills?|technologies|competencies|expertise') then 'Skills' end as canon,
-  case page_id % 6 when 0 then 0.9 when 1 then 0.9 when 2 then 0.8 when 3 then 0.9 when 4 then 0.75 end::double as confidence from h""")
+SAID = [
+    "Senior Developer", "Lead of teams", "Key Projects", "University of X", "Certified by us", "Technical matters", "Nothing", "Portfolio manager", "My school years", "Skill and more", "Case study", "Knowledge base",
+]
+# Job words: the first of the list that the heading holds decides.
+JOBS_SQL = """['developer','engineer','analyst','manager','architect','consultant','specialist','lead','senior','junior','intern','trainee','qa','tester','designer','programmer',
+ 'scientist','researcher','coordinator','administrator','director','officer','assistant','associate']"""
+
+
+@query(rf"""
+with h as (select page_id, lower(({SAID})[page_id % {len(SAID)} + 1]) as heading from pages),
+j as (select *, list_filter({JOBS_SQL}, lambda w: contains(heading, w))[1] as job,
+  len(list_filter(['project','portfolio','work sample','case study'], lambda w: contains(heading, w))) > 0 as a,
+  len(list_filter(['university','college','school','degree','bachelor','master','phd','diploma'], lambda w: contains(heading, w))) > 0 as b,
+  len(list_filter(['certification','certificate','certified','license','training'], lambda w: contains(heading, w))) > 0 as c,
+  len(list_filter(['skill','expertise','proficiency','competenc','technical','knowledge'], lambda w: contains(heading, w))) > 0 as d from h)
+select page_id, heading, case when job is not null then 'Experience' when a then 'Projects' when b then 'Education' when c then 'Certifications' when d then 'Skills' end as canon,
+  (case when job is not null and ends_with(heading, job) then 0.9 when job is not null then 0.75 when a or b or c then 0.8 when d then 0.75 end)::double as confidence from j""")
 def pattern_ladder(spark, sf):
-    k = F.col("page_id") % 6
-    h = F.when(k == 0, "Work History").when(k == 1, "Key Projects").when(k == 2, "My Education so far").when(k == 3, "Online Courses").when(k == 4, "Skill and more").otherwise("Nothing")
-    d = table(spark, sf, "pages").select("page_id", F.lower(h).alias("heading")).withColumn("g", learning.learn_from_pattern(F.col("heading")))
+    said = F.array(*map(F.lit, SAID))
+    d = table(spark, sf, "pages").select("page_id", F.lower(F.element_at(said, (F.col("page_id") % len(SAID) + 1).cast("int"))).alias("heading")).withColumn("g", learning.learn_from_pattern(F.col("heading")))
     return d.select("page_id", "heading", "g.canon", "g.confidence")
 
 

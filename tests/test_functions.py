@@ -71,7 +71,7 @@ def test_contact(spark):
     assert one(spark, said, contact.mobile) == "+919876543210"
     assert one(spark, said, located) == "Pune"
     assert one(spark, "x\nIn new delhi now", located) == "New Delhi" and one(spark, "City: Pune, India", located) == "Pune"
-    assert one(spark, "call (044) 555-0199 77 now", contact.phone) == "(044) 555-0199 77"
+    assert one(spark, "call +91 (044) 5550-0199 now", contact.phone) == "+91 (044) 5550-0199"
     assert one(spark, "at https://www.LinkedIn.com/in/jane-doe?x=1, ok", contact.linkedin) == "https://www.LinkedIn.com/in/jane-doe?x=1"
     assert one(spark, "github.com/jane;", contact.github) == "github.com/jane"
     assert one(spark, said, contact.name_from_text) == "Jane Doe"

@@ -173,15 +173,51 @@ def test_skills_totals_and_roles(spark):
     assert [r["total_years"] for r in entities.total_years(exps, spark.createDataFrame([(1, None), (2, 3.0)], "doc_id long, explicit_years double")).orderBy("doc_id").collect()] == [1.5, 3.0]
 
 
+def asked(spark, values, make):
+    return [r["x"] for r in spark.createDataFrame(list(enumerate(values)), "i int, c string").select("i", make(F.col("c")).alias("x")).orderBy("i").collect()]
+
+
 def test_learning(spark):
-    ask = lambda h: spark.createDataFrame([(h,)], "h string").select(learning.learn_from_pattern(F.col("h")).alias("g")).first()["g"]
-    assert tuple(ask("Relevant Work Experience")) == ("Experience", 0.9) and tuple(ask("Skills matrix")) == ("Skills", 0.75) and ask("Poems") is None
+    said = ["Senior Developer", "developer of things", "University of X", "Certified in Y", "Skills matrix", "Portfolio", "Poems", "", None]
+    got = [tuple(x) if x else None for x in asked(spark, said, learning.learn_from_pattern)]
+    assert got == [("Experience", 0.9), ("Experience", 0.75), ("Education", 0.8), ("Certifications", 0.8), ("Skills", 0.75), ("Projects", 0.8), None, None, None]
     vocab = small_vocabulary(spark)
-    new = learning.add_variants(vocab, spark.createDataFrame([("Rich Work Experience",), ("skills",)], "heading string"))
-    assert [tuple(r) for r in new.collect()] == [("Experience", "rich work experience")]
+    new = learning.add_variants(vocab, spark.createDataFrame([("Senior Developer",), ("skills",)], "heading string"))
+    assert [tuple(r) for r in new.collect()] == [("Experience", "senior developer")]
     assert vocabulary.new_variants(new, new).count() == 0
 
 
+def test_false_headings(spark):
+    said = ["Details", "Details of work", "Google Inc.", "Our solutions", "technologies", "ab", "Top 10", "Principal work"]
+    assert asked(spark, said, lambda c: headings.false_heading(c, F.lit(5.0))) == [True, False, True, False, False, True, True, True]
+    assert asked(spark, ["Awards won"], lambda c: headings.false_heading(c, F.lit(2.5))) == [True]
+    assert asked(spark, ["Awards won"], lambda c: headings.false_heading(c, F.lit(None).cast("double"))) == [False]
+
+
+def test_unknown_reasons(spark):
+    rows = [("work", 1, 1, None), ("Skill", 1, 1, None), ("ab", 9, 90, None), ("May notes", 9, 90, None), ("on 12/3", 9, 90, None), ("Odd", 2, 5, None), ("Odd", 2, 6, None), ("Odd", 3, 5, None), ("Hobby", 9, 90, 0.7), ("Hobby", 9, 90, 0.8)]
+    got = sections.unknown_reasons(spark.createDataFrame(rows, "section string, n_lines int, n_words int, s double"), "s").collect()
+    assert [r["unknown_reason"] for r in got] == [None, None, "too_short", "date", "date", "few_lines", None, None, "ambiguous", None]
+
+
+def test_best_person(spark):
+    texts = spark.createDataFrame([(1, "Resume of Ann Lee\nJane Doe\nx"), (2, None), (3, "")], "doc_id long, text string")
+    people = [(1, 0, "Ann Lee"), (1, 1, "Jane Doe"), (1, 2, "Email"), (2, 0, "Senior Engineer"), (2, 1, "jane roe"), (3, 0, "Single")]
+    got = entities.best_person(spark.createDataFrame(people, "doc_id long, pos int, word string"), texts).orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["name"], r["points"]) for r in got] == [(1, "Jane Doe", 15.0), (2, "jane roe", 5.0)]
+
+
+def test_best_similar_over_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(learning, "VARIANTS", 3)
+    rng = random.Random(3)
+    vs = [(f"v{i}", [rng.gauss(0, 1) for _ in range(4)]) for i in range(20)]
+    qs = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(15)]
+    qs += [(15, qs[0][1]), (16, None)]
+    got = {r["id"]: r["canon"] for r in learning.best_similar(spark.createDataFrame(qs, "id int, vector array<double>"), spark.createDataFrame(vs, "canon string, vector array<double>"), -1.0).collect()}
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+    assert got == {i: (min(vs, key=lambda v: (-round(cos(q, v[1]), 9), v[0]))[0] if q else None) for i, q in qs}
+
+
 def test_reports(spark):
     old = spark.createDataFrame([("a", 1), ("b", 2)], "f string, label int")
     got = report.upsert(old, spark.createDataFrame([("b", 3), ("c", 4)], "f string, label int"), ["f"])
