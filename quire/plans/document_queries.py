@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import contact
 from quire.functions.text import heading_key, word_count
-from quire.operators import entities, headings, learning, lines, report, sections
+from quire.operators import entities, headings, layout, learning, lines, report, sections
 from quire.operators.vocabulary import extend, unique_variants
 from quire.session import table
 from quire.sources.readers import pages_to_lines
@@ -129,6 +129,80 @@ def heading_vocab_join(spark, sf):
     return headings.match_headings(found, document_vocab(found)).groupBy("canon", "match").agg(F.count("*").alias("n"))
 
 
+@query(rf"""with {LINES_SQL} select doc_id, count(*) as n_lines, count(*) filter (where length(line) <= 100 and len(regexp_extract_all(line, '\S+')) between 1 and 6 and not regexp_matches(line, '[.!?,;]\s*$')
+  and not regexp_matches(lower(line), '@|https?:|www\.|phone|email|mobile|address|linkedin|github') and length(regexp_replace(line, '[^0-9]', '', 'g')) <= 4) as n_headers from dl group by 1""")
+def header_like_lines(spark, sf):
+    return document_lines(spark, sf).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(headings.header_like("text")).alias("n_headers"))
+
+
+@query(r"""select p_partkey, length(p_name) <= 48 and len(string_split(p_name, ' ')) between 1 and 7 and (p_size >= 1.15 * 25 or (p_partkey % 10) / 10.0 >= 0.35) and p_partkey % 7 >= 3 and not starts_with(p_type, 'PROMO') as is_heading from part""")
+def unknown_headings(spark, sf):
+    k = F.col("p_partkey")
+    found = headings.unknown_heading("p_name", F.col("p_size"), F.lit(25.0), k % 10 / 10, k % 7, F.lit(3.0), F.col("p_type").startswith("PROMO"))
+    return table(spark, sf, "part").select("p_partkey", found.alias("is_heading"))
+
+
+@query("""with c as (select l_orderkey as doc_id, cast(l_quantity as double) as font_size, cast(l_discount as double) * 100 as space_above, cast(l_tax as double) * 12.5 as width_ratio, cast(l_discount as double) * 10 as upper_ratio, cast(l_tax as double) * 5 as bold_ratio, cast(l_linenumber as integer) * 2 as word_count from lineitem),
+m as (select doc_id, median(font_size) as f, median(space_above) as s, median(upper_ratio) as u, median(bold_ratio) as b from c group by 1),
+j as (select c.*, not (f > 0 and font_size < f * 0.7 and space_above < greatest(4.0, s * 0.5) and upper_ratio < greatest(0.6, u * 0.7) and bold_ratio < greatest(0.15, b * 0.5) and word_count > 6 and width_ratio > 0.9 and bold_ratio < 0.3 and upper_ratio < 0.7) as kept from c join m using (doc_id)),
+a as (select *, bool_or(kept) over (partition by doc_id) as some_kept from j)
+select doc_id, count(*) as n, round(sum(font_size), 3) as fonts from a where kept or not some_kept group by 1""")
+def candidate_headings(spark, sf):
+    d = lambda c: F.col(c).cast("double")
+    cands = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), d("l_quantity").alias("font_size"), (d("l_discount") * 100).alias("space_above"), (d("l_tax") * 12.5).alias("width_ratio"),
+        (d("l_discount") * 10).alias("upper_ratio"), (d("l_tax") * 5).alias("bold_ratio"), (F.col("l_linenumber").cast("int") * 2).alias("word_count"),
+    )
+    return headings.candidate_headings(cands).groupBy("doc_id").agg(F.count("*").alias("n"), F.round(F.sum("font_size"), 3).alias("fonts"))
+
+
+@query("""with p as (select p_partkey, ['exact', 'despaced', 'token', null][p_partkey % 4 + 1] as m, (p_partkey % 3) / 3.0 as bold, (p_partkey % 5) / 5.0 as upper, p_size from part)
+select p_partkey, round(case when m is null then 0 else least(1.0, case when m = 'exact' then 0.9 else 0.85 end + case when bold > 0.5 then 0.05 else 0 end + case when upper > 0.7 then 0.03 else 0 end + case when p_size > 14 then 0.02 else 0 end) end::double, 6) as confidence from p""")
+def heading_confidences(spark, sf):
+    k = F.col("p_partkey")
+    match = F.element_at(F.array(F.lit("exact"), F.lit("despaced"), F.lit("token"), F.lit(None).cast("string")), (k % 4 + 1).cast("int"))
+    return table(spark, sf, "part").select("p_partkey", F.round(headings.heading_confidence(match, k % 3 / 3, k % 5 / 5, F.col("p_size")), 6).alias("confidence"))
+
+
+LAYOUT_SCORE_SQL = rf"""{LINES_SQL}, ms as (select line, line_no, len(regexp_extract_all(line, '\S+')) as n, length(regexp_replace(line, '[^\p{{L}}]', '', 'g')) as letters, length(regexp_replace(line, '[^\p{{Lu}}]', '', 'g')) as uppers,
+  len(list_filter(regexp_extract_all(line, '\S+'), lambda w: regexp_matches(w, '^\p{{Lu}}'))) as titles, length(regexp_replace(line, '[^0-9]', '', 'g')) as digits, ends_with(trim(line), ':') as colon from dl),
+rs as (select *, case when letters > 0 then uppers / letters else 0 end as up from ms),
+sc as (select case when n > 10 or length(line) > 60 or regexp_matches(line, '^\s*[•\-*▪●]|https?://|www\.|@|[0-9]{{10}}') then 0 else greatest(0, least(1,
+  case when contains(lower(line), 'license') then 0.5 else 0 end + case when n <= 4 and (up > 0.8 or colon) then 0.3 else 0 end + case when up > 0.8 then 0.25 else 0 end + case when colon then 0.2 else 0 end
+  + case when n > 0 and titles / n > 0.8 then 0.15 else 0 end + case when line_no % 3 = 0 then 0.15 else 0 end + case when line_no % 4 = 0 then 0.15 else 0 end
+  - case when digits / greatest(length(line), 1) > 0.3 then 0.3 else 0 end - case when regexp_matches(line, '[.,;]\s*$') then 0.2 else 0 end)) end::double as score from rs)"""
+
+
+@query(f"with {LAYOUT_SCORE_SQL} select round(score, 6) as score, count(*) as n from sc group by 1")
+def heading_layout_scores(spark, sf):
+    k = F.col("line_no")
+    score = headings.layout_score("text", F.contains(F.lower("text"), F.lit("license")), F.when(k % 3 == 0, 1.4).otherwise(1.0), F.when(k % 4 == 0, 2.5).otherwise(1.0))
+    return document_lines(spark, sf).groupBy((F.round(score, 6) + 0.0).alias("score")).agg(F.count("*").alias("n"))
+
+
+@query("""with p as (select p_partkey, (p_partkey % 11) / 10.0 as g, (p_partkey % 5) / 10.0 as h, 0.4 * ((p_partkey % 11) / 10.0) + 0.35 * ((p_partkey % 7) / 7.0) + 0.25 * ((p_partkey % 13) / 13.0) as s from part)
+select p_partkey, cast(case when g >= 0.7 and h < 0.2 then 2 when g >= 0.7 or (s > 0.35 and h >= 0.2) then 3 when s > 0.35 then 2 else 1 end as integer) as layout, round(s, 6)::double as score from p""")
+def layout_classes(spark, sf):
+    k = F.col("p_partkey")
+    gutter, header = k % 11 / 10, k % 5 / 10
+    score = layout.layout_score(gutter, k % 7 / 7, k % 13 / 13)
+    return table(spark, sf, "part").select("p_partkey", layout.layout_class(gutter, header, score).alias("layout"), F.round(score, 6).alias("score"))
+
+
+FILE_WORDS_SQL = """['resume','cv','curriculum','vitae','updated','latest','new','final','software','engineer','developer','manager','analyst','consultant','specialist','architect','lead','senior','junior','intern',
+ 'frontend','backend','fullstack','devops','data','web','mobile','java','python','react','angular','node','js','full','stack']"""
+
+
+@query(rf"""with f as (select p_partkey, 'in/' || replace(p_name, ' ', '_') || ['_resume', '-CV_2024', '', ' senior java developer'][p_partkey % 4 + 1] || '.pdf' as path from part),
+b as (select *, lower(regexp_replace(regexp_replace(path, '^.*[/\\]', ''), '\.[^.]*$', '')) as base from f),
+w as (select *, list_filter(string_split_regex(base, '[._\-\s]+'), lambda x: length(x) > 1 and not regexp_full_match(x, '[0-9]+') and not list_contains({FILE_WORDS_SQL}, x)) as ps from b)
+select p_partkey, path, case when len(ps) >= 2 then array_to_string(list_transform(ps[1 : case when len(ps) > 4 then 3 else 4 end], lambda x: upper(x[1:1]) || lower(x[2:])), ' ') end as name from w""")
+def name_from_filename(spark, sf):
+    tail = F.element_at(F.array(F.lit("_resume"), F.lit("-CV_2024"), F.lit(""), F.lit(" senior java developer")), (F.col("p_partkey") % 4 + 1).cast("int"))
+    path = F.concat(F.lit("in/"), F.replace("p_name", F.lit(" "), F.lit("_")), tail, F.lit(".pdf"))
+    return table(spark, sf, "part").select("p_partkey", path.alias("path")).withColumn("name", contact.name_from_filename("path"))
+
+
 PHRASES = [("red widget", "Skills"), ("hot gear", "Tools"), ("blue", "Colour"), ("bolt", "Part"), ("ring", "Part"), ("small ring", "Jewel"), ("red", "Colour"), ("gear", "Part"), ("green", "Colour"), ("widget", "Part")]
 PHRASE_SQL = "vocab(variant, canon) as (values " + ", ".join(f"('{v}', '{c}')" for v, c in PHRASES) + ")"
 
@@ -274,6 +348,19 @@ def entity_fragmentation(spark, sf):
     return f.select("entity_group", "n", *[F.round(c, 6).alias(c) for c in ("part_rate", "single_rate", "low_rate")])
 
 
+@query(f"""with {ENT_SQL}, c as (select doc_id, pos, word, entity_group, ['first step', 'Jane Doe', 'Ann Lee Roe', 'Senior Engineer', 'email'][pos % 5 + 1] as name from ents),
+t as (select doc_id, ['Resume of Ann Lee Roe' || chr(10) || 'Jane Doe', 'Jane Doe', '', 'x' || chr(10) || 'Ann Lee Roe'][doc_id % 4 + 1] as text from (select distinct doc_id from ents)),
+s as (select doc_id, pos, name, case when doc_id % 4 = 0 and name = 'Jane Doe' then 8 when doc_id % 4 = 1 and name = 'Jane Doe' then 10 when doc_id % 4 = 3 and name = 'Ann Lee Roe' then 8 else 0 end
+  + 3 - case when name = 'Senior Engineer' then 5 else 0 end + 2 + case when name = 'first step' then 0 else 2 end as points from c join t using (doc_id) where name <> 'email')
+select doc_id, arg_min(name, row(-points, pos)) as name, cast(max(points) as double) as points from s group by 1""")
+def best_person(spark, sf):
+    names = F.array(*map(F.lit, ["first step", "Jane Doe", "Ann Lee Roe", "Senior Engineer", "email"]))
+    people = ents(spark, sf).select("doc_id", "pos", F.element_at(names, F.col("pos") % 5 + 1).alias("word"))
+    texts = F.array(*map(F.lit, ["Resume of Ann Lee Roe\nJane Doe", "Jane Doe", "", "x\nAnn Lee Roe"]))
+    heads = people.select("doc_id").distinct().withColumn("text", F.element_at(texts, (F.col("doc_id") % 4 + 1).cast("int")))
+    return entities.best_person(people, heads)
+
+
 @query("""select d.source, count(*) as total, count(*) filter (where length(trim(text)) >= 50) as successful, count(*) filter (where length(trim(text)) < 50) as empty, count(*) filter (where l.quality = 0) as failed, round(avg(n_chars / 1000.0::double), 6) as avg_seconds
 from documents d left join labels l using (doc_id) group by 1""")
 def batch_summary(spark, sf):
