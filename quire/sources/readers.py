@@ -25,7 +25,7 @@ def list_files(spark: SparkSession, folder: str, extensions: list[str] = ("pdf",
     glob = "*.{" + ",".join(x for e in extensions for x in (e.lower(), e.upper())) + "}"
     found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", glob).load(folder)
     columns = ["path", "length", "modificationTime", *(["content"] if content else [])]
-    out = found.select(*columns).dropDuplicates(["path"]).withColumn("file_type", file_type(F.col("path")))
+    out = found.select(*columns).withColumn("file_type", file_type(F.col("path")))  # a listing names each file once, so no bytes are shuffled
     return out if limit is None else out.orderBy("path").limit(limit)
 
 
@@ -87,27 +87,41 @@ def pages_to_lines(pages: DataFrame, html: str = "html", page_id: str = "page_id
     return rows.select("doc_id", "line_no", text.alias("text"), F.lower(F.regexp_extract("raw", r"^<(\w+)", 1)).alias("tag")).where("text <> ''")
 
 
-def decode(files: DataFrame, decoder: Callable[[str, bytes], Iterator[tuple]], schema: str = WORD_SCHEMA, fallback: Callable[[str, bytes], Iterator[tuple]] | None = None) -> DataFrame:
+def decode(
+    files: DataFrame, decoder: Callable[[str, bytes], Iterator[tuple]], schema: str = WORD_SCHEMA, fallback: Callable[[str, bytes], Iterator[tuple]] | None = None, status: bool = False
+) -> DataFrame:
     """Rows of a decoder for each file (path, content). Where it fails or gives nothing, those of ``fallback``.
 
-    Readers for PDF and images come as such decoders; none is bundled.
+    Readers for PDF and images come as such decoders; none is bundled. The first
+    column of ``schema`` is the path. With ``status`` there is a last column
+    decode_status: ok, fallback, empty (both gave nothing) or what went wrong; files
+    without rows then have one of nulls, so none is lost in silence.
     """
     names = [f.split()[0] for f in schema.split(", ")]
 
+    def attempt(reader, path: str, content: bytes) -> tuple[list[tuple], str | None]:
+        try:
+            return list(reader(path, content)), None
+        except Exception as e:  # noqa: BLE001 - a decoder may fail in any way on a broken file
+            return [], f"{type(e).__name__}: {e}"
+
     def work(batches):
         import pandas as pd
 
         for b in batches:
             rows = []
             for path, content in zip(b["path"], b["content"]):
-                try:
-                    found = list(decoder(path, bytes(content)))
-                except Exception:  # noqa: BLE001 - a decoder may fail in any way on a broken file
-                    found = []
-                rows += found or (list(fallback(path, bytes(content))) if fallback else [])
-            yield pd.DataFrame(rows, columns=names)
-
-    return files.select("path", "content").mapInPandas(work, schema)
+                found, error = attempt(decoder, path, bytes(content))
+                said = "ok"
+                if not found and fallback:
+                    found, worse = attempt(fallback, path, bytes(content))
+                    said, error = "fallback", error if worse is None else f"{error or 'empty'}; {worse}"
+                if status:
+                    found = [(*r, said) for r in found] or [(path, *[None] * (len(names) - 1), error or "empty")]
+                rows += found
+            yield pd.DataFrame(rows, columns=[*names, "decode_status"] if status else names)
+
+    return files.select("path", "content").mapInPandas(work, schema + ", decode_status string" if status else schema)
 
 
 LINE_SCHEMA = "path string, line_no int, text string, style string, bold_ratio double, font_size double, top double"

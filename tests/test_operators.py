@@ -251,6 +251,11 @@ def test_sources(spark, tmp_path):
     assert sorted(r["file_type"] for r in found.collect()) == ["docx", "docx", "text"]
     got = readers.decode(found.where("file_type = 'docx'"), readers.docx_lines, readers.LINE_SCHEMA).orderBy("line_no").collect()
     assert [(r["text"], r["bold_ratio"], r["font_size"]) for r in got] == [("SKILLS", 1.0, 12.0), ("Spark", 0.0, 12.0)]
+    named = readers.decode(found, readers.docx_lines, readers.LINE_SCHEMA, lambda p, c: iter([(p, 0, "plain", "", 0.0, 11.0, 0.0)] if p.endswith(".txt") else []), status=True)
+    said = sorted((r["path"][-6:], r["text"], r["decode_status"].split(":")[0]) for r in named.collect())
+    assert said == [("/b.txt", "plain", "fallback"), ("a.docx", "SKILLS", "ok"), ("a.docx", "Spark", "ok"), ("c.docx", None, "BadZipFile")]
+    heads = spark.createDataFrame([(bytearray(b"%PDF-1.7"),), (bytearray(b"PK"),)], "content binary")
+    assert [r["x"] for r in heads.select(readers.is_pdf(F.col("content")).alias("x")).collect()] == [True, False]
     assert readers.read_texts(spark, str(tmp_path / "b.txt")).first()["text"] == "hello\nworld"
     (tmp_path / "v.json").write_text('{"sections": {"Skills": {"variants": ["skills", "tools"], "confidence_threshold": 0.7}}}')
     assert [r["variant"] for r in readers.read_vocabulary(spark, str(tmp_path / "v.json")).orderBy("prio").collect()] == ["skills", "tools"]
