@@ -35,6 +35,13 @@ def parse_month(c, as_of: str | Column) -> Column:
     )
 
 
+def date_as_written(c) -> Column:
+    """The part of a text that is a date, in lower case and not normalised: word and year, MM/YYYY or year; ``Present`` for words for it; else the whole text. Null for none."""
+    low = F.lower(F.trim(col(c)))
+    now = F.regexp(low, F.lit("present|current|now|till date"))
+    return F.when(F.length(col(c)) > 0, F.when(now, "Present").otherwise(F.coalesce(first_of(low, r"(?U)\w+\s+\d{4}", r"\d{1,2}/\d{4}", r"\d{4}", group=0), low)))
+
+
 def months_between_ym(begin, end) -> Column:
     """Whole months from one ``YYYY-MM`` to another; 0 if negative or unknown."""
     part = lambda c, a, n: F.substring(col(c), a, n).try_cast("int")

@@ -17,6 +17,15 @@ def scanned_strict(chars: Column, images: Column, drawings: Column) -> Column:
     return (chars < 50) | ((images > 0) & (chars < 200)) | ((drawings > 50) & (chars < 500))
 
 
+def scanned_first_page(text: Column) -> Column:
+    """Under 50 characters on the first page."""
+    return F.length(F.coalesce(text, F.lit(""))) < 50
+
+
+def scanned_docx(images: Column, paragraphs: Column) -> Column:
+    return (images > 3) & (paragraphs < 10)
+
+
 def route(chars: Column, text_ratio: Column, images: Column) -> Column:
     """native, ocr or hybrid."""
     return F.when(chars <= 100, "ocr").when((text_ratio < 5) & (images > 0), "ocr").when(text_ratio < 10, "hybrid").otherwise("native")
@@ -77,8 +86,71 @@ def band_density(words: DataFrame, bands: int = 60, keys=KEYS) -> DataFrame:
     return words.where(lo <= hi).select(*keys, F.explode(F.sequence(lo.cast("int"), hi.cast("int"))).alias("band")).groupBy(*keys, "band").agg(F.count("*").alias("n"))
 
 
+def gutter(words: DataFrame, bins: int = 400, bands: int = 60, zero: float = 0.05, keys=KEYS) -> DataFrame:
+    """(keys, coverage, header_fraction, gutter_x): where a vertical gutter stands in the middle of the page and through how many horizontal bands.
+
+    Centres of words are counted in ``bins`` over the width, each bin as the mean of the seven around it. The gutter is
+    the first of the emptiest bins in the middle quarter. A band is open where the least density within ten bins of the
+    gutter, against the band's greatest (at least 1), is at most ``zero``; bands without words aren't open. The header
+    ends at the first max(4, bands // 12) open bands in a row (0 where there are none). Counts are spread to
+    neighbouring bins before the aggregation, so nothing is dense but what words touch. Words outside the page's height are in no band.
+    """
+    half, height = 3, F.col("page_height") / bands
+    at = F.least(F.greatest(((F.col("x0") + F.col("x1")) * 0.5 * bins / F.col("page_width")).cast("int"), F.lit(0)), F.lit(bins - 1))
+    near = F.sequence(F.greatest(F.col("at") - half, F.lit(0)), F.least(F.col("at") + half, F.lit(bins - 1)))
+    placed = words.select(*keys, "top", "bottom", "page_width", height.alias("height"), at.alias("at"))
+    middle = [bins // 2 - bins // 8, bins // 2 + bins // 8 - 1]
+
+    pages = placed.groupBy(*keys, "at").agg(F.count("*").alias("n"), F.max("page_width").alias("width")).withColumn("bin", F.explode(near))
+    pages = pages.groupBy(*keys, "bin").agg(F.sum("n").alias("n"), F.max("width").alias("width"))
+    inside = F.when(F.col("bin").between(*middle), F.struct("bin", "n"))
+    pages = pages.groupBy(*keys).agg(F.max("width").alias("width"), F.map_from_entries(F.collect_list(inside)).alias("held"))
+    emptiest = F.array_min(F.transform(F.sequence(F.lit(middle[0]), F.lit(middle[1])), lambda b: F.struct(F.coalesce(F.try_element_at("held", b), F.lit(0)).alias("n"), b.alias("bin"))))
+    pages = pages.select(*keys, "width", emptiest["bin"].alias("gutter"))
+
+    spread = placed.withColumn("band", F.explode(F.filter(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: (F.col("bottom") > b * F.col("height")) & (F.col("top") < (b + 1) * F.col("height")))))
+    spread = spread.groupBy(*keys, "band", "at").agg(F.count("*").alias("n")).withColumn("bin", F.explode(near)).groupBy(*keys, "band", "bin").agg(F.sum("n").alias("n"))
+    met = F.col("bin").between(F.col("gutter") - 10, F.col("gutter") + 10)
+    least = F.when(F.count_if(met) == 21, F.min(F.when(met, F.col("n")))).otherwise(0) / 7
+    open_ = spread.join(pages, list(keys)).groupBy(*keys, "band").agg((least / F.greatest(F.lit(1.0), F.max("n") / 7)).alias("v")).where(F.col("v") <= zero)
+    run = max(4, bands // 12)
+    rows = open_.groupBy(*keys).agg(F.array_sort(F.collect_list("band")).alias("open"))
+    first = F.array_min(F.filter("open", lambda b, i: F.try_element_at("open", i + run) == b + run - 1))
+    share = lambda c: F.coalesce(c, F.lit(0)) / bands
+    return pages.join(rows, list(keys), "left").select(*keys, share(F.size("open")).alias("coverage"), share(first).alias("header_fraction"), (F.col("gutter") * F.col("width") / bins).alias("gutter_x"))
+
+
+def mean_overlap(words: DataFrame, size: float = 20.0, keys=KEYS) -> DataFrame:
+    """(keys, n_pairs, mean_overlap): vertical overlap to the smaller height over all pairs of a page's words; 0 without pairs.
+
+    Words of no height are in no pair. Equal spans are counted once with their number, and different ones meet only
+    in the band of ``size`` points where their overlap begins, so pairs that add nothing are never made.
+    """
+    spans = words.where("bottom > top").groupBy(*keys, "top", "bottom").agg(F.count("*").alias("n"))
+    band = lambda y: F.floor(y / size)
+    met = spans.withColumn("band", F.explode(F.sequence(band(F.col("top")), band(F.col("bottom")))))
+    other = met.select(*keys, "band", F.col("top").alias("top2"), F.col("bottom").alias("bottom2"), F.col("n").alias("n2"))
+    later = (F.col("top2") > F.col("top")) | ((F.col("top2") == F.col("top")) & (F.col("bottom2") > F.col("bottom")))
+    pairs = met.join(other, [*keys, "band"]).where(later & (F.col("band") == band(F.col("top2"))) & (F.col("top2") < F.col("bottom")))
+    overlap = (F.least("bottom", "bottom2") - F.col("top2")) / F.least(F.col("bottom") - F.col("top"), F.col("bottom2") - F.col("top2"))
+    between = pairs.groupBy(*keys).agg(F.sum(overlap * F.col("n") * F.col("n2")).alias("o"))
+    within = spans.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("w"))
+    n_pairs = (F.coalesce("n", F.lit(0)) * (F.coalesce("n", F.lit(0)) - 1) / 2).cast("bigint")
+    total = F.coalesce("w", F.lit(0.0)) + F.coalesce("o", F.lit(0.0))
+    pages = words.select(*keys).distinct().join(within, list(keys), "left").join(between, list(keys), "left").withColumn("n_pairs", F.greatest(n_pairs, F.lit(0)))
+    return pages.select(*keys, "n_pairs", F.when(F.col("n_pairs") > 0, total / F.col("n_pairs")).otherwise(0.0).alias("mean_overlap"))
+
+
+def balanced_halves(words: DataFrame, keys=KEYS) -> DataFrame:
+    """Two columns where more than ten words begin in each half and the smaller number is over .3 of the larger; pages of up to 20 words have one."""
+    right = F.count_if(F.col("x0") >= F.col("page_width") / 2)
+    out = words.groupBy(*keys).agg(F.count("*").alias("n"), right.alias("n_right")).withColumn("n_left", F.col("n") - F.col("n_right"))
+    two = (F.least("n_left", "n_right") > 10) & (F.least("n_left", "n_right") / F.greatest("n_left", "n_right") > 0.3) & (F.col("n") > 20)
+    return out.select(*keys, "n_left", "n_right", F.when(two, 2).otherwise(1).alias("n_columns"))
+
+
 def pairwise_overlap(lines: DataFrame, reach: int = 19, keys=KEYS, order: str = "line_no") -> DataFrame:
-    """(keys, n_pairs, mean_overlap): vertical overlap to the smaller height, of each line and the ``reach`` after it.
+    """(keys, n_pairs, mean_overlap): vertical overlap to the smaller height, of each line and the ``reach`` after it; ``mean_overlap`` takes all pairs.
 
     Neighbours come by ``lead`` in one ordered window, so the work is in proportion to the lines.
     """

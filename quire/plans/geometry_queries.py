@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.operators import columns, layout, lines
+from quire.operators import columns, headings, layout, lines
 from quire.session import table
 
 Q, SQL = {}, {}
@@ -271,3 +271,48 @@ def global_columns(spark, sf):
 def recursive_layout(spark, sf):
     blocks = words(spark, sf).select(*KEYS, "text", "x0", "x1", "top", "bottom", "page_width", "page_height")
     return layout.recursive_blocks(blocks).groupBy(*KEYS, "block_path").agg(F.count("*").alias("n"))
+
+
+@query(f"""with {WORDS_SQL}, placed as (select *, page_height / 60 as height, least(greatest(cast(trunc((x0 + x1) * 0.5 * 400 / page_width) as integer), 0), 399) as spot from words),
+gl as (select p.doc_id, p.page, b.bin, count(*) filter (where abs(p.spot - b.bin) <= 3) as n from placed p cross join (select unnest(range(150, 250)) as bin) b group by all),
+mid as (select doc_id, page, bin as gutter from gl qualify row_number() over (partition by doc_id, page order by n, bin) = 1),
+banded as (select doc_id, page, spot, cast(band as integer) as band from placed cross join (select unnest(range(0, 60)) as band) where bottom > band * height and top < (band + 1) * height),
+dens as (select d.doc_id, d.page, d.band, b.bin, count(*) filter (where abs(d.spot - b.bin) <= 3) as n from banded d cross join (select unnest(range(0, 400)) as bin) b group by all),
+vals as (select doc_id, page, band, (min(n) filter (where bin between gutter - 10 and gutter + 10) / 7.0::double) / greatest(1.0, max(n) / 7.0::double) as v from dens join mid using (doc_id, page) group by all),
+low as (select *, band - row_number() over (partition by doc_id, page order by band) as island from vals where v <= 0.05),
+runs as (select doc_id, page, min(band) as first, count(*) as n from low group by doc_id, page, island),
+agg as (select doc_id, page, sum(n) as n, min(first) filter (where n >= 5) as first from runs group by all)
+select doc_id, page, round(coalesce(n, 0) / 60.0::double, 9) as coverage, round(coalesce(first, 0) / 60.0::double, 9) as header_fraction, round(gutter * 612.0::double / 400, 9) as gutter_x from mid left join agg using (doc_id, page)""")
+def gutter_bands(spark, sf):
+    return layout.gutter(words(spark, sf)).select(*KEYS, *[F.round(c, 9).alias(c) for c in ("coverage", "header_fraction", "gutter_x")])
+
+
+@query(f"""with {WORDS_SQL}, r as (select *, row_number() over () as i from words),
+p as (select a.doc_id, a.page, greatest(least(a.bottom, b.bottom) - greatest(a.top, b.top), 0) / least(a.bottom - a.top, b.bottom - b.top) as o from r a join r b on a.doc_id = b.doc_id and a.page = b.page and a.i < b.i),
+m as (select doc_id, page, count(*) as n_pairs, avg(o) as mean_overlap from p group by all)
+select doc_id, page, coalesce(n_pairs, 0) as n_pairs, round(coalesce(mean_overlap, 0), 6) as mean_overlap from (select distinct doc_id, page from words) left join m using (doc_id, page)""")
+def mean_overlap_all_pairs(spark, sf):
+    return layout.mean_overlap(words(spark, sf)).withColumn("mean_overlap", F.round("mean_overlap", 6))
+
+
+@query(f"""with {WORDS_SQL}, c as (select doc_id, count(*) filter (where x0 < 306) as n_left, count(*) filter (where x0 >= 306) as n_right from words group by 1)
+select *, case when n_left > 10 and n_right > 10 and least(n_left, n_right) / greatest(n_left, n_right) > 0.3 then 2 else 1 end as n_columns from c""")
+def balanced_halves(spark, sf):
+    return layout.balanced_halves(words(spark, sf), keys=("doc_id",))
+
+
+@query(f"""with {WORDS_SQL}, {LINES_SQL}, sp as (select *, greatest(coalesce(top - lag(bottom) over (partition by doc_id, page order by line_no), 0), 0)::double as space_above from ls),
+st as (select *, avg(height) over p as mh, avg(space_above) over p as ms, count(*) over p as n, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) as letters, length(regexp_replace(text, '[^A-Z]', '', 'g')) as upper_,
+  list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') as ws from sp window p as (partition by doc_id, page)),
+sc as (select doc_id, page, line_no, round(case when text like '%click%' then 0.4 else 0 end + case when len(ws) <= 8 and length(text) <= 60 then 0.15 else 0 end
+  + case when upper_ / greatest(letters, 1) > 0.7 then 0.2 when len(list_filter(ws, lambda w: regexp_matches(w, '^[A-Z]'))) / greatest(len(ws), 1) > 0.8 then 0.15 else 0 end
+  + case when text like '%:' then 0.1 else 0 end + case when height > 1.15::double * mh then 0.1 else 0 end + case when space_above > 1.3::double * ms then 0.15 else 0 end + case when line_no < least(5.0::double, n * 0.1::double) then 0.05 else 0 end, 4)::double as score from st)
+select *, score >= 0.25 as is_heading from sc""")
+def ocr_heading_score(spark, sf):
+    from pyspark.sql import Window
+
+    page = Window.partitionBy(*KEYS)
+    spaced = lines.line_spacing(page_lines(spark, sf)).withColumns({"mh": F.avg("height").over(page), "ms": F.avg("space_above").over(page), "n": F.count("*").over(page)})
+    c = F.col
+    scored = headings.ocr_score(c("text"), F.contains("text", F.lit("click")), c("line_no"), c("n"), c("height"), c("mh"), c("space_above"), c("ms"))
+    return spaced.select(*KEYS, "line_no", scored.alias("score")).withColumn("is_heading", F.col("score") >= 0.25)

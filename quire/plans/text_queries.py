@@ -228,3 +228,21 @@ def pattern_ladder(spark, sf):
 def json_and_colors(spark, sf):
     c = text.color_parts(F.col("event_id") * 7919)
     return table(spark, sf, "events").select("event_id", text.flatten_json_line("props").alias("flat"), c["r"].alias("r"), c["g"].alias("g"), c["b"].alias("b"))
+
+
+DATES_SQL = "case doc_id % 7 when 0 then ' Jan 2020 ' when 1 then '01/2019 - 02/2020' when 2 then 'since 2018' when 3 then 'Till Date' when 4 then '' when 5 then 'unknown' end"
+
+
+@query(rf"""
+with d as (select doc_id, {DATES_SQL} as said from documents), l as (select *, lower(trim(said)) as low from d)
+select doc_id, case when said is null or said = '' then null when regexp_matches(low, 'present|current|now|till date') then 'Present'
+  when regexp_matches(low, '\w+\s+\d{{4}}') then regexp_extract(low, '\w+\s+\d{{4}}') when regexp_matches(low, '\d{{1,2}}/\d{{4}}') then regexp_extract(low, '\d{{1,2}}/\d{{4}}')
+  when regexp_matches(low, '\d{{4}}') then regexp_extract(low, '\d{{4}}') else low end as written from l""")
+def dates_as_written(spark, sf):
+    return table(spark, sf, "documents").selectExpr("doc_id", f"{DATES_SQL} as said").select("doc_id", dates.date_as_written("said").alias("written"))
+
+
+@query("""select doc_id, length(coalesce(text, '')) < 50 as scanned_first_page, n_chars % 7 > 3 and n_chars % 23 < 10 as scanned_docx from documents""")
+def scan_tests(spark, sf):
+    n = F.col("n_chars")
+    return table(spark, sf, "documents").select("doc_id", layout.scanned_first_page(F.col("text")).alias("scanned_first_page"), layout.scanned_docx(n % 7, n % 23).alias("scanned_docx"))

@@ -277,3 +277,14 @@ def test_stream_runs_each_file_once(spark, tmp_path):
         spark.createDataFrame([(part * 2 + i, "SKILLS\nspark") for i in range(2)], "doc_id long, text string").coalesce(1).write.mode("append").parquet(src)
         run_batches(stream_documents(spark, src), lambda b: lines.text_lines(b), out, check).awaitTermination()
     assert spark.read.parquet(out).count() == 8
+
+
+def test_gutter_and_overlap_of_all_pairs(spark):
+    """Ten lines over the full width, then fifty in two columns; and an empty table."""
+    rows = [(1, 0, "w", x, x + 8.0, 10.0 * i + 1, 10.0 * i + 9, 400.0, 600.0) for i in range(60) for x in range(0, 390, 10) if i < 10 or not 170 < x < 230]
+    page = spark.createDataFrame(rows, WORD)
+    found = layout.gutter(page).first()
+    assert (round(found["coverage"], 6), round(found["header_fraction"], 6)) == (round(50 / 60, 6), round(10 / 60, 6)) and 174 < found["gutter_x"] < 234
+    assert layout.gutter(page.limit(0)).count() == 0
+    few = spark.createDataFrame([(1, 0, "a", 0.0, 1.0, 0.0, 10.0, 9.0, 9.0), (1, 0, "b", 0.0, 1.0, 5.0, 25.0, 9.0, 9.0), (1, 0, "c", 0.0, 1.0, 0.0, 10.0, 9.0, 9.0), (2, 0, "d", 0.0, 1.0, 3.0, 3.0, 9.0, 9.0)], WORD)
+    assert sorted(tuple(r) for r in layout.mean_overlap(few).collect()) == [(1, 0, 3, (0.5 + 0.5 + 1) / 3), (2, 0, 0, 0.0)]
