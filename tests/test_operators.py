@@ -281,7 +281,7 @@ def test_stream_runs_each_file_once(spark, tmp_path):
 
 def test_gutter_and_overlap_of_all_pairs(spark):
     """Ten lines over the full width, then fifty in two columns; and an empty table."""
-    rows = [(1, 0, "w", x, x + 8.0, 10.0 * i + 1, 10.0 * i + 9, 400.0, 600.0) for i in range(60) for x in range(0, 390, 10) if i < 10 or not 170 < x < 230]
+    rows = [(1, 0, "w", float(x), x + 8.0, 10.0 * i + 1, 10.0 * i + 9, 400.0, 600.0) for i in range(60) for x in range(0, 390, 5) if i < 10 or not 170 < x < 230]
     page = spark.createDataFrame(rows, WORD)
     found = layout.gutter(page).first()
     assert (round(found["coverage"], 6), round(found["header_fraction"], 6)) == (round(50 / 60, 6), round(10 / 60, 6)) and 174 < found["gutter_x"] < 234
