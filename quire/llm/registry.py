@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import ball_tree, bpe_codec, exact_dedup, html_text, license_scan, packing, quality, simhash, token_counts, url_filter
+from quire.llm import alignment, ball_tree, bpe_codec, exact_dedup, html_text, license_scan, packing, quality, simhash, token_counts, url_filter
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_url_filter": url_filter.op8_url_filter,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
         "op10_bpe_codec": bpe_codec.op10_bpe_codec,
+        "op11_alignment": alignment.op11_alignment,
     }
 
 

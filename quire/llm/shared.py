@@ -48,6 +48,23 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def most_frequent(counted: DataFrame, n: str, most: int) -> tuple[int, int]:
+    """(least count, rows below it): at most ``most`` rows of ``counted`` have that count or more.
+
+    The counts come to the driver as a histogram, eight classes for each power of two, so a few hundred rows at any size.
+    """
+    power = F.floor(F.log2(n)).cast("int")
+    part = F.floor(F.col(n) / F.pow(F.lit(2.0), power) * 8).cast("int")
+    classes = counted.groupBy(power.alias("power"), part.alias("part")).agg(F.count("*").alias("rows"), F.min(n).alias("least")).orderBy(F.desc("least")).collect()
+    taken, least = 0, None
+    for one in classes:
+        if taken + one["rows"] > most:
+            break
+        taken, least = taken + one["rows"], one["least"]
+    left = sum(one["rows"] for one in classes) - taken
+    return (least if least is not None else (classes[0]["least"] * 2 + 2 if classes else 1)), left
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
