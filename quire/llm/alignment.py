@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.shared import cut, most_frequent, table, text_hash, text_or_empty, tokenizer_path
+from quire.llm.shared import cut, most_frequent, summed, table, text_hash, text_or_empty, tokenizer_path
 from quire.llm.units import UnitEncoder, byte_letters, stretches
 
 #: Bytes of text whose token ends make up one row of events.
@@ -262,17 +262,6 @@ def written(size_a: int, size_b: int) -> Written:
     return Written(size_a, size_b)
 
 
-def summed(keys: list[np.ndarray], weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and the sum of each one's weights, exact."""
-    keys, weights = np.concatenate(keys), np.concatenate(weights)
-    if not len(keys):
-        return keys, weights
-    order = np.argsort(keys, kind="stable")
-    keys, weights = keys[order], weights[order]
-    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[starts], np.add.reduceat(weights, starts)
-
-
 def packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
     """Ascending keys as differences, with their counts."""
     small = "<u4" if not len(keys) or max(int(keys[-1]), int(counts.max())) < 1 << 32 else "<u8"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import alignment, ball_tree, bpe_codec, exact_dedup, html_text, license_scan, packing, quality, simhash, token_counts, url_filter
+from quire.llm import alignment, ball_tree, bpe_codec, exact_dedup, html_text, license_scan, line_dedup, packing, quality, simhash, source_audit, token_counts, url_filter
 
 
 def queries() -> dict:
@@ -18,8 +18,10 @@ def queries() -> dict:
         "op9_best_fit_packing": packing.op9_best_fit_packing,
         "op10_bpe_codec": bpe_codec.op10_bpe_codec,
         "op11_alignment": alignment.op11_alignment,
+        "op12_line_dedup": line_dedup.op12_line_dedup,
+        "op13_source_audit": source_audit.op13_source_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": exact_dedup.OP6_SQL, "op7_topk_search": ball_tree.OP7_SQL, "op8_url_filter": url_filter.OP8_SQL}
+    return {"op6_exact_dedup": exact_dedup.OP6_SQL, "op7_topk_search": ball_tree.OP7_SQL, "op8_url_filter": url_filter.OP8_SQL, "op12_line_dedup": line_dedup.OP12_SQL, "op13_source_audit": source_audit.OP13_SQL}
