@@ -165,11 +165,12 @@ def pairwise_overlap(lines: DataFrame, reach: int = 19, keys=KEYS, order: str =
 
 
 def bimodality(words: DataFrame, keys=KEYS) -> DataFrame:
-    """How far the means of the left and right half's centres lie apart, against their spread."""
+    """How far the means of the left and right half's centres lie apart, against their spread; 0 where a half is empty."""
     c, mid = (F.col("x0") + F.col("x1")) / 2, F.col("page_width") / 2
     l, r = F.when(c < mid, c), F.when(c >= mid, c)
     s = words.groupBy(*keys).agg(F.avg(l).alias("ml"), F.avg(r).alias("mr"), F.stddev_pop(l).alias("sl"), F.stddev_pop(r).alias("sr"), F.max("page_width").alias("w"))
-    return s.select(*keys, (F.abs(F.col("mr") - F.col("ml")) / F.col("w") / F.greatest((F.col("sl") + F.col("sr")) / F.col("w"), F.lit(0.01))).alias("bimodality"))
+    apart = F.abs(F.col("mr") - F.col("ml")) / F.col("w") / F.greatest((F.col("sl") + F.col("sr")) / F.col("w"), F.lit(0.01))
+    return s.select(*keys, F.coalesce(apart, F.lit(0.0)).alias("bimodality"))
 
 
 def page_features(words: DataFrame, keys=KEYS) -> DataFrame:
@@ -177,8 +178,8 @@ def page_features(words: DataFrame, keys=KEYS) -> DataFrame:
     w, h = F.col("x1") - F.col("x0"), F.col("bottom") - F.col("top")
     return words.groupBy(*keys).agg(
         F.count("*").alias("n_words"), F.bround(F.avg(w / F.col("page_width")), 4).alias("avg_word_width_ratio"), F.bround(F.avg(h), 4).alias("avg_height"),
-        F.bround(F.stddev_pop(h), 4).alias("height_std"), F.bround(F.avg((F.col("top") < 0.15 * F.col("page_height")).cast("double")), 4).alias("header_fraction"),
-        F.bround(F.var_pop(F.col("top") / F.col("page_height")), 4).alias("line_density_variance"),
+        F.bround(F.stddev_pop(h), 4).alias("height_std"), F.bround(F.avg((F.col("top") < 0.15 * F.col("page_height")).cast("double")), 4).alias("share_at_top"),
+        F.bround(F.var_pop(F.col("top") / F.col("page_height")), 4).alias("top_variance"),
     )
 
 

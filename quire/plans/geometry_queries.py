@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.operators import columns, headings, layout, lines
+from quire.operators import columns, headings, layout, lines, page_vectors
 from quire.session import table
 
 Q, SQL = {}, {}
@@ -203,13 +203,13 @@ def pairwise_overlap_mean(spark, sf):
 
 @query(f"""with {WORDS_SQL}, s as (select doc_id, page, avg(case when (x0 + x1) / 2 < 306 then (x0 + x1) / 2 end) as ml, avg(case when (x0 + x1) / 2 >= 306 then (x0 + x1) / 2 end) as mr,
  stddev_pop(case when (x0 + x1) / 2 < 306 then (x0 + x1) / 2 end) as sl, stddev_pop(case when (x0 + x1) / 2 >= 306 then (x0 + x1) / 2 end) as sr from words group by all)
-select doc_id, page, round(abs(mr - ml) / 612 / case when (sl + sr) / 612 is null then 0.01 else greatest((sl + sr) / 612, 0.01) end, 6) as bimodality from s""")
+select doc_id, page, round(coalesce(abs(mr - ml) / 612 / greatest((sl + sr) / 612, 0.01), 0), 6) as bimodality from s""")
 def bimodality(spark, sf):
     return layout.bimodality(words(spark, sf)).withColumn("bimodality", F.round("bimodality", 6))
 
 
 @query(f"""with {WORDS_SQL} select doc_id, page, count(*) as n_words, round_even(avg((x1 - x0) / page_width), 4) as avg_word_width_ratio, round_even(avg(bottom - top), 4) as avg_height, round_even(stddev_pop(bottom - top), 4) as height_std,
- round_even(avg(case when top < 0.15 * page_height then 1.0 else 0.0 end)::double, 4) as header_fraction, round_even(var_pop(top / page_height), 4) as line_density_variance from words group by all""")
+ round_even(avg(case when top < 0.15 * page_height then 1.0 else 0.0 end)::double, 4) as share_at_top, round_even(var_pop(top / page_height), 4) as top_variance from words group by all""")
 def page_features(spark, sf):
     return layout.page_features(words(spark, sf))
 
@@ -273,7 +273,7 @@ def recursive_layout(spark, sf):
     return layout.recursive_blocks(blocks).groupBy(*KEYS, "block_path").agg(F.count("*").alias("n"))
 
 
-@query(f"""with {WORDS_SQL}, placed as (select *, page_height / 60 as height, least(greatest(cast(trunc((x0 + x1) * 0.5 * 400 / page_width) as integer), 0), 399) as spot from words),
+GUTTER_SQL = """placed as (select *, page_height / 60 as height, least(greatest(cast(trunc((x0 + x1) * 0.5 * 400 / page_width) as integer), 0), 399) as spot from words),
 gl as (select p.doc_id, p.page, b.bin, count(*) filter (where abs(p.spot - b.bin) <= 3) as n from placed p cross join (select unnest(range(150, 250)) as bin) b group by all),
 mid as (select doc_id, page, bin as gutter from gl qualify row_number() over (partition by doc_id, page order by n, bin) = 1),
 banded as (select doc_id, page, spot, cast(band as integer) as band from placed cross join (select unnest(range(0, 60)) as band) where bottom > band * height and top < (band + 1) * height),
@@ -281,7 +281,10 @@ dens as (select d.doc_id, d.page, d.band, b.bin, count(*) filter (where abs(d.sp
 vals as (select doc_id, page, band, (min(n) filter (where bin between gutter - 10 and gutter + 10) / 7.0::double) / greatest(1.0, max(n) / 7.0::double) as v from dens join mid using (doc_id, page) group by all),
 low as (select *, band - row_number() over (partition by doc_id, page order by band) as island from vals where v <= 0.05),
 runs as (select doc_id, page, min(band) as first, count(*) as n from low group by doc_id, page, island),
-agg as (select doc_id, page, sum(n) as n, min(first) filter (where n >= 5) as first from runs group by all)
+agg as (select doc_id, page, sum(n) as n, min(first) filter (where n >= 5) as first from runs group by all)"""
+
+
+@query(f"""with {WORDS_SQL}, {GUTTER_SQL}
 select doc_id, page, round(coalesce(n, 0) / 60.0::double, 9) as coverage, round(coalesce(first, 0) / 60.0::double, 9) as header_fraction, round(gutter * 612.0::double / 400, 9) as gutter_x from mid left join agg using (doc_id, page)""")
 def gutter_bands(spark, sf):
     return layout.gutter(words(spark, sf)).select(*KEYS, *[F.round(c, 9).alias(c) for c in ("coverage", "header_fraction", "gutter_x")])
@@ -316,3 +319,63 @@ def ocr_heading_score(spark, sf):
     c = F.col
     scored = headings.ocr_score(c("text"), F.contains("text", F.lit("click")), c("line_no"), c("n"), c("height"), c("mh"), c("space_above"), c("ms"))
     return spaced.select(*KEYS, "line_no", scored.alias("score")).withColumn("is_heading", F.col("score") >= 0.25)
+
+
+VECTORS_SQL = f"""{WORDS_SQL}, {GUTTER_SQL.replace('runs as', 'open_runs as').replace('from runs', 'from open_runs')},
+gutters as (select doc_id, page, coalesce(n, 0) / 60.0::double as coverage_gutter, coalesce(first, 0) / 60.0::double as header_fraction from mid left join agg using (doc_id, page)),
+halves as (select *, (x0 + x1) / 2 as xc from words),
+means as (select doc_id, page, avg(x1 - x0) / 612 as avg_word_width_ratio, count(*) / (612 * 792.0::double) as text_density,
+  coalesce(abs(avg(xc) filter (where xc >= 306) - avg(xc) filter (where xc < 306)) / 612 / greatest((stddev_pop(xc) filter (where xc < 306) + stddev_pop(xc) filter (where xc >= 306)) / 612, 0.01), 0) as width_bimodality
+  from halves group by all),
+ys as (select doc_id, page, y, row_number() over (partition by doc_id, page order by y) as i from (select distinct doc_id, page, (top + bottom) / 2 as y from words)),
+walk as (select doc_id, page, i, y, y as anchor from ys where i = 1 union all
+  select v.doc_id, v.page, v.i, v.y, case when v.y - w.anchor <= 5 then w.anchor else v.y end from walk w join ys v on v.doc_id = w.doc_id and v.page = w.page and v.i = w.i + 1),
+cls as (select w.doc_id, w.page, k.anchor as y, count(*) as n, max(x1) - min(x0) as width from words w join walk k on k.doc_id = w.doc_id and k.page = w.page and k.y = (w.top + w.bottom) / 2 group by all),
+clines as (select *, y - lag(y) over (partition by doc_id, page order by y) as space from cls),
+lf as (select doc_id, page, count(*) filter (where width >= 459) / count(*) as full_width_line_ratio, count(*) filter (where width >= 459) as horizontal_lines_count, var_pop(n) as line_density_variance,
+  coalesce(var_pop(space), 0) as line_spacing_variance, max(width / 612) as max_line_width_ratio, min(width / 612) as min_line_width_ratio from clines group by all),
+pos as (select *, row_number() over (partition by doc_id, page order by top, x0, x1, bottom) as i, bottom - top as h from words),
+ov as (select a.doc_id, a.page, b.i - a.i as d, greatest(least(a.bottom, b.bottom) - greatest(a.top, b.top), 0) / least(a.h, b.h) as o from pos a join pos b on a.doc_id = b.doc_id and a.page = b.page and a.i < b.i where least(a.h, b.h) > 0),
+om as (select doc_id, page, avg(o) as mean_y_overlap, avg(o) filter (where d <= 19) as mean_y_overlap_near from ov group by all),
+spots as (select doc_id, page, least(cast(floor(xc * 306 / 612) as integer), 305) as bin from halves),
+grid as (select p.doc_id, p.page, g.bin, count(a.bin) as c from (select distinct doc_id, page from words) p cross join (select unnest(range(306)) as bin) g
+  left join spots a on a.doc_id = p.doc_id and a.page = p.page and abs(a.bin - g.bin) <= 2 group by all),
+sm as (select *, lag(c) over o as b, lead(c) over o as a, greatest(max(c) over (partition by doc_id, page), 5) as m from grid window o as (partition by doc_id, page order by bin)),
+pk as (select p.doc_id, p.page, p.bin, p.c, p.m, coalesce(max(g.bin) filter (where g.bin < p.bin), 0) as l, coalesce(min(g.bin) filter (where g.bin > p.bin), 305) as r
+  from (select * from sm where c > b and c > a and c * 5 > m) p left join sm g on g.doc_id = p.doc_id and g.page = p.page and g.c * 2 <= p.c group by all),
+vl as (select p.doc_id, p.page, p.bin, p.c, p.m, coalesce(max(g.bin) filter (where g.bin < p.bin), 0) as l, coalesce(min(g.bin) filter (where g.bin > p.bin), 305) as r
+  from (select * from sm where c < b and c < a) p left join sm g on g.doc_id = p.doc_id and g.page = p.page and g.c * 2 >= p.m + p.c group by all),
+pf as (select doc_id, page, count(*) as peak_count, string_agg(cast(r - l as varchar), ',' order by bin) as peak_widths, string_agg(cast(c as varchar), ',' order by bin) as peak_heights, list(bin order by bin) as bins from pk group by all),
+vf as (select doc_id, page, count(*) as valley_count, string_agg(cast(r - l as varchar), ',' order by bin) as valley_widths, string_agg(cast(c as varchar), ',' order by bin) as valley_depths,
+  arg_min(bin, c * 1000 + bin) / 306 as valley_position, min(c / m) as valley_depth_ratio from vl group by all),
+vectors as (select * exclude (bins), case when coverage_gutter >= 0.7 then 2 else 1 end as num_columns, case when len(bins) >= 2 then (bins[2] - bins[1]) / 306 else 0 end as peak_separation
+  from gutters join means using (doc_id, page) join lf using (doc_id, page) left join om using (doc_id, page) left join pf using (doc_id, page) left join vf using (doc_id, page))"""
+
+
+def rounded(names):
+    return [F.round(c, 6).alias(c) for c in names]
+
+
+@query(f"""with recursive {VECTORS_SQL} select doc_id, page, num_columns, round(coalesce(mean_y_overlap, 0), 6)::double as mean_y_overlap, round(coverage_gutter, 6)::double as coverage_gutter,
+round(full_width_line_ratio, 6)::double as full_width_line_ratio, round(coalesce(valley_depth_ratio, 1), 6)::double as valley_depth_ratio, horizontal_lines_count, round(header_fraction, 6)::double as header_fraction,
+round(avg_word_width_ratio, 6)::double as avg_word_width_ratio, round(line_density_variance, 6)::double as line_density_variance from vectors""")
+def page_vector_9(spark, sf):
+    whole = ("num_columns", "horizontal_lines_count")
+    return page_vectors.page_vectors(words(spark, sf)).select(*KEYS, *whole, *rounded([c for c in page_vectors.NINE if c not in whole]))
+
+
+@query(f"""with recursive {VECTORS_SQL} select doc_id, page, num_columns, round(coalesce(mean_y_overlap_near, 0), 6)::double as mean_y_overlap, round(coverage_gutter, 6)::double as coverage_gutter,
+round(full_width_line_ratio, 6)::double as full_width_line_ratio, round(coalesce(valley_depth_ratio, 1), 6)::double as valley_depth_ratio, horizontal_lines_count, round(header_fraction, 6)::double as header_fraction,
+round(avg_word_width_ratio, 6)::double as avg_word_width_ratio, round(line_density_variance, 6)::double as line_density_variance,
+cast(coalesce(peak_count, 0) as integer) as peak_count, coalesce(peak_widths, '') as peak_widths, coalesce(peak_heights, '') as peak_heights, round(peak_separation, 6)::double as peak_separation,
+cast(coalesce(valley_count, 0) as integer) as valley_count, coalesce(valley_depths, '') as valley_depths, coalesce(valley_widths, '') as valley_widths, round(coalesce(valley_position, 0.5), 6)::double as valley_position,
+round(line_spacing_variance, 6)::double as line_spacing_variance, round(text_density, 9)::double as text_density, round(max_line_width_ratio, 6)::double as max_line_width_ratio,
+round(min_line_width_ratio, 6)::double as min_line_width_ratio, round(width_bimodality, 6)::double as width_bimodality from vectors""")
+def page_vector_22(spark, sf):
+    v = page_vectors.page_vectors(words(spark, sf)).withColumn("mean_y_overlap", F.col("mean_y_overlap_near"))
+    # lists as text: widths in bins of the page's 306, heights in fifths of words, as both engines write them alike
+    joined = lambda name, unit: F.array_join(F.transform(name, lambda x: F.round(x * unit).cast("int").cast("string")), ",").alias(name)
+    lists = [joined("peak_widths", 306), joined("valley_widths", 306), joined("peak_heights", F.col("density_top")), joined("valley_depths", F.col("density_top"))]
+    whole = ("num_columns", "horizontal_lines_count", "peak_count", "valley_count")
+    plain = [c for c in (*page_vectors.NINE, *page_vectors.MORE) if c not in whole and not c.endswith(("_widths", "_heights", "_depths")) and c != "text_density"]
+    return v.select(*KEYS, *whole, *rounded(plain), F.round("text_density", 9).alias("text_density"), *lists)
