@@ -65,10 +65,6 @@ def layout_class(gutter: Column, header: Column, score: Column) -> Column:
     return F.when((gutter >= 0.7) & (header < 0.2), 2).when((gutter >= 0.7) | ((score > 0.35) & (header >= 0.2)), 3).when(score > 0.35, 2).otherwise(1)
 
 
-def complexity(columns: Column, tables: Column, images: Column) -> Column:
-    return F.when((columns > 2) | (tables > 2), "complex").when((columns > 1) | (tables > 0) | (images > 2), "moderate").otherwise("simple")
-
-
 def side_lines(lines: DataFrame, keys=KEYS) -> DataFrame:
     """Two columns where at least three lines lie left and three right of the middle; counts of left, right and full-width lines."""
     mid = F.col("page_width") / 2
@@ -190,40 +186,3 @@ def adaptive_thresholds(lines: DataFrame, key: str = "doc_id") -> DataFrame:
         key, F.when(F.col("sh") > 0.2 * F.col("mh"), 1.2).otherwise(1.3).alias("height_ratio"), F.greatest(F.col("q"), F.lit(2.0)).alias("space_above"),
         F.when(F.col("mc") > 60, 0.65).otherwise(0.6).alias("score"),
     )
-
-
-def recursive_blocks(blocks: DataFrame, depth: int = 3, gap: float = 0.05, keys=KEYS) -> DataFrame:
-    """Adds block_path: a page's blocks cut at the widest vertical or horizontal gap, again and again up to ``depth``.
-
-    Each cut depends on the one before, so a page is worked on in Python.
-    """
-    import numpy as np
-    import pandas as pd
-
-    def widest(lo, hi, size):
-        """(gap, rows before it) of the widest gap between intervals, as a share of ``size``."""
-        order = np.argsort(lo, kind="stable")
-        gaps = (lo[order][1:] - np.maximum.accumulate(hi[order])[:-1]) / size
-        at = int(gaps.argmax())
-        return gaps[at], order[: at + 1]
-
-    def cut(rows, boxes, sizes, paths, path: str, left: int) -> None:
-        paths[rows] = path
-        if left == 0 or len(rows) < 2:
-            return
-        found = [(*widest(boxes[rows, i], boxes[rows, i + 1], sizes[i // 2]), name) for i, name in ((0, "v"), (2, "h"))]
-        size, first, name = max(found, key=lambda x: x[0])
-        if size > gap:
-            inside = np.zeros(len(rows), bool)
-            inside[first] = True
-            cut(rows[inside], boxes, sizes, paths, f"{path}{name}0", left - 1)
-            cut(rows[~inside], boxes, sizes, paths, f"{path}{name}1", left - 1)
-
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        paths = np.full(len(page), "", object)
-        sizes = page["page_width"].iloc[0], page["page_height"].iloc[0]
-        cut(np.arange(len(page)), page[["x0", "x1", "top", "bottom"]].to_numpy(float), sizes, paths, "", depth)
-        return page.assign(block_path=paths)
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.schema)
-    return blocks.groupBy(*keys).applyInPandas(fold, fields + ", block_path string")

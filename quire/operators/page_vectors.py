@@ -61,8 +61,9 @@ def centre_density(boxes: DataFrame, keys=KEYS) -> DataFrame:
     """
     box, bins = F.col("box"), F.greatest(F.lit(200), F.floor(F.col("box")[4] / 2)).cast("int")
     centre = (box[1] + box[2]) / 2
-    inside = boxes.where((centre >= 0) & (centre <= box[4])).select(*keys, bins.alias("bins"), F.least(F.floor(centre * bins / box[4]).cast("int"), bins - 1).alias("at"))
-    counted = inside.groupBy(*keys, "bins", "at").agg(F.count("*").alias("n"))
+    # a filter before the aggregation would be pushed below the exchange, which could then not be shared
+    placed = boxes.select(*keys, bins.alias("bins"), F.least(F.floor(centre * bins / box[4]).cast("int"), bins - 1).alias("at"), ((centre >= 0) & (centre <= box[4])).alias("inside"))
+    counted = placed.groupBy(*keys, "bins", "at").agg(F.count_if("inside").alias("n")).where("n > 0")
     spread = counted.withColumn("d", F.explode(F.sequence(F.lit(-3), F.lit(3)))).withColumn("bin", F.col("at") + F.col("d")).where("bin >= 0 and bin < bins")
     return spread.groupBy(*keys, "bins", "bin").agg(F.sum(F.when(F.abs("d") <= 2, F.col("n")).otherwise(0)).alias("c"))
 
@@ -125,8 +126,7 @@ def overlap_features(boxes: DataFrame, reach: int = 19, size: float = 20.0, keys
     Boxes without height are in no pair. Equal spans are taken once with their number; others meet in the band of ``size`` points where
     their overlap begins, within one aggregation a band.
     """
-    tall = boxes.where(F.col("box")[3] > F.col("box")[0])
-    spans = tall.groupBy(*keys, F.col("box")[0].alias("top"), F.col("box")[3].alias("bottom")).agg(F.count("*").alias("n"))
+    spans = boxes.groupBy(*keys, F.col("box")[0].alias("top"), F.col("box")[3].alias("bottom")).agg(F.count_if(F.col("box")[3] > F.col("box")[0]).alias("n")).where("n > 0")
     band = lambda y: F.floor(y / size)
     overlap = lambda a, b: (F.least(a["bottom"], b["bottom"]) - b["top"]) / F.least(a["bottom"] - a["top"], b["bottom"] - b["top"])
     bands = spans.withColumn("band", F.explode(F.sequence(band(F.col("top")), band(F.col("bottom"))))).groupBy(*keys, "band").agg(F.array_sort(F.collect_list(F.struct("top", "bottom", "n"))).alias("spans"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import alpha_ratio, col
+from quire.functions.text import col
 
 
 def text_status(c, least: int = 50) -> Column:
@@ -30,27 +30,30 @@ def document_stats(lines: DataFrame, key: str = "doc_id") -> DataFrame:
     return lines.groupBy(key).agg(F.countDistinct("page").alias("n_pages"), F.countDistinct("page", "column_id").alias("n_columns"), F.count("*").alias("n_lines"), F.sum("word_count").alias("n_words"))
 
 
-def quality_points(sections: Column, lines: Column, has_name: Column, has_email: Column, has_phone: Column, text: Column) -> Column:
-    """0 to 100: sections 40/30/15, lines 30/20/10, contact 7/7/6, no jumble 10/5."""
-    ratio = alpha_ratio(text)
+#: A line of more characters is a sign of jumbled text.
+JUMBLED = 500
+
+
+def quality_points(sections: Column, lines: Column, has_name: Column, has_email: Column, has_phone: Column, longest: Column) -> Column:
+    """0 to 100: sections 40/30/15 from 5/3/1, lines 30/20/10 from 30/15/5, email 7, phone 7, name 6, and 10, or 5 with a line (``longest``) of over ``JUMBLED`` characters."""
     return (
         F.when(sections >= 5, 40).when(sections >= 3, 30).when(sections >= 1, 15).otherwise(0)
         + F.when(lines >= 30, 30).when(lines >= 15, 20).when(lines >= 5, 10).otherwise(0)
-        + F.when(has_name, 7).otherwise(0) + F.when(has_email, 7).otherwise(0) + F.when(has_phone, 6).otherwise(0)
-        + F.when(ratio > 0.8, 10).when(ratio > 0.6, 5).otherwise(0)
+        + F.when(has_name, 6).otherwise(0) + F.when(has_email, 7).otherwise(0) + F.when(has_phone, 7).otherwise(0) + F.when(longest > JUMBLED, 5).otherwise(10)
     )
 
 
 def quality_share(sections: Column, lines: Column, has_contact: Column) -> Column:
-    """0 to 1: sections .4/.25/.1, lines .4/.25/.1, contact .2."""
+    """0 to 1: sections .4/.25/.1 from 5/3/1, lines .4/.25/.1 from 30/15/5, contact .2."""
     return (
-        F.when(sections >= 4, 0.4).when(sections >= 2, 0.25).when(sections >= 1, 0.1).otherwise(0.0)
-        + F.when(lines >= 20, 0.4).when(lines >= 10, 0.25).when(lines >= 1, 0.1).otherwise(0.0) + F.when(has_contact, 0.2).otherwise(0.0)
+        F.when(sections >= 5, 0.4).when(sections >= 3, 0.25).when(sections >= 1, 0.1).otherwise(0.0)
+        + F.when(lines >= 30, 0.4).when(lines >= 15, 0.25).when(lines >= 5, 0.1).otherwise(0.0) + F.when(has_contact, 0.2).otherwise(0.0)
     )
 
 
 def quality_issues(sections: Column, lines: Column, has_contact: Column) -> Column:
-    return F.array_compact(F.array(F.when(sections < 2, "few_sections"), F.when(lines < 10, "few_lines"), F.when(~has_contact, "no_contact")))
+    """no_sections for none, few_lines for under five, no_contact."""
+    return F.array_compact(F.array(F.when(sections == 0, "no_sections"), F.when(lines < 5, "few_lines"), F.when(~has_contact, "no_contact")))
 
 
 def upsert(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

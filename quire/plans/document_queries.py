@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import contact
 from quire.functions.text import heading_key, word_count
-from quire.operators import entities, headings, layout, learning, lines, report, sections
+from quire.operators import entities, fallback, headings, layout, learning, lines, report, sections
 from quire.operators.vocabulary import extend, unique_variants
 from quire.session import table
 from quire.sources.readers import pages_to_lines
@@ -449,3 +449,52 @@ select doc_id, arg_min(word, row(case when lower(word) in ('view1', 'click2', 'e
 def location_choice(spark, sf):
     e = ents(spark, sf).where("entity_group = 'ROLE'").withColumn("entity_group", F.lit("LOCATION"))
     return report.best_location(e, ["view1", "click2", "error3"])
+
+
+CHAIN_SQL = r"""
+with d as (select doc_id, coalesce(text, '') as text, n_chars < 300 as scanned, n_chars % 5 = 0 as regions, n_chars % 2 + 1 as cols from documents),
+o as (select *, case when scanned then ['ocr'] when regions then ['region', 'histogram', 'ocr'] when cols >= 2 then ['histogram', 'region', 'ocr'] else ['native', 'histogram', 'ocr'] end as names from d),
+u as (select doc_id, text, unnest(names) as strategy, unnest(range(1, len(names) + 1)) as stage from o),
+c as (select *, case strategy when 'native' then string_split(text, chr(10)) when 'histogram' then string_split_regex(text, '\n|\. ') when 'region' then string_split_regex(text, '\n|, ') else [text] end as lines from u),
+m as (select doc_id, strategy, stage, len(lines) as n, len(list_filter(lines, lambda l: length(l) <= 30)) as s, list_max(list_transform(lines, lambda l: length(l))) as longest from c),
+q as (select doc_id, strategy, stage, n, strategy = 'region' and n % 7 = 0 as broken, (case when s >= 5 then 40 when s >= 3 then 30 when s >= 1 then 15 else 0 end + case when n >= 30 then 30 when n >= 15 then 20 when n >= 5 then 10 else 0 end
+  + case when longest > 500 then 5 else 10 end)::double as points from m),
+v as (select *, case when broken then null else points end as quality from q),
+f as (select doc_id, min(stage) filter (where quality >= 60) as first, max(stage) as last from v group by 1),
+tried as (select v.*, coalesce(first, last) as upto from v join f using (doc_id) where stage <= coalesce(first, last))
+"""
+
+
+def _parsed(pattern: str | None):
+    """A strategy: texts cut into lines in one way; lines of at most 30 characters stand for headings of sections."""
+
+    def work(docs):
+        lines = F.split("text", pattern) if pattern else F.array("text")
+        s, longest = F.size(F.filter(lines, lambda x: F.length(x) <= 30)), F.array_max(F.transform(lines, F.length))
+        n, no = F.size(lines), F.lit(False)
+        broken = (n % 7 == 0) if pattern == "\n|, " else no
+        return docs.withColumns({"quality": report.quality_points(s, n, no, no, no, longest), "data": n, "error": F.when(broken, "broken")})
+
+    return work
+
+
+def _chain(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "n_chars")
+    order = fallback.parse_order(F.col("n_chars") < 300, F.col("n_chars") % 5 == 0, F.col("n_chars") % 2 + 1)
+    return fallback.fallback_chain(d, {"native": _parsed("\n"), "histogram": _parsed("\n|\\. "), "region": _parsed("\n|, "), "ocr": _parsed(None)}, order, "int")
+
+
+@query(CHAIN_SQL + """, b as (select doc_id, max(quality) as quality from tried group by 1),
+w as (select t.doc_id, t.strategy, t.n as data, t.quality, t.quality >= 60 as good from tried t join b using (doc_id) where t.quality = b.quality and t.quality > 0 qualify row_number() over (partition by t.doc_id order by t.stage) = 1),
+n as (select doc_id, count(*) as n_attempts, string_agg(strategy || ':' || coalesce(cast(cast(quality as integer) as varchar), 'broken'), ' ' order by stage) as trail from tried group by 1)
+select n.doc_id, case when good then 'accepted' when w.doc_id is not null then 'low_quality' else 'failed' end as status, strategy, quality, cast(data as integer) as data, cast(n_attempts as integer) as n_attempts, trail from n left join w using (doc_id)""")
+def fallback_results(spark, sf):
+    """Each document's chosen strategy and the trail of its attempts."""
+    trail = F.array_join(F.transform("attempts", lambda a: F.concat_ws(":", a["strategy"], F.coalesce(a["quality"].cast("int").cast("string"), a["error"]))), " ")
+    return _chain(spark, sf).select("doc_id", "status", "strategy", "quality", "data", F.size("attempts").alias("n_attempts"), trail.alias("trail"))
+
+
+@query(CHAIN_SQL + "select cast(stage as integer) as stage, strategy, count(*) as n_tried, count(*) filter (where broken) as n_failed, count(*) filter (where quality >= 60) as n_accepted from tried group by all")
+def fallback_attempts(spark, sf):
+    """How many documents reach each stage of the chain, by strategy."""
+    return fallback.attempt_counts(_chain(spark, sf))

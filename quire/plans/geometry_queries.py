@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.operators import columns, headings, layout, lines, page_vectors
+from quire.operators import blocks, columns, headings, layout, lines, page_vectors
 from quire.session import table
 
 Q, SQL = {}, {}
@@ -267,10 +267,41 @@ def global_columns(spark, sf):
     return starts.select("doc_id", F.posexplode("cs").alias("column_id", "c")).select("doc_id", "column_id", F.round("c.mean", 6).alias("mean"), "c.n")
 
 
-@query()
+def _split_sql(depth=3):
+    """Levels of splitting, each over the regions of the one before."""
+    parts = ["r0 as (select doc_id, page, text, x0, x1, top, bottom, '' as path, null::varchar as kind, false as done, page_width as w, page_height as h from words)"]
+    for k in range(depth):
+        parts.append(f"""m{k} as (select *, case when abs((x0 + x1) / 2 - lag((x0 + x1) / 2) over (partition by doc_id, page, path order by x0, x1, top, bottom, text)) >= w * 0.05::double then 1 else 0 end as nc,
+  case when abs(top - lag(top) over (partition by doc_id, page, path order by top, bottom, x0, x1, text)) >= h * 0.02::double then 1 else 0 end as nb from r{k}),
+n{k} as (select *, cast(sum(nc) over (partition by doc_id, page, path order by x0, x1, top, bottom, text rows unbounded preceding) as integer) as col, cast(sum(nc) over p + 1 as integer) as cols, cast(sum(nb) over p + 1 as integer) as bands
+  from m{k} window p as (partition by doc_id, page, path)),
+s{k} as (select *, case when cols = 1 and bands >= 3 then 'vertical' when cols >= 2 and bands <= 2 then 'horizontal' when cols >= 2 then 'hybrid' else 'simple' end as found, done or w < 50 or h < 50 as small from n{k}),
+t{k} as (select *, not small and found in ('horizontal', 'hybrid') as split from s{k}),
+u{k} as (select *, max(x1) over c - min(x0) over c as w2, max(bottom) over c - min(top) over c as h2 from t{k} window c as (partition by doc_id, page, path, col)),
+r{k + 1} as (select doc_id, page, text, x0, x1, top, bottom, case when split then path || '/' || col else path end as path, case when done then kind when split or small then null else found end as kind, not split as done,
+  case when split then w2 else w end as w, case when split then h2 else h end as h from u{k})""")
+    return ",\n".join(parts)
+
+
+@query(f"with {WORDS_SQL}, {_split_sql()} select doc_id, page, text, path, kind from r3")
 def recursive_layout(spark, sf):
-    blocks = words(spark, sf).select(*KEYS, "text", "x0", "x1", "top", "bottom", "page_width", "page_height")
-    return layout.recursive_blocks(blocks).groupBy(*KEYS, "block_path").agg(F.count("*").alias("n"))
+    return blocks.split_regions(words(spark, sf)).select(*KEYS, "text", "path", "kind")
+
+
+@query(f"with {WORDS_SQL}, {_split_sql(1)} select doc_id, page, count(*) as n_blocks, any_value(cols) as n_columns, any_value(bands) as n_bands, any_value(found) as kind from t0 group by all")
+def block_layouts(spark, sf):
+    return blocks.block_layout(words(spark, sf))
+
+
+@query(f"""with {WORDS_SQL}, t as (select doc_id, page, count(*) as n, count(*) filter (where is_bold) as images, (count(*) filter (where (x0 + x1) / 2 < 204) > 2)::int + (count(*) filter (where (x0 + x1) / 2 >= 204 and (x0 + x1) / 2 < 408) > 2)::int
+  + (count(*) filter (where (x0 + x1) / 2 >= 408) > 2)::int as k from words group by all),
+p as (select *, case k when 3 then 4 when 2 then 2 else 0 end + case when n < 10 then 0 when n < 30 then 1 else 2 end + case when images = 0 then 0 when images < 3 then 1 else 2 end as points from t)
+select doc_id, page, n as n_blocks, greatest(k, 1) as n_columns, case when points <= 2 then 'simple' when points <= 5 then 'moderate' else 'complex' end as complexity from p""")
+def page_complexity(spark, sf):
+    """Bold words stand for images."""
+    w = words(spark, sf)
+    found = blocks.third_columns(w).join(w.groupBy(*KEYS).agg(F.count_if("is_bold").alias("images")), KEYS)
+    return found.select(*KEYS, "n_blocks", "n_columns", blocks.complexity(F.col("n_columns"), F.col("n_blocks"), F.col("images")).alias("complexity"))
 
 
 GUTTER_SQL = """placed as (select *, page_height / 60 as height, least(greatest(cast(trunc((x0 + x1) * 0.5 * 400 / page_width) as integer), 0), 399) as spot from words),

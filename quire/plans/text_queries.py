@@ -157,26 +157,26 @@ def explicit_years(spark, sf):
 
 STATS = rf"""
 with s as (select doc_id, text, cast(len(string_split(text, chr(10))) as integer) as n_lines, cast(len(list_filter(string_split(text, chr(10)), lambda l: l = '' )) + len(string_split(text, chr(10))) // 3 as integer) as n_sections, {EMAIL_SQL} is not null as e, {PHONE_SQL} is not null as p,
-  case when length(text) > 0 then length(regexp_replace(text, '[^\p{{L}}\s]', '', 'g')) / length(text) else 0.0 end as alpha from documents)"""
+  list_max(list_transform(string_split(text, chr(10)), lambda l: length(l))) as longest from documents)"""
 
 
 def _stats(spark, sf):
     n = F.size(F.split("text", "\n"))
     blank = F.size(F.filter(F.split("text", "\n"), lambda x: x == ""))
     return table(spark, sf, "documents").select(
-        "doc_id", "text", n.alias("n_lines"), (blank + F.floor(n / 3).cast("int")).alias("n_sections"), contact.email("text").isNotNull().alias("e"), contact.phone("text").isNotNull().alias("p")
+        "doc_id", F.array_max(F.transform(F.split("text", "\n"), F.length)).alias("longest"), n.alias("n_lines"), (blank + F.floor(n / 3).cast("int")).alias("n_sections"), contact.email("text").isNotNull().alias("e"), contact.phone("text").isNotNull().alias("p")
     )
 
 
 @query(STATS + """
 select doc_id, cast(case when n_sections >= 5 then 40 when n_sections >= 3 then 30 when n_sections >= 1 then 15 else 0 end + case when n_lines >= 30 then 30 when n_lines >= 15 then 20 when n_lines >= 5 then 10 else 0 end
-  + case when e then 7 else 0 end + case when p then 6 else 0 end + case when alpha > 0.8 then 10 when alpha > 0.6 then 5 else 0 end as integer) as points,
-  round(case when n_sections >= 4 then 0.4 when n_sections >= 2 then 0.25 when n_sections >= 1 then 0.1 else 0 end + case when n_lines >= 20 then 0.4 when n_lines >= 10 then 0.25 when n_lines >= 1 then 0.1 else 0 end + case when e or p then 0.2 else 0 end, 6)::double as share,
-  array_to_string(list_filter([case when n_sections < 2 then 'few_sections' end, case when n_lines < 10 then 'few_lines' end, case when not (e or p) then 'no_contact' end], lambda x: x is not null), ',') as issues from s""")
+  + case when e then 7 else 0 end + case when p then 7 else 0 end + case when longest > 500 then 5 else 10 end as integer) as points,
+  round(case when n_sections >= 5 then 0.4 when n_sections >= 3 then 0.25 when n_sections >= 1 then 0.1 else 0 end + case when n_lines >= 30 then 0.4 when n_lines >= 15 then 0.25 when n_lines >= 5 then 0.1 else 0 end + case when e or p then 0.2 else 0 end, 6)::double as share,
+  array_to_string(list_filter([case when n_sections = 0 then 'no_sections' end, case when n_lines < 5 then 'few_lines' end, case when not (e or p) then 'no_contact' end], lambda x: x is not null), ',') as issues from s""")
 def quality_ladder(spark, sf):
     s, n, c = F.col("n_sections"), F.col("n_lines"), F.col("e") | F.col("p")
     return _stats(spark, sf).select(
-        "doc_id", report.quality_points(s, n, F.lit(False), F.col("e"), F.col("p"), F.col("text")).alias("points"), F.round(report.quality_share(s, n, c), 6).alias("share"),
+        "doc_id", report.quality_points(s, n, F.lit(False), F.col("e"), F.col("p"), F.col("longest")).alias("points"), F.round(report.quality_share(s, n, c), 6).alias("share"),
         F.concat_ws(",", report.quality_issues(s, n, c)).alias("issues"),
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that hold on a cluster as well as in tests; sizes are left to Spark's adaptive planner.
@@ -26,3 +28,18 @@ def local_session(cpus: int | str = 8, partitions: int = 8, memory: str = "8g",
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a dataset folder; the path goes to Spark's reader as it is, so any store will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder that the session names in ``spark.checkpoint.dir``, so that later reads neither repeat its work nor depend on executors.
+
+    A folder of this machine is set only where none is named and all tasks run on this machine, as in tests.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context._jsc.sc().isLocal():
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quire-checkpoint-"))
+    return df.checkpoint(eager=True)
