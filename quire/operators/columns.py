@@ -119,16 +119,6 @@ def index_percentile(values: Column, p: float) -> Column:
     return F.try_element_at(ordered, (F.least(F.floor(F.size(ordered) * p), F.size(ordered) - 1) + 1).cast("int"))
 
 
-def gap_separators(words: DataFrame, least: float = 15.0, apart: float = 80.0, keys=KEYS) -> DataFrame:
-    """(keys, threshold, separators): centres of gaps between neighbours wider than a threshold taken from the gaps themselves, at least ``apart`` from the one kept before."""
-    o = Window.partitionBy(*keys).orderBy("x0", "x1")
-    gaps = words.select(*keys, "x1", (F.lead("x0").over(o) - F.col("x1")).alias("gap")).where("gap > 0")
-    stats = gaps.groupBy(*keys).agg(F.collect_list("gap").alias("g"), F.array_sort(F.collect_list(F.struct((F.col("x1") + F.col("gap") / 2).alias("at"), "gap"))).alias("gs"))
-    threshold = F.greatest(F.lit(least), index_percentile(F.col("g"), 0.75) * 1.5, index_percentile(F.col("g"), 0.5) * 2.0)
-    wide = stats.withColumn("threshold", threshold).withColumn("cs", F.transform(F.filter("gs", lambda x: x["gap"] >= F.col("threshold")), lambda x: x["at"]))
-    return wide.select(*keys, "threshold", merge_close(F.col("cs"), apart).alias("separators"))
-
-
 def merge_close(positions: Column, apart: float, average: bool = False) -> Column:
     """Sorted positions of which one nearer than ``apart`` to the last kept goes, or is averaged into it."""
     def step(acc: Column, x: Column) -> Column:
@@ -196,29 +186,3 @@ def best_overlap(words: DataFrame, spans: DataFrame, tolerance: float = 1.5, key
     joined = by.join(s, list(keys)).where((F.col("st") <= F.col("top") + tolerance) & (F.col("sb") >= F.col("bottom") - tolerance) & (overlap > 0))
     best = joined.groupBy("__w").agg(F.max_by("attributes", F.struct(overlap, -F.col("s0"), "attributes")).alias("attributes"))
     return by.join(best, "__w", "left").drop("__w")
-
-
-def resplit_columns(headers: DataFrame) -> DataFrame:
-    """Cuts of a column at a header that names several sections: each name's place in the text, by its share of the characters, gives an x; cuts lie between.
-
-    ``headers``: (doc_id, page, column_id, text, x0, x1, names array). Returns (doc_id, page, column_id, cuts).
-    """
-    parts = headers.select("doc_id", "page", "column_id", "text", "x0", "x1", F.explode("names").alias("name"))
-    placed = parts.withColumn("x", F.col("x0") + (F.expr("instr(lower(text), lower(name))") - 1) / F.length("text") * (F.col("x1") - F.col("x0")))
-    w = Window.partitionBy("doc_id", "page", "column_id").orderBy("x")
-    ends = placed.withColumn("end", F.col("x") + F.length("name") / F.length("text") * (F.col("x1") - F.col("x0"))).withColumn("cut", (F.col("end") + F.lead("x").over(w)) / 2)
-    return ends.groupBy("doc_id", "page", "column_id").agg(F.array_sort(F.collect_list("cut")).alias("cuts"))
-
-
-def greedy_global_columns(starts: Column, tolerance: float = 10.0) -> Column:
-    """Sorted column starts of all pages to clusters: one joins the last cluster within the tolerance of its running mean."""
-    start = F.array().cast("array<struct<mean:double,n:int>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        near = F.coalesce(F.abs(x - last["mean"]) <= tolerance, F.lit(False))
-        rest = F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
-        joined = F.struct(((last["mean"] * last["n"] + x) / (last["n"] + 1)).alias("mean"), (last["n"] + 1).alias("n"))
-        return F.when(near, F.array_append(rest, joined)).otherwise(F.array_append(acc, F.struct(x.alias("mean"), F.lit(1).alias("n"))))
-
-    return F.aggregate(F.transform(F.array_sort(starts), lambda x: x.cast("double")), start, step)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.operators import blocks, columns, headings, layout, lines, page_vectors
+from quire.operators import blocks, columns, headings, layout, lines, page_vectors, splits
 from quire.session import table
 
 Q, SQL = {}, {}
@@ -249,10 +249,53 @@ def separators_merged(spark, sf):
     return kept.select(*KEYS, F.size("k").alias("n_kept"), F.array_max("k").alias("last"))
 
 
-@query()
+GAPS_SQL = f"""{WORDS_SQL},
+spaces as (select doc_id, page, x1, lead(x0) over (partition by doc_id, page order by x0, x1) - x1 as gap from words),
+gs as (select doc_id, page, list(gap order by gap) filter (where gap > 0) as g, max(gap) as widest from spaces group by all),
+ps as (select *, g[cast(floor(len(g) * 0.5::double) as integer) + 1] as p50, g[cast(floor(len(g) * 0.6::double) as integer) + 1] as p60, g[cast(floor(len(g) * 0.75::double) as integer) + 1] as p75, g[cast(floor(len(g) * 0.9::double) as integer) + 1] as p90 from gs),
+ts as (select *, case when widest > p50 * 3 then greatest(12.0, p60) when widest < p50 * 2 then greatest(30.0, p90) else greatest(20.0, p75) end as threshold from ps where len(g) > 0),
+us as (select *, widest < threshold and widest > 10 as loosened from ts),
+seps as (select s.doc_id, s.page, x1 + gap / 2 as sep, row_number() over (partition by s.doc_id, s.page order by x1 + gap / 2) as i from spaces s join us on us.doc_id = s.doc_id and us.page = s.page where gap >= case when loosened then greatest(10.0, p60) else threshold end),
+kept as (select doc_id, page, i, sep as last, true as keep from seps where i = 1 union all
+  select s.doc_id, s.page, s.i, case when s.sep - k.last >= 80 then s.sep else k.last end, s.sep - k.last >= 80 from kept k join seps s on s.doc_id = k.doc_id and s.page = k.page and s.i = k.i + 1),
+edges as (select doc_id, page, 0.0::double as x from (select distinct doc_id, page from words) union all
+  select doc_id, page, last from kept where keep and last >= 80 qualify not (612 - last < 80 and row_number() over (partition by doc_id, page order by i desc) = 1))"""
+
+
+@query(f"""with recursive {GAPS_SQL} select w.doc_id, w.page, round(threshold, 6)::double as threshold, coalesce(loosened, false) as loosened, cast(count(k.i) as integer) as n_separators
+from (select distinct doc_id, page from words) w left join us using (doc_id, page) left join kept k on k.doc_id = w.doc_id and k.page = w.page and k.keep group by all""")
 def gap_separators(spark, sf):
-    found = columns.gap_separators(words(spark, sf))
-    return found.select(*KEYS, F.round("threshold", 6).alias("threshold"), F.size("separators").alias("n_separators"))
+    found = splits.gap_columns(words(spark, sf))
+    return found.select(*KEYS, F.round("threshold", 6).alias("threshold"), "loosened", F.size("separators").alias("n_separators"))
+
+
+@query(f"with recursive {GAPS_SQL} select doc_id, page, cast(row_number() over o - 1 as integer) as column_id, x as x_start, coalesce(lead(x) over o, 612) as x_end from edges window o as (partition by doc_id, page order by x)")
+def gap_columns(spark, sf):
+    found = splits.gap_columns(words(spark, sf))
+    return found.select(*KEYS, F.posexplode("columns").alias("column_id", "c")).select(*KEYS, "column_id", "c.x_start", "c.x_end")
+
+
+#: A header for each page: its text, place and the names it holds.
+HEADERS_SQL = """heads(k, text, x0, x1, names) as (values (0, 'WORK EXPERIENCE        SKILLS', 50.0::double, 560.0::double, ['Skills', 'Experience and Work']), (1, 'EDUCATION   PROJECTS   AWARDS', 40.0, 580.0, ['education', 'projects', 'awards']),
+  (2, 'SUMMARY', 50.0, 200.0, ['summary']), (3, 'LANGUAGES | HOBBIES', 300.0, 310.0, ['languages', 'references', 'hobbies'])),
+placed as (select k, name, text, x0, x1, i, case when instr(lower(text), lower(name)) > 0 then instr(lower(text), lower(name)) else list_filter(list_transform(list_filter(string_split(lower(name), ' '), lambda w: length(w) > 3), lambda w: instr(lower(text), w)), lambda p: p > 0)[1] end as p
+  from (select *, unnest(names) as name, unnest(range(len(names))) as i from heads)),
+xs as (select k, name, i, x0 + (p - 1) / length(text) * (x1 - x0) as x from placed where p is not null),
+parts as (select k, name, row_number() over o - 1 as part, coalesce((x + lag(x) over o) / 2, 0) as lo, coalesce((x + lead(x) over o) / 2, 612) as hi, count(*) over (partition by k) as n from xs window o as (partition by k order by x, i))"""
+
+
+@query(f"""with {WORDS_SQL}, {HEADERS_SQL},
+dealt as (select w.*, part, name, count(part) over (partition by doc_id, page, part) as m from words w join parts p on p.k = w.page and p.n >= 2 and (w.x0 + w.x1) / 2 between lo and hi),
+good as (select *, dense_rank() over (partition by doc_id, page order by part) - 1 as c from dealt where m >= 5),
+every as (select doc_id, page, text, c as column_id, name as section_hint from good union all select doc_id, page, text, 0, null from words w where not exists (select 1 from good g where g.doc_id = w.doc_id and g.page = w.page))
+select doc_id, page, text, cast(column_id as integer) as column_id, section_hint from every""")
+def header_columns(spark, sf):
+    """Words of pages split at headers; a page's header goes by its number."""
+    heads = [(0, "WORK EXPERIENCE        SKILLS", 50.0, 560.0, ["Skills", "Experience and Work"]), (1, "EDUCATION   PROJECTS   AWARDS", 40.0, 580.0, ["education", "projects", "awards"]), (2, "SUMMARY", 50.0, 200.0, ["summary"]), (3, "LANGUAGES | HOBBIES", 300.0, 310.0, ["languages", "references", "hobbies"])]
+    w = words(spark, sf)
+    given = spark.createDataFrame(heads, "page int, text string, x0 double, x1 double, names array<string>")
+    headers = w.select(*KEYS).distinct().join(given, "page")
+    return splits.split_at_headers(w, headers).select(*KEYS, "text", "column_id", "section_hint")
 
 
 @query()
@@ -261,10 +304,17 @@ def first_fit_lines(spark, sf):
     return fitted.groupBy(*KEYS, "line_no").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""with recursive {GAPS_SQL}, cols as (select doc_id, page, x as x_start, coalesce(lead(x) over (partition by doc_id, page order by x), 612) as x_end from edges),
+o as (select *, row_number() over (partition by doc_id order by page, x_start, x_end) as i from cols),
+walk as (select doc_id, i, [struct_pack(s := x_start, e := x_end, n := 1)] as cs from o where i = 1 union all
+  select o.doc_id, o.i, case when list_position(list_transform(w.cs, lambda c: abs(o.x_start - c.s / c.n) <= 10), true) > 0
+    then list_transform(w.cs, lambda c, k: case when k = list_position(list_transform(w.cs, lambda d: abs(o.x_start - d.s / d.n) <= 10), true) then struct_pack(s := c.s + o.x_start, e := c.e + o.x_end, n := c.n + 1) else c end)
+    else list_append(w.cs, struct_pack(s := o.x_start, e := o.x_end, n := 1)) end from walk w join o on o.doc_id = w.doc_id and o.i = w.i + 1),
+last as (select doc_id, unnest(cs) as c from walk qualify row_number() over (partition by doc_id order by i desc) = 1)
+select doc_id, cast(row_number() over (partition by doc_id order by c.s / c.n, c.e / c.n, c.n) - 1 as integer) as column_id, round(c.s / c.n, 6)::double as x_start, round(c.e / c.n, 6)::double as x_end, cast(c.n as bigint) as n from last""")
 def global_columns(spark, sf):
-    starts = words(spark, sf).groupBy("doc_id").agg(columns.greedy_global_columns(F.collect_list("x0")).alias("cs"))
-    return starts.select("doc_id", F.posexplode("cs").alias("column_id", "c")).select("doc_id", "column_id", F.round("c.mean", 6).alias("mean"), "c.n")
+    found = splits.gap_columns(words(spark, sf)).select(*KEYS, F.explode("columns").alias("c")).select(*KEYS, "c.x_start", "c.x_end")
+    return splits.document_columns(found).select("doc_id", "column_id", F.round("x_start", 6).alias("x_start"), F.round("x_end", 6).alias("x_end"), "n")
 
 
 def _split_sql(depth=3):
