@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.operators import blocks, columns, headings, layout, lines, page_vectors, splits
+from quire.operators import blocks, columns, headings, layout, lines, page_vectors, regions, splits
 from quire.session import table
 
 Q, SQL = {}, {}
@@ -460,3 +460,66 @@ def page_vector_22(spark, sf):
     whole = ("num_columns", "horizontal_lines_count", "peak_count", "valley_count")
     plain = [c for c in (*page_vectors.NINE, *page_vectors.MORE) if c not in whole and not c.endswith(("_widths", "_heights", "_depths")) and c != "text_density"]
     return v.select(*KEYS, *whole, *rounded(plain), F.round("text_density", 9).alias("text_density"), *lists)
+
+
+def _valleys_sql(source, keys):
+    """Valleys over dense pixels of a table (keys, x0, x1), whose pages are 612 wide."""
+    same = " and ".join(f"a.{k} = b.{k}" for k in keys.split(", "))
+    return f"""px as (select {keys}, unnest(range(greatest(0, least(cast(trunc(x0) as integer), 611)), greatest(0, least(cast(trunc(x1) as integer), 611)))) as x from {source}),
+cov as (select {keys}, x, count(*) as n from px group by all),
+dense_px as (select g.*, coalesce(n, 0) as n from (select {keys}, unnest(range(612)) as x from (select distinct {keys} from {source})) g left join cov using ({keys}, x)),
+hs as (select *, sum(n) over (partition by {keys} order by x rows between 3 preceding and 3 following) as h from dense_px),
+hl as (select *, case when h <> lag(h) over (partition by {keys} order by x) then 1 else 0 end as turn from hs),
+hg as (select *, sum(turn) over (partition by {keys} order by x rows unbounded preceding) as g from hl),
+flats as (select {keys}, g, min(x) as a, max(x) as z, any_value(h) as h from hg group by all),
+turned as (select *, lag(h) over o as b4, lead(h) over o as af from flats window o as (partition by {keys} order by g)),
+minima as (select {keys}, (a + z) // 2 as at_x, h, row_number() over (partition by {keys} order by h, (a + z) // 2 desc) as i from turned where b4 > h and af > h),
+picked as (select {keys}, i, [at_x] as kept from minima where i = 1 union all
+  select {", ".join("b." + k for k in keys.split(", "))}, b.i, case when len(list_filter(a.kept, lambda q: abs(q - b.at_x) < 15)) = 0 then list_append(a.kept, b.at_x) else a.kept end from picked a join minima b on {same} and b.i = a.i + 1),
+chosen as (select {keys}, unnest(kept) as at_x from picked qualify row_number() over (partition by {keys} order by i desc) = 1),
+tops as (select {keys}, max(h) as top from hs group by all),
+reached as (select {", ".join("a." + k for k in keys.split(", "))}, a.at_x, m.h, top, coalesce(max(b.x) filter (where b.x < a.at_x and 2 * b.h > 3 * m.h), 0) as start, coalesce(min(b.x) filter (where b.x > a.at_x and 2 * b.h > 3 * m.h), 611) as stop
+  from chosen a join minima m using ({keys}, at_x) join tops using ({keys}) join hs b on {same} group by all),
+valleys as (select {keys}, at_x, start, stop, 1 - h / top as depth from reached where stop - start >= 15 and 1 - h / top > 0.3)"""
+
+
+@query(f"with recursive {WORDS_SQL}, {_valleys_sql('words', 'doc_id, page')} select doc_id, page, cast(start as integer) as start, cast(stop as integer) as stop, round(depth, 6)::double as depth from valleys")
+def coverage_valleys(spark, sf):
+    found = regions.coverage_valleys(words(spark, sf)).select(*KEYS, F.explode("valleys").alias("v"))
+    return found.select(*KEYS, "v.start", "v.stop", F.round("v.depth", 6).alias("depth"))
+
+
+@query(f"""with recursive {WORDS_SQL},
+gap_ys as (select doc_id, page, (bottom + next) / 2 as y from (select *, lead(top) over (partition by doc_id, page order by top, bottom) as next from words) where next - bottom >= 30),
+ruled as (select doc_id, page, y from gap_ys union all select distinct doc_id, page, 55.0 + 100 * page from words),
+ny as (select *, row_number() over (partition by doc_id, page order by y) as i from ruled),
+fold as (select doc_id, page, i, y as last, []::double[] as done from ny where i = 1 union all
+  select n.doc_id, n.page, n.i, case when n.y - f.last < 10 then (f.last + n.y) / 2 else n.y end, case when n.y - f.last < 10 then f.done else list_append(f.done, f.last) end from fold f join ny n on n.doc_id = f.doc_id and n.page = f.page and n.i = f.i + 1),
+bounds as (select doc_id, page, list_concat([0.0::double], done, [last], [792.0::double]) as es from fold qualify row_number() over (partition by doc_id, page order by i desc) = 1),
+spans as (select doc_id, page, no, es[no + 1] as y_start, es[no + 2] as y_end from (select *, unnest(range(len(es) - 1)) as no from bounds) where es[no + 2] - es[no + 1] >= 50),
+own as (select doc_id, page, no, x0, x1, (x0 + x1) / 2 as xc from words join spans using (doc_id, page) where top between y_start and y_end or bottom between y_start and y_end),
+{_valleys_sql('own', 'doc_id, page, no')},
+ns as (select doc_id, page, no, count(*) as n from own group by all),
+cuts as (select doc_id, page, no, (start + stop) // 2 as x from valleys qualify row_number() over (partition by doc_id, page, no order by depth desc, at_x) <= 3 union all select doc_id, page, no, unnest([0, 612]) from ns),
+cs as (select *, lead(x) over (partition by doc_id, page, no order by x) as z from cuts),
+wide as (select c.doc_id, c.page, c.no, c.x, c.z from cs c join own o on o.doc_id = c.doc_id and o.page = c.page and o.no = c.no and o.xc >= c.x and o.xc < c.z where c.z - c.x >= 80 group by all having count(*) >= 15),
+ws as (select doc_id, page, no, count(*) as k, string_agg(x || '-' || z, ',' order by x) as cols from wide group by all),
+ds as (select doc_id, page, no, max(depth) as deepest from valleys group by all),
+rated as (select s.*, coalesce(n, 0) as n, case when coalesce(n, 0) < 10 or k is null then 1 else k end as k, case when coalesce(n, 0) < 10 or k is null then '0-612' else cols end as cols,
+  case when coalesce(n, 0) < 10 then 0.5 when coalesce(k, 1) = 1 and deepest is null then 0.9 when coalesce(k, 1) = 1 then 0.6 else least(0.95, deepest) end::double as sure
+  from spans s left join ns using (doc_id, page, no) left join ws using (doc_id, page, no) left join ds using (doc_id, page, no)),
+isl as (select *, case when lag(k) over o = k and lag(sure) over o > 0.7 and sure > 0.7 then 0 else 1 end as new from rated window o as (partition by doc_id, page order by no)),
+num as (select *, sum(new) over (partition by doc_id, page order by no rows unbounded preceding) as island from isl),
+pos as (select *, row_number() over o as i, count(*) over (partition by doc_id, page, island) as m from num window o as (partition by doc_id, page, island order by no)),
+joined as (select doc_id, page, island, min(y_start) as y_start, max(y_end) as y_end, sum(n) as n_words, max(k) as n_columns, arg_min(cols, no) as cols, sum(sure * case when i = 1 then power(0.5, m - 1) else power(0.5, m - i + 1) end) as confidence from pos group by all),
+best as (select * from joined qualify row_number() over (partition by doc_id, page order by n_words desc, y_start) <= 5)
+select doc_id, page, cast(row_number() over (partition by doc_id, page order by y_start) - 1 as integer) as region_no, round(y_start, 6)::double as y_start, round(y_end, 6)::double as y_end, cast(n_words as bigint) as n_words, cast(n_columns as integer) as n_columns,
+  cols as columns, round(confidence, 6)::double as confidence from best""")
+def page_regions(spark, sf):
+    """Regions of all pages, each with a drawn line at a height that goes by its number."""
+    w = words(spark, sf)
+    y = 55.0 + 100 * F.col("page")
+    rules = w.select(*KEYS).distinct().select(*KEYS, F.lit(10.0).alias("x0"), F.lit(600.0).alias("x1"), y.alias("y0"), y.alias("y1"))
+    found = regions.page_regions(w, rules)
+    said = F.array_join(F.transform("columns", lambda c: F.concat_ws("-", c["x_start"].cast("int").cast("string"), c["x_end"].cast("int").cast("string"))), ",")
+    return found.select(*KEYS, "region_no", *[F.round(c, 6).alias(c) for c in ("y_start", "y_end", "confidence")], "n_words", "n_columns", said.alias("columns"))
