@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +29,8 @@ def scanned_docx(images: Column, paragraphs: Column) -> Column:
 
 
 def route(chars: Column, text_ratio: Column, images: Column) -> Column:
-    """native, ocr or hybrid."""
-    return F.when(chars <= 100, "ocr").when((text_ratio < 5) & (images > 0), "ocr").when(text_ratio < 10, "hybrid").otherwise("native")
+    """native, or ocr for few characters or little text on the page."""
+    return F.when((chars <= 100) | (text_ratio < 10) | ((text_ratio < 5) & (images > 0)), "ocr").otherwise("native")
 
 
 def strategy(file_type: Column, is_scanned: Column, columns: Column) -> Column:
@@ -55,14 +57,17 @@ def layout_type(columns: Column) -> Column:
     return F.struct(F.when(columns <= 1, 1).when(columns == 2, 2).otherwise(3).alias("type"), F.when(columns <= 1, 0.9).when(columns == 2, 0.85).otherwise(0.7).alias("confidence"))
 
 
-def layout_score(gutter: Column, valley: Column, overlap: Column) -> Column:
-    """Weighted score of several columns: .4 gutter coverage, .35 valley depth, .25 vertical overlap."""
-    return 0.4 * gutter + 0.35 * valley + 0.25 * overlap
-
+def layout_class(columns: Column, gutter: Column, header: Column, full_lines: Column, valley: Column, overlap: Column) -> Column:
+    """struct(type, confidence): 1 for one column, 2 for several, 3 for several with full-width lines or a header.
 
-def layout_class(gutter: Column, header: Column, score: Column) -> Column:
-    """2 with a gutter through the page, 3 where a wide header stands above columns, else 1."""
-    return F.when((gutter >= 0.7) & (header < 0.2), 2).when((gutter >= 0.7) | ((score > 0.35) & (header >= 0.2)), 3).when(score > 0.35, 2).otherwise(1)
+    With a gutter through .7 of the page, at least three full-width lines or a header of over .05 make 3. Else .4 valley (to .3), .35 overlap (to .2) and .25 for
+    full-width lines make a score, over .35 for 3.
+    """
+    wide, clear = full_lines >= 3, gutter >= 0.7
+    score = 0.4 * F.least(valley / 0.3, F.lit(1.0)) + 0.35 * F.least(overlap * 5, F.lit(1.0)) + F.when(wide, 0.25).otherwise(0.0)
+    kind = F.when(columns == 1, 1).when(clear, F.when(wide | (header > 0.05), 3).otherwise(2)).when(score > 0.35, 3).otherwise(2)
+    sure = F.when(columns == 1, 0.9).when(clear, 0.92).otherwise(0.7 + F.least(F.abs(score - 0.5) * 0.4, F.lit(0.25)))
+    return F.struct(kind.alias("type"), sure.alias("confidence"))
 
 
 def side_lines(lines: DataFrame, keys=KEYS) -> DataFrame:
@@ -179,10 +184,46 @@ def page_features(words: DataFrame, keys=KEYS) -> DataFrame:
     )
 
 
-def adaptive_thresholds(lines: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Thresholds of heading rules from a document's own lines: sizes against their spread, spaces against their quartile."""
-    s = lines.groupBy(key).agg(F.avg("height").alias("mh"), F.stddev_pop("height").alias("sh"), F.expr("percentile(space_above, 0.75)").alias("q"), F.avg("char_count").alias("mc"))
+# Bounds of a measure from the highest down, each with the threshold above it; the last threshold is that below all bounds.
+LADDERS = {
+    "heading_score": [(0.5, 0.25), (0.3, 0.3), (None, 0.35)],
+    "font_ratio": [(1.5, 1.1), (1.2, 1.15), (None, 1.05)],
+    "space_ratio": [(2.0, 1.3), (1.5, 1.5), (None, 1.8)],
+    "block_area": [(50, 50), (30, 100), (None, 150)],
+}
+#: Tolerances of columns and bands by the commonest layout of a document's pages, and of all others.
+TOLERANCES = {"horizontal": (0.03, 0.03), "vertical": (0.08, 0.015), "hybrid": (0.05, 0.02), None: (0.05, 0.02)}
+
+
+def rung(name: str, measure: Column) -> Column:
+    """The threshold of a ladder for a measure; null for null."""
+    steps = LADDERS[name]
+    out = F.lit(steps[-1][1])
+    for bound, value in reversed(steps[:-1]):
+        out = F.when(measure > bound, value).otherwise(out)
+    return F.when(measure.isNotNull(), out)
+
+
+def adaptive_thresholds(lines: DataFrame, pages: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    """(key, heading_score, font_ratio, space_ratio, column_tolerance, band_tolerance, block_area): a document's thresholds from its own lines.
+
+    ``lines``: (key, page, height, space_above). Scores go by the spread of heights to their mean, font ratios by the third quartile of heights to their median, space
+    ratios likewise by spaces, block areas by lines a page; divisors are at least 1. ``pages``: (key, page, kind) of layouts (``blocks.block_layout``), of which
+    the commonest, of equals the one on the earliest page, sets the tolerances.
+    """
+    ratio = lambda a, b: a / F.greatest(F.lit(1.0), b)
+    at = lambda c, q: F.expr(f"percentile({c}, {q})")
+    s = lines.groupBy(key).agg(
+        ratio(F.stddev_pop("height"), F.avg("height")).alias("spread"), ratio(at("height", 0.75), at("height", 0.5)).alias("font"), ratio(at("space_above", 0.75), at("space_above", 0.5)).alias("space"),
+        (F.count("*") / F.countDistinct("page")).alias("dense"),
+    )
+    if pages is None:
+        s = s.withColumn("kind", F.lit(None).cast("string"))
+    else:
+        counts = pages.groupBy(key, "kind").agg(F.count("*").alias("n"), F.min("page").alias("first"))
+        s = s.join(counts.groupBy(key).agg(F.max_by("kind", F.struct("n", -F.col("first"))).alias("kind")), key, "left")
+    side = lambda i: reduce(lambda out, k: F.when(F.col("kind") == k, TOLERANCES[k][i]).otherwise(out), [k for k in TOLERANCES if k], F.lit(TOLERANCES[None][i]))
     return s.select(
-        key, F.when(F.col("sh") > 0.2 * F.col("mh"), 1.2).otherwise(1.3).alias("height_ratio"), F.greatest(F.col("q"), F.lit(2.0)).alias("space_above"),
-        F.when(F.col("mc") > 60, 0.65).otherwise(0.6).alias("score"),
+        key, rung("heading_score", F.col("spread")).alias("heading_score"), rung("font_ratio", F.col("font")).alias("font_ratio"), rung("space_ratio", F.col("space")).alias("space_ratio"),
+        side(0).alias("column_tolerance"), side(1).alias("band_tolerance"), rung("block_area", F.col("dense")).alias("block_area"),
     )

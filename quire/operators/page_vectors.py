@@ -85,11 +85,12 @@ def density_features(density: DataFrame, keys=KEYS) -> DataFrame:
     near = lambda f, step: F.when(f("bin").over(o) == F.col("bin") + step, f("c").over(o)).otherwise(0)
     marked = density.withColumns({"before": near(F.lag, -1), "after": near(F.lead, 1), "top": F.greatest(F.max("c").over(w), F.lit(5))})
     inner = F.col("bin").between(1, F.col("bins") - 2)
-    peak = inner & (F.col("c") > F.col("before")) & (F.col("c") > F.col("after")) & (F.col("c") * 5 > F.col("top"))
+    highest = inner & (F.col("c") > F.col("before")) & (F.col("c") > F.col("after"))
+    peak = highest & (F.col("c") * 5 > F.col("top"))
     valley = inner & (F.col("c") < F.col("before")) & (F.col("c") < F.col("after"))
     row = F.struct("bin", "c")
     sorted_ = lambda test: F.array_sort(F.collect_list(F.when(test, row)))
-    pages = marked.groupBy(*keys).agg(F.max("bins").alias("bins"), F.max("top").alias("top"), F.array_sort(F.collect_list(row)).alias("rows"), sorted_(peak).alias("peaks"), sorted_(valley).alias("valleys"))
+    pages = marked.groupBy(*keys).agg(F.max("bins").alias("bins"), F.max("top").alias("top"), F.count_if(highest).alias("n_maxima"), F.array_sort(F.collect_list(row)).alias("rows"), sorted_(peak).alias("peaks"), sorted_(valley).alias("valleys"))
     rows, bins, top = F.col("rows"), F.col("bins"), F.col("top")
 
     def peak_width(p):
@@ -106,7 +107,7 @@ def density_features(density: DataFrame, keys=KEYS) -> DataFrame:
     lowest = F.array_min(F.transform("valleys", lambda v: F.struct(v["c"].alias("c"), v["bin"].alias("bin"))))
     share = lambda name: F.transform(name, lambda x: x["c"] / top)
     return pages.select(
-        *keys, top.alias("density_top"), F.size("peaks").alias("peak_count"), F.transform("peaks", peak_width).alias("peak_widths"), share("peaks").alias("peak_heights"),
+        *keys, top.alias("density_top"), "n_maxima", F.size("peaks").alias("peak_count"), F.transform("peaks", peak_width).alias("peak_widths"), share("peaks").alias("peak_heights"),
         F.when(F.size("peaks") >= 2, (F.col("peaks")[1]["bin"] - F.col("peaks")[0]["bin"]) / bins).otherwise(0.0).alias("peak_separation"),
         F.size("valleys").alias("valley_count"), share("valleys").alias("valley_depths"), F.transform("valleys", valley_width).alias("valley_widths"),
         F.coalesce(lowest["bin"] / bins, F.lit(0.5)).alias("valley_position"), F.coalesce(lowest["c"] / top, F.lit(1.0)).alias("valley_depth_ratio"),
@@ -179,3 +180,34 @@ def page_vectors(words: DataFrame, keys=KEYS) -> DataFrame:
         | {c: F.coalesce(c, F.lit(0)) for c in ("peak_count", "valley_count")} | {c: F.coalesce(c, empty) for c in ("peak_widths", "peak_heights", "valley_depths", "valley_widths")}
         | {c: F.coalesce(c, F.lit(v)) for c, v in (("peak_separation", 0.0), ("valley_position", 0.5), ("valley_depth_ratio", 1.0))}
     ).select(*keys, *NINE, *MORE, "mean_y_overlap_near", F.coalesce("density_top", F.lit(5)).alias("density_top"))
+
+
+def layout_types(words: DataFrame, margin: float = 10.0, keys=KEYS) -> DataFrame:
+    """(keys, layout_type, num_columns, boundary, method, confidence): each page's layout from its own words (``layout.layout_class``).
+
+    A gutter through .7 of the page's bands, whose height is taken to end ``margin`` below the lowest word, parts it in two columns; else at least three lines that begin left of .3 of the
+    page's width and three further right, none of them full-width, do, midway between the rightmost end and the leftmost start of these (boundary is null for one column). The
+    valley is the lowest one of the density, 1 where it has not two peaks. Pages without words have no row.
+    """
+    boxes = by_page(words.select(*keys, *BOX), keys)
+    lowest = F.max(F.col("box")[3]).over(Window.partitionBy(*keys)) + margin
+    boxes = boxes.withColumn("box", F.concat(F.slice("box", 1, 5), F.array(lowest)))
+    lines = centre_lines(boxes, keys=keys)
+    full = (F.col("x1") - F.col("x0")) >= 0.75 * F.col("page_width")
+    left = ~full & (F.col("x0") < 0.3 * F.col("page_width"))
+    right = ~full & ~left
+    sides = lines.groupBy(*keys).agg(F.count_if(full).alias("n_full"), F.count_if(left).alias("n_left"), F.count_if(right).alias("n_right"), ((F.max(F.when(left, F.col("x1"))) + F.min(F.when(right, F.col("x0")))) / 2).alias("between"))
+    gutters = layout.gutter(unpacked(boxes, keys), keys=keys)
+    parts = [sides, overlap_features(boxes, keys=keys).select(*keys, "mean_y_overlap")]
+    found = gutters
+    for part in parts:
+        found = found.join(part, list(keys))
+    found = found.join(density_features(centre_density(boxes, keys), keys).select(*keys, "n_maxima", "valley_count", "valley_depth_ratio"), list(keys), "left")
+    clear, split = F.col("coverage") >= 0.7, (F.col("n_left") >= 3) & (F.col("n_right") >= 3)
+    columns = F.when(clear | split, 2).otherwise(1)
+    valley = F.when((F.col("n_maxima") >= 2) & (F.col("valley_count") > 0), F.col("valley_depth_ratio")).otherwise(1.0)
+    said = layout.layout_class(columns, F.col("coverage"), F.col("header_fraction"), F.col("n_full"), valley, F.col("mean_y_overlap"))
+    return found.select(
+        *keys, said["type"].alias("layout_type"), columns.alias("num_columns"), F.when(clear, F.col("gutter_x")).when(split, F.col("between")).alias("boundary"),
+        F.when(clear, "gutter").when(split, "y_overlap").otherwise("single_column").alias("method"), said["confidence"].alias("confidence"),
+    )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,13 +121,41 @@ def contact_from_lines(lines: DataFrame, fields: dict[str, Column], head: int =
     return numbered.groupBy(key).agg(*[best(name)["v"].alias(name) for name in fields])
 
 
+# What company names hold, anywhere in them.
+COMPANY_SIGNS = [
+    "corporation", "corp", "company", "inc", "ltd", "limited", "pvt", "solutions", "technologies", "systems", "services", "group",
+    "permanente", "hospital", "medical", "health", "institute",
+]
+
+
 def best_location(entities: DataFrame, cities: list[str], key: str = "doc_id") -> DataFrame:
-    """The place that is a known city, else the first place that is no company's name."""
+    """Of the places that hold no sign of a company, the first that is a known city, else the first; documents without any have no row."""
     word = F.lower(F.trim("word"))
-    places = entities.where("entity_group = 'LOCATION'").where(~F.regexp(word, F.lit(r"\b(?:ltd|limited|inc|pvt|technologies|solutions|university|college)\b")))
+    places = entities.where("entity_group = 'LOCATION'").where(~reduce(or_, [F.contains(word, F.lit(x)) for x in COMPANY_SIGNS]))
     return places.groupBy(key).agg(F.min(F.struct((~word.isin(cities)).cast("int").alias("unknown"), "pos", "word"))["word"].alias("location"))
 
 
+ISSUES = ("no_experience_section", "no_experiences_extracted", "no_contact", "few_sections", "no_name")
+
+
+def assess_extraction(sections: DataFrame, parsed: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, n_sections, n_experiences, issues, assessment): what segmentation found in a document against what extraction did; documents of either side.
+
+    ``sections``: (key, section), one row a name; ``parsed``: (key, name, email, mobile, n_experiences). issues are in the order of ``ISSUES``: no section that names
+    experience; one, but no experiences; neither a section of contacts or a summary nor an address or number; under two sections; no name. assessment: failed without sections,
+    segmentation_only without experiences, else both. Empty texts count as none.
+    """
+    low, name = F.lower("section"), F.col("section")
+    own = sections.groupBy(key).agg(F.count_distinct(name).alias("n_sections"), F.coalesce(F.bool_or(F.contains(low, F.lit("experience"))), F.lit(False)).alias("__e"), F.coalesce(F.bool_or(name.isin("Contact Information", "Summary")), F.lit(False)).alias("__c"))
+    both = own.join(parsed.select(key, "name", "email", "mobile", "n_experiences"), key, "full_outer")
+    n, k = F.coalesce("n_sections", F.lit(0)), F.coalesce("n_experiences", F.lit(0))
+    experience, contact = F.coalesce("__e", F.lit(False)), F.coalesce("__c", F.lit(False))
+    none = lambda c: F.coalesce(c, F.lit("")) == ""
+    held = [~experience, experience & (k == 0), ~contact & none("email") & none("mobile"), n < 2, none("name")]
+    said = F.when(n == 0, "failed").when(k == 0, "segmentation_only").otherwise("both")
+    return both.select(key, n.alias("n_sections"), k.alias("n_experiences"), F.array_compact(F.array(*[F.when(h, x) for h, x in zip(held, ISSUES)])).alias("issues"), said.alias("assessment"))
+
+
 def distribution(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
     """(by, counts as a map, most_common): how often each value occurs, of equals the smallest is the most common."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))

@@ -129,8 +129,8 @@ def heading_vocab_join(spark, sf):
     return headings.match_headings(found, document_vocab(found)).groupBy("canon", "match").agg(F.count("*").alias("n"))
 
 
-@query(rf"""with {LINES_SQL} select doc_id, count(*) as n_lines, count(*) filter (where length(line) <= 100 and len(regexp_extract_all(line, '\S+')) between 1 and 6 and not regexp_matches(line, '[.!?,;]\s*$')
-  and not regexp_matches(lower(line), '@|https?:|www\.|phone|email|mobile|address|linkedin|github') and length(regexp_replace(line, '[^0-9]', '', 'g')) <= 4) as n_headers from dl group by 1""")
+@query(rf"""with {LINES_SQL} select doc_id, count(*) as n_lines, count(*) filter (where length(trim(line)) between 3 and 100 and len(regexp_extract_all(line, '\S+')) <= 6 and not regexp_matches(trim(line), '[.!?,]$')
+  and not regexp_matches(lower(line), '•|○|http|www|@|\+91|gmail|\.com') and length(regexp_replace(line, '[^0-9]', '', 'g')) <= 4) as n_headers from dl group by 1""")
 def header_like_lines(spark, sf):
     return document_lines(spark, sf).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(headings.header_like("text")).alias("n_headers"))
 
@@ -167,10 +167,10 @@ def heading_confidences(spark, sf):
 LAYOUT_SCORE_SQL = rf"""{LINES_SQL}, ms as (select line, line_no, len(regexp_extract_all(line, '\S+')) as n, length(regexp_replace(line, '[^\p{{L}}]', '', 'g')) as letters, length(regexp_replace(line, '[^\p{{Lu}}]', '', 'g')) as uppers,
   len(list_filter(regexp_extract_all(line, '\S+'), lambda w: regexp_matches(w, '^\p{{Lu}}'))) as titles, length(regexp_replace(line, '[^0-9]', '', 'g')) as digits, ends_with(trim(line), ':') as colon from dl),
 rs as (select *, case when letters > 0 then uppers / letters else 0 end as up from ms),
-sc as (select case when n > 10 or length(line) > 60 or regexp_matches(line, '^\s*[•\-*▪●]|https?://|www\.|@|[0-9]{{10}}') then 0 else greatest(0, least(1,
-  case when contains(lower(line), 'license') then 0.5 else 0 end + case when n <= 4 and (up > 0.8 or colon) then 0.3 else 0 end + case when up > 0.8 then 0.25 else 0 end + case when colon then 0.2 else 0 end
-  + case when n > 0 and titles / n > 0.8 then 0.15 else 0 end + case when line_no % 3 = 0 then 0.15 else 0 end + case when line_no % 4 = 0 then 0.15 else 0 end
-  - case when digits / greatest(length(line), 1) > 0.3 then 0.3 else 0 end - case when regexp_matches(line, '[.,;]\s*$') then 0.2 else 0 end)) end::double as score from rs)"""
+sc as (select case when n = 0 or n > 10 or length(line) > 60 or regexp_matches(line, '^[•\-*]|[0-9]{{10}}') or regexp_matches(lower(line), 'http|@|www\.|\.com|\.in') then 0 else
+  case when contains(lower(line), 'license') then 0.5 else 0 end + case when contains(lower(line), 'license') and n <= 3 and (up >= 0.9 or colon) then 0.3 else 0 end + case when up >= 0.9 and n <= 5 then 0.25 else 0 end + case when colon and n <= 5 then 0.2 else 0 end
+  + case when n > 0 and titles / n >= 0.8 and n <= 4 then 0.15 else 0 end + case when line_no % 3 = 0 then 0.15 else 0 end + case when line_no % 4 = 0 then 0.15 else 0 end
+  - case when regexp_matches(line, '^\p{{Ll}}') then 0.2 else 0 end - case when digits > length(line) * 0.3 then 0.15 else 0 end - case when n > 5 then 0.15 else 0 end end::double as score from rs)"""
 
 
 @query(f"with {LAYOUT_SCORE_SQL} select round(score, 6) as score, count(*) as n from sc group by 1")
@@ -180,13 +180,14 @@ def heading_layout_scores(spark, sf):
     return document_lines(spark, sf).groupBy((F.round(score, 6) + 0.0).alias("score")).agg(F.count("*").alias("n"))
 
 
-@query("""with p as (select p_partkey, (p_partkey % 11) / 10.0 as g, (p_partkey % 5) / 10.0 as h, 0.4 * ((p_partkey % 11) / 10.0) + 0.35 * ((p_partkey % 7) / 7.0) + 0.25 * ((p_partkey % 13) / 13.0) as s from part)
-select p_partkey, cast(case when g >= 0.7 and h < 0.2 then 2 when g >= 0.7 or (s > 0.35 and h >= 0.2) then 3 when s > 0.35 then 2 else 1 end as integer) as layout, round(s, 6)::double as score from p""")
+@query("""with p as (select p_partkey, (p_partkey % 11) / 10.0 as g, (p_partkey % 5) / 50.0 as h, p_partkey % 3 > 0 as two, p_partkey % 7 as f, (p_partkey % 13) / 13.0 as v, (p_partkey % 17) / 60.0 as o from part),
+s as (select *, 0.4::double * least(v / 0.3::double, 1) + 0.35::double * least(o * 5, 1) + case when f >= 3 then 0.25::double else 0 end as s from p)
+select p_partkey, cast(case when not two then 1 when g >= 0.7 then case when f >= 3 or h > 0.05 then 3 else 2 end when s > 0.35::double then 3 else 2 end as integer) as layout,
+  round(case when not two then 0.9 when g >= 0.7 then 0.92 else 0.7::double + least(abs(s - 0.5) * 0.4, 0.25) end, 6)::double as confidence from s""")
 def layout_classes(spark, sf):
-    k = F.col("p_partkey")
-    gutter, header = k % 11 / 10, k % 5 / 10
-    score = layout.layout_score(gutter, k % 7 / 7, k % 13 / 13)
-    return table(spark, sf, "part").select("p_partkey", layout.layout_class(gutter, header, score).alias("layout"), F.round(score, 6).alias("score"))
+    k = lambda n, d: (F.col("p_partkey") % n) / F.lit(d)
+    said = layout.layout_class(F.when(F.col("p_partkey") % 3 > 0, 2).otherwise(1), k(11, 10.0), k(5, 50.0), F.col("p_partkey") % 7, k(13, 13.0), k(17, 60.0))
+    return table(spark, sf, "part").select("p_partkey", said["type"].alias("layout"), F.round(said["confidence"], 6).alias("confidence"))
 
 
 FILE_WORDS_SQL = """['resume','cv','curriculum','vitae','updated','latest','new','final','software','engineer','developer','manager','analyst','consultant','specialist','architect','lead','senior','junior','intern',
@@ -444,13 +445,30 @@ def label_distribution(spark, sf):
     return table(spark, sf, "labels").groupBy("quality", "toxic").agg(F.count("*").alias("n"))
 
 
-@query(f"""with {ENT_SQL}, p as (select doc_id, pos, word from ents where entity_group = 'ROLE' )
-select doc_id, arg_min(word, row(case when lower(word) in ('view1', 'click2', 'error3') then 0 else 1 end, pos)) as location from p group by 1""")
+@query(f"""with {ENT_SQL}, p as (select doc_id, pos, word || case pos % 4 when 0 then ' Systems' when 1 then ' Health Park' else '' end as word from ents where entity_group = 'ROLE'),
+v as (select * from p where not regexp_matches(lower(word), 'corporation|corp|company|inc|ltd|limited|pvt|solutions|technologies|systems|services|group|permanente|hospital|medical|health|institute'))
+select doc_id, arg_min(word, row(case when lower(word) in ('view1', 'click2', 'error3') then 0 else 1 end, pos)) as location from v group by 1""")
 def location_choice(spark, sf):
-    e = ents(spark, sf).where("entity_group = 'ROLE'").withColumn("entity_group", F.lit("LOCATION"))
+    """Names with signs of companies at half of the places."""
+    sign = F.when(F.col("pos") % 4 == 0, " Systems").when(F.col("pos") % 4 == 1, " Health Park").otherwise("")
+    e = ents(spark, sf).where("entity_group = 'ROLE'").withColumns({"entity_group": F.lit("LOCATION"), "word": F.concat("word", sign)})
     return report.best_location(e, ["view1", "click2", "error3"])
 
 
+@query(f"""with {SHORT_SQL}, names as (select distinct doc_id, section || case when section_id % 3 = 0 then ' Experience' else '' end as section from sc),
+own as (select doc_id, count(*) as n, bool_or(contains(lower(section), 'experience')) as e from names group by 1),
+par as (select conv_id as doc_id, min(case when turn = 0 and conv_id % 3 > 0 then role end) as name, min(case when conv_id % 4 = 0 then role end) as email, count(*) filter (where turn % 2 = 1 and conv_id % 2 = 0) as k from conversations where conv_id % 5 > 0 group by 1),
+j as (select coalesce(own.doc_id, par.doc_id) as doc_id, coalesce(n, 0) as n, coalesce(k, 0) as k, coalesce(e, false) as e, name, email from own full join par on own.doc_id = par.doc_id)
+select doc_id, n as n_sections, k as n_experiences, array_to_string(list_filter([case when not e then 'no_experience_section' end, case when e and k = 0 then 'no_experiences_extracted' end, case when coalesce(email, '') = '' then 'no_contact' end,
+  case when n < 2 then 'few_sections' end, case when coalesce(name, '') = '' then 'no_name' end], lambda x: x is not null), ',') as issues, case when n = 0 then 'failed' when k = 0 then 'segmentation_only' else 'both' end as assessment from j""")
+def extraction_assessed(spark, sf):
+    """Sections of conversations against what their turns give."""
+    found = sections.section_table(short_segments(spark, sf)).select("doc_id", F.concat("section", F.when(F.col("section_id") % 3 == 0, " Experience").otherwise("")).alias("section"))
+    c, k = table(spark, sf, "conversations").where("conv_id % 5 > 0"), F.col("conv_id")
+    parsed = c.groupBy(k.alias("doc_id")).agg(F.min(F.when((F.col("turn") == 0) & (k % 3 > 0), F.col("role"))).alias("name"), F.min(F.when(k % 4 == 0, F.col("role"))).alias("email"), F.count_if((F.col("turn") % 2 == 1) & (k % 2 == 0)).alias("n_experiences"))
+    return report.assess_extraction(found, parsed.withColumn("mobile", F.lit(None).cast("string"))).withColumn("issues", F.array_join("issues", ","))
+
+
 CHAIN_SQL = r"""
 with d as (select doc_id, coalesce(text, '') as text, n_chars < 300 as scanned, n_chars % 5 = 0 as regions, n_chars % 2 + 1 as cols from documents),
 o as (select *, case when scanned then ['ocr'] when regions then ['region', 'histogram', 'ocr'] when cols >= 2 then ['histogram', 'region', 'ocr'] else ['native', 'histogram', 'ocr'] end as names from d),

@@ -214,13 +214,6 @@ def page_features(spark, sf):
     return layout.page_features(words(spark, sf))
 
 
-@query(f"""with {WORDS_SQL}, {LINES_SQL}, sp as (select *, greatest(coalesce(top - lag(bottom) over (partition by doc_id, page order by line_no), 0), 0)::double as space_above from ls),
-s as (select doc_id, avg(height) as mh, stddev_pop(height) as sh, quantile_cont(space_above, 0.75) as q, avg(char_count) as mc from sp group by 1)
-select doc_id, case when sh > 0.2 * mh then 1.2 else 1.3 end::double as height_ratio, round(greatest(q, 2.0), 6) as space_above, case when mc > 60 then 0.65 else 0.6 end::double as score from s""")
-def adaptive_thresholds(spark, sf):
-    return layout.adaptive_thresholds(lines.line_spacing(page_lines(spark, sf))).withColumn("space_above", F.round("space_above", 6))
-
-
 @query(f"""with {WORDS_SQL}, b as (select doc_id, page, unnest(range(greatest(cast(floor(top / (page_height / 60)) as integer), 0), least(cast(floor(bottom / (page_height / 60)) as integer), 59) + 1)) as band from words)
 select doc_id, page, cast(band as integer) as band, count(*) as n from b group by all""")
 def band_density(spark, sf):
@@ -523,3 +516,62 @@ def page_regions(spark, sf):
     found = regions.page_regions(w, rules)
     said = F.array_join(F.transform("columns", lambda c: F.concat_ws("-", c["x_start"].cast("int").cast("string"), c["x_end"].cast("int").cast("string"))), ",")
     return found.select(*KEYS, "region_no", *[F.round(c, 6).alias(c) for c in ("y_start", "y_end", "confidence")], "n_words", "n_columns", said.alias("columns"))
+
+
+THRESHOLDS_SQL = f"""{WORDS_SQL}, {LINES_SQL}, {_split_sql(1)},
+sp as (select *, greatest(coalesce(top - lag(bottom) over (partition by doc_id, page order by line_no), 0), 0)::double as space_above from ls),
+st as (select doc_id, stddev_pop(height) / greatest(1, avg(height)) as spread, quantile_cont(height, 0.75) / greatest(1, quantile_cont(height, 0.5)) as font, quantile_cont(space_above, 0.75) / greatest(1, quantile_cont(space_above, 0.5)) as space,
+  count(*) / count(distinct page) as dense from sp group by 1),
+kinds as (select doc_id, page, any_value(found) as kind from t0 group by all),
+kc as (select doc_id, kind, count(*) as n, min(page) as first from kinds group by all),
+common as (select doc_id, arg_min(kind, row(-n, first)) as kind from kc group by 1),
+ths as (select doc_id, case when spread > 0.5 then 0.25 when spread > 0.3 then 0.3 else 0.35 end::double as heading_score, case when font > 1.5 then 1.1 when font > 1.2 then 1.15 else 1.05 end::double as font_ratio,
+  case when space > 2 then 1.3 when space > 1.5 then 1.5 else 1.8 end::double as space_ratio, case kind when 'horizontal' then 0.03 when 'vertical' then 0.08 else 0.05 end::double as column_tolerance,
+  case kind when 'horizontal' then 0.03 when 'vertical' then 0.015 else 0.02 end::double as band_tolerance, case when dense > 50 then 50 when dense > 30 then 100 else 150 end as block_area from st join common using (doc_id))"""
+
+
+def _thresholds(spark, sf):
+    return layout.adaptive_thresholds(lines.line_spacing(page_lines(spark, sf)), blocks.block_layout(words(spark, sf)))
+
+
+@query(f"with {THRESHOLDS_SQL} select * from ths")
+def adaptive_thresholds(spark, sf):
+    return _thresholds(spark, sf)
+
+
+@query(f"""with {THRESHOLDS_SQL},
+ms as (select sp.*, len(string_split(text, ' ')) as n_words, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) as letters, length(regexp_replace(text, '[^A-Z]', '', 'g')) as uppers, height / avg(height) over p as fr,
+  case when avg(space_above) over p > 0 then space_above / avg(space_above) over p end as sr from sp window p as (partition by doc_id, page)),
+ps as (select doc_id, page, line_no, heading_score, case when text like '%click%' then 0.4 else 0 end as k, case when n_words <= 8 and length(text) <= 50 then 0.15 else 0 end as l, case when uppers / greatest(letters, 1) > 0.7 then 0.2 else 0 end as c,
+  case when text like '%5' then 0.1 else 0 end as co, case when fr > font_ratio then 0.1 else 0 end + case when sr > space_ratio then 0.15 else 0 end + case when line_no < 3 then 0.05 else 0 end as o from ms join ths using (doc_id)),
+ss as (select *, round((k + l + c + co + o)::double, 6) as score from ps)
+select doc_id, page, line_no, score, score >= heading_score or k >= 0.4 or (c >= 0.15 and co > 0 and l > 0) as is_heading from ss""")
+def adaptive_headings(spark, sf):
+    """Lines scored against their documents' thresholds; a last digit of 5 stands for a colon."""
+    from pyspark.sql import Window
+
+    page, c = Window.partitionBy(*KEYS), F.col
+    spaced = lines.line_spacing(page_lines(spark, sf)).join(_thresholds(spark, sf), "doc_id")
+    text = F.when(F.endswith("text", F.lit("5")), F.regexp_replace("text", "5$", ":")).otherwise(c("text"))
+    parts = headings.adaptive_parts(text, F.contains("text", F.lit("click")), c("height") / F.avg("height").over(page), F.try_divide("space_above", F.avg("space_above").over(page)), c("line_no"), c("font_ratio"), c("space_ratio"))
+    scored = spaced.withColumn("parts", parts)
+    return scored.select(*KEYS, "line_no", headings.adaptive_score(c("parts")).alias("score"), headings.adaptive_heading(c("parts"), c("heading_score")).alias("is_heading"))
+
+
+LAYOUT_SQL = VECTORS_SQL.replace("words as (", "raw_words as (", 1).replace("from events)", "from events),\nwords as (select * replace (max(bottom) over (partition by doc_id, page) + 10 as page_height) from raw_words)", 1)
+
+
+@query(f"""with recursive {LAYOUT_SQL},
+sided as (select k.doc_id, k.page, k.anchor as y, min(x0) as x0, max(x1) as x1 from words w join walk k on k.doc_id = w.doc_id and k.page = w.page and k.y = (w.top + w.bottom) / 2 group by all),
+sides as (select doc_id, page, count(*) filter (where x1 - x0 >= 459) as n_full, count(*) filter (where x1 - x0 < 459 and x0 < 183.6) as n_left, count(*) filter (where x1 - x0 < 459 and x0 >= 183.6) as n_right,
+  (max(x1) filter (where x1 - x0 < 459 and x0 < 183.6) + min(x0) filter (where x1 - x0 < 459 and x0 >= 183.6)) / 2 as between_ from sided group by all),
+maxima as (select doc_id, page, count(*) filter (where c > b and c > a) as n_maxima, min(c / m) filter (where c < b and c < a) as lowest from sm group by all),
+every as (select s.doc_id, s.page, coverage_gutter as g, header_fraction as h, gutter * 612.0::double / 400 as gx, n_full, n_left >= 3 and n_right >= 3 as split, between_, case when n_maxima >= 2 then coalesce(lowest, 1) else 1 end as v, coalesce(mean_y_overlap, 0) as o
+  from sides s join gutters using (doc_id, page) join mid using (doc_id, page) left join om using (doc_id, page) left join maxima using (doc_id, page)),
+rated as (select *, 0.4::double * least(v / 0.3::double, 1) + 0.35::double * least(o * 5, 1) + case when n_full >= 3 then 0.25::double else 0 end as s from every)
+select doc_id, page, cast(case when not (g >= 0.7 or split) then 1 when g >= 0.7 then case when n_full >= 3 or h > 0.05 then 3 else 2 end when s > 0.35::double then 3 else 2 end as integer) as layout_type, case when g >= 0.7 or split then 2 else 1 end as num_columns,
+  round(case when g >= 0.7 then gx when split then between_ end, 6)::double as boundary, case when g >= 0.7 then 'gutter' when split then 'y_overlap' else 'single_column' end as method,
+  round(case when not (g >= 0.7 or split) then 0.9 when g >= 0.7 then 0.92 else 0.7::double + least(abs(s - 0.5) * 0.4, 0.25) end, 6)::double as confidence from rated""")
+def layout_types(spark, sf):
+    found = page_vectors.layout_types(words(spark, sf))
+    return found.select(*KEYS, "layout_type", "num_columns", F.round("boundary", 6).alias("boundary"), "method", F.round("confidence", 6).alias("confidence"))

@@ -183,7 +183,7 @@ def quality_ladder(spark, sf):
 
 @query(r"""
 with d as (select doc_id, lang, n_chars, n_chars % 5 as images, (n_chars % 97) / 4.0 as ratio from documents)
-select lang, case when n_chars <= 100 then 'ocr' when ratio < 5 and images > 0 then 'ocr' when ratio < 10 then 'hybrid' else 'native' end as route,
+select lang, case when n_chars <= 100 then 'ocr' when ratio < 5 and images > 0 then 'ocr' when ratio < 10 then 'ocr' else 'native' end as route,
   (n_chars < 100) or (images > 3 and n_chars < 500) as scanned, count(*) as n from d group by all""")
 def scan_routing(spark, sf):
     d = table(spark, sf, "documents").withColumns({"images": F.col("n_chars") % 5, "ratio": (F.col("n_chars") % 97) / 4.0})
