@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import contact
 from quire.functions.text import heading_key, word_count
-from quire.operators import entities, fallback, headings, layout, learning, lines, report, sections
+from quire.operators import entities, fallback, headings, layout, learning, lines, matching, report, sections, vocabulary
 from quire.operators.vocabulary import extend, unique_variants
 from quire.session import table
 from quire.sources.readers import pages_to_lines
@@ -516,3 +516,30 @@ def fallback_results(spark, sf):
 def fallback_attempts(spark, sf):
     """How many documents reach each stage of the chain, by strategy."""
     return fallback.attempt_counts(_chain(spark, sf))
+
+
+SQL_ARGMAX = SQL["embedding_argmax"]
+
+
+@query(SQL_ARGMAX)
+def indexed_argmax(spark, sf):
+    """As embedding_argmax, through the index of cells."""
+    e = table(spark, sf, "embeddings").withColumnRenamed("embedding", "vector")
+    variants = e.where("label is not null").groupBy(F.concat(F.lit("L"), F.col("label").cast("string")).alias("canon")).agg(F.min_by("vector", "vec_id").alias("vector"))
+    best = matching.CellIndex(variants).best(e).withColumnRenamed("vector", "v")
+    found = e.select("vec_id", "vector").join(best, F.col("vector") == F.col("v"), "left")
+    return found.select("vec_id", F.when(F.col("similarity") >= 0.2, F.col("canon")).alias("canon"), F.round("similarity", 6).alias("similarity"))
+
+
+LETTERS_SQL = "[" + ", ".join(f"length(low) - length(replace(low, '{x}', ''))" for x in "abcdefghijklmnopqrstuvwxyz") + "]::double[]"
+
+
+@query(rf"""with {LINES_SQL}, vs as (select name as canon, lower(name) as low from (select unnest({vocabulary.SECTIONS}) as name)), vv as (select canon, low, {LETTERS_SQL} as v from vs),
+ds as (select low, {LETTERS_SQL} as v from (select distinct lower(trim(line)) as low from dl) where low not in (select low from vs)),
+sims as (select ds.low, max(round(list_cosine_similarity(ds.v, vv.v), 9)) as sim, arg_min(canon, row(-round(list_cosine_similarity(ds.v, vv.v), 9), canon)) as canon from ds, vv where list_sum(ds.v) > 0 group by 1)
+select canon, match, count(*) as n from (select coalesce(vs.canon, case when sim >= 0.75 then sims.canon end) as canon, case when vs.canon is not null then 'exact' when sim >= 0.75 then 'similar' end as match
+  from dl left join vs on vs.low = lower(trim(dl.line)) left join sims on sims.low = lower(trim(dl.line))) group by all""")
+def headings_matched(spark, sf):
+    """All lines of all documents against the sections' own names, exactly and by letters."""
+    vocab = spark.createDataFrame([(x, x) for x in vocabulary.SECTIONS], "canon string, variant string")
+    return matching.match_sections(document_lines(spark, sf).select(F.col("text").alias("heading")), vocab).groupBy("canon", "match").agg(F.count("*").alias("n"))
