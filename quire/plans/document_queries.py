@@ -9,7 +9,7 @@ from quire.functions import contact
 from quire.functions.text import heading_key, word_count
 from quire.operators import entities, fallback, headings, layout, learning, lines, matching, report, sections, vocabulary
 from quire.operators.vocabulary import extend, unique_variants
-from quire.session import table
+from quire.session import cut, table
 from quire.sources.readers import pages_to_lines
 
 Q, SQL = {}, {}
@@ -113,8 +113,8 @@ def document_lines(spark, sf):
 
 
 def document_vocab(found):
-    """Of lines (doc_id, text); the length of a variant is its priority, so that variants that differ in spaces alone have an order."""
-    keys = found.select("doc_id", heading_key("text").alias("variant")).where("variant <> ''")
+    """Of lines (doc_id, text, or their key); the length of a variant is its priority, so that variants that differ in spaces alone have an order."""
+    keys = found.select("doc_id", (F.col("key") if "key" in found.columns else heading_key("text")).alias("variant")).where("variant <> ''")
     shared = keys.groupBy("variant").agg(F.countDistinct("doc_id").alias("n")).where("n >= 3")
     return unique_variants(shared.select("variant", F.concat(F.lit("H"), (F.length("variant") % 7).cast("string")).alias("canon"), F.length("variant").alias("prio")))
 
@@ -125,8 +125,9 @@ tok as (select key, list_filter(list_transform(list_filter(string_split_regex(ke
 select coalesce(e.canon, l.canon, t.canon) as canon, case when e.canon is not null then 'exact' when l.canon is not null then 'despaced' when t.canon is not null then 'token' end as match, count(*) as n
 from kl left join vocab e on e.variant = kl.key left join loose l on l.nosep = regexp_replace(kl.key, '[^a-z0-9]+', '', 'g') left join tok t on t.key = kl.key group by all""")
 def heading_vocab_join(spark, sf):
-    found = document_lines(spark, sf)
-    return headings.match_headings(found, document_vocab(found)).groupBy("canon", "match").agg(F.count("*").alias("n"))
+    """Lines are cut and normalised once, as keys; the vocabulary comes from these."""
+    found = cut(document_lines(spark, sf).select("doc_id", heading_key("text").alias("key")))
+    return headings.match_headings(found, cut(document_vocab(found)), key="key").groupBy("canon", "match").agg(F.count("*").alias("n"))
 
 
 @query(rf"""with {LINES_SQL} select doc_id, count(*) as n_lines, count(*) filter (where length(trim(line)) between 3 and 100 and len(regexp_extract_all(line, '\S+')) <= 6 and not regexp_matches(trim(line), '[.!?,]$')
