@@ -25,11 +25,17 @@ CELLS, PROBES, BLOCK, SLACK = 256, 2, 1024, 1e-6
 
 
 def letter_counts(df: DataFrame) -> DataFrame:
-    """The simplest encoder: how often each of a to z stands in the text. Others (language models) are given as functions."""
-    low = F.lower("text")
-    counts = [(F.length(low) - F.length(F.replace(low, F.lit(x), F.lit("")))).cast("double") for x in "abcdefghijklmnopqrstuvwxyz"]
-    vector = F.array(*counts)
-    return df.withColumn("vector", F.when(F.exists(vector, lambda x: x > 0), vector))
+    """The simplest encoder: how often each of a to z stands in the text, once lower-cased; null for texts without. Others (language models) are given as functions."""
+    names = df.columns
+
+    def work(batches):
+        for batch in batches:
+            found = [np.bincount(np.frombuffer(x.encode(), np.uint8), minlength=256)[97:123].astype(float) if x else None for x in batch["__low"].to_pylist()]
+            vectors = pa.array([None if v is None or not v.any() else v for v in found], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.select(names).columns, vectors], names=[*names, "vector"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return df.withColumn("__low", F.lower("text")).mapInArrow(work, f"{fields}, vector array<double>")
 
 
 def _units(column: pa.Array) -> np.ndarray:
@@ -120,7 +126,7 @@ def match_sections(headings: DataFrame, vocab: DataFrame, encode: Encoder = lett
     """``headings`` (with column heading) with canon, confidence and match: 'exact' (1.0) by a variant's name, else 'similar' by its vector from ``least`` on.
 
     Case and surrounding space don't count. Below ``least`` canon and match are null and confidence is the best likeness all the same (0 without a vector). Only distinct headings
-    that no name matches are encoded and looked up. Of a variant with several canonical names, and of equally alike ones, the first name is taken.
+    that no name matches are encoded and looked up; give very frequent ones once, with their counts. Of a variant with several canonical names, and of equally alike ones, the first name is taken.
     """
     key = F.lower(F.trim("heading"))
     names = vocab.select(F.lower(F.trim("variant")).alias("__v"), F.col("canon").alias("__e")).groupBy("__v").agg(F.min("__e").alias("__e"))

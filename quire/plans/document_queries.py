@@ -543,4 +543,5 @@ select canon, match, count(*) as n from (select coalesce(vs.canon, case when sim
 def headings_matched(spark, sf):
     """All lines of all documents against the sections' own names, exactly and by letters."""
     vocab = spark.createDataFrame([(x, x) for x in vocabulary.SECTIONS], "canon string, variant string")
-    return matching.match_sections(document_lines(spark, sf).select(F.col("text").alias("heading")), vocab).groupBy("canon", "match").agg(F.count("*").alias("n"))
+    counted = document_lines(spark, sf).groupBy(F.col("text").alias("heading")).agg(F.count("*").alias("n"))
+    return matching.match_sections(counted, vocab).groupBy("canon", "match").agg(F.sum("n").alias("n"))
