@@ -122,24 +122,31 @@ class CellIndex:
         return found.select("vector", F.col("b.canon").alias("canon"), (-F.col("b.d")).alias("similarity"))
 
 
-def match_sections(headings: DataFrame, vocab: DataFrame, encode: Encoder = letter_counts, least: float = 0.75, cells: int = CELLS) -> DataFrame:
+def match_sections(headings: DataFrame, vocab: DataFrame, encode: Encoder = letter_counts, least: float = 0.75, cells: int = CELLS, once: bool = False) -> DataFrame:
     """``headings`` (with column heading) with canon, confidence and match: 'exact' (1.0) by a variant's name, else 'similar' by its vector from ``least`` on.
 
     Case and surrounding space don't count. Below ``least`` canon and match are null and confidence is the best likeness all the same (0 without a vector). Only distinct headings
-    that no name matches are encoded and looked up; give very frequent ones once, with their counts. Of a variant with several canonical names, and of equally alike ones, the first name is taken.
+    that no name matches are encoded and looked up; give very frequent ones once, with their counts, and say so by ``once``: then rows are encoded where they stand and never shuffled by their text. Of a variant with several canonical names, and of equally alike ones, the first name is taken.
     """
     key = F.lower(F.trim("heading"))
     names = vocab.select(F.lower(F.trim("variant")).alias("__v"), F.col("canon").alias("__e")).groupBy("__v").agg(F.min("__e").alias("__e"))
     exact = headings.withColumn("__k", key).join(names, F.col("__k") == F.col("__v"), "left").drop("__v")
     variants = encode(vocab.select("canon", F.lower("variant").alias("text"))).select("canon", "vector")
+    if once:
+        placed = cut(encode(exact.withColumn("text", F.when(F.col("__e").isNull(), F.col("__k")))))
+        found = CellIndex(variants, cells).best(placed).select(F.col("vector").alias("__w"), F.col("canon").alias("__a"), "similarity")
+        return _said(placed.join(found, F.col("vector") == F.col("__w"), "left"), headings.columns, least)
     open_ = encode(exact.where("__e is null and __k is not null").select(F.col("__k").alias("text")).distinct()).select(F.col("text").alias("__t"), "vector")
     open_ = cut(open_)
     found = CellIndex(variants, cells).best(open_)
     alike = open_.join(found.withColumnRenamed("vector", "__w"), F.col("vector") == F.col("__w")).select("__t", F.col("canon").alias("__a"), "similarity")
-    joined = exact.join(alike, F.col("__k") == F.col("__t"), "left")
+    return _said(exact.join(alike, F.col("__k") == F.col("__t"), "left"), headings.columns, least)
+
+
+def _said(joined: DataFrame, names: list[str], least: float) -> DataFrame:
     sure = F.coalesce("similarity", F.lit(0.0))
     return joined.select(
-        *[F.col(f"`{c}`") for c in headings.columns], F.coalesce("__e", F.when(sure >= least, F.col("__a"))).alias("canon"), F.when(F.col("__e").isNotNull(), 1.0).otherwise(sure).alias("confidence"),
+        *[F.col(f"`{c}`") for c in names], F.coalesce("__e", F.when(sure >= least, F.col("__a"))).alias("canon"), F.when(F.col("__e").isNotNull(), 1.0).otherwise(sure).alias("confidence"),
         F.when(F.col("__e").isNotNull(), "exact").when(sure >= least, "similar").alias("match"), F.col("__a").alias("nearest"),
     )
 

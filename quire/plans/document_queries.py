@@ -544,4 +544,4 @@ def headings_matched(spark, sf):
     """All lines of all documents against the sections' own names, exactly and by letters."""
     vocab = spark.createDataFrame([(x, x) for x in vocabulary.SECTIONS], "canon string, variant string")
     counted = document_lines(spark, sf).groupBy(F.col("text").alias("heading")).agg(F.count("*").alias("n"))
-    return matching.match_sections(counted, vocab).groupBy("canon", "match").agg(F.sum("n").alias("n"))
+    return matching.match_sections(counted, vocab, once=True).groupBy("canon", "match").agg(F.sum("n").alias("n"))

@@ -58,6 +58,8 @@ def test_exact_before_similar(spark, vocab):
     assert got["zzzz"]["canon"] is None and got["zzzz"]["confidence"] < 0.75
     assert got[None]["canon"] is None and got[""]["confidence"] == 0.0
     assert len(got) == 7
+    again = {r["heading"]: r for r in matching.match_sections(spark.createDataFrame(rows, "heading string"), vocab, once=True).collect()}
+    assert again == got
 
 
 def test_covered_proposals_and_lessons(spark, vocab):
