@@ -6,13 +6,13 @@ configuration is a multiset of lengths that fits one sequence. The program
 "fewest configurations that cover the histogram" is solved by multiplicative
 weights: a length's weight falls with the share of its pieces that is covered, and a
 knapsack by dynamic programming prices, for every length as the longest, the configuration
-that is worth most under the current weights. Worths begin as lengths, which is right where
-sequences can be filled up; where that leaves more than ``GAP`` of them empty, they begin as weights
-that a program over groups of lengths has found, and the better plan is taken. The solution is rounded down to whole
+that is worth most under the current weights. The solution is rounded down to whole
 numbers of copies; what is left is a smaller program of the same kind, solved and rounded in its
 turn. Where nearly all numbers are below one, some configurations are taken once, those with the
-longest pieces first. So every piece, at every size of table, gets its place from a
-priced configuration.
+longest pieces first. Rounding down wastes volume where most numbers are small. So where the plan has more sequences than a
+lower bound on any packing, whole plans follow: the longest pieces left take the configuration that is worth most with them, prices
+are found anew as pieces run out, and from plan to plan weights rise by what stays empty beside a length. The
+best plan is taken. So every piece, at every size of table, gets its place from a priced configuration.
 
 Copies of a configuration get consecutive sequence numbers, so the solution is a
 list of ranges: "ranks ``start .. start + copies - 1`` among the pieces of this length
@@ -43,9 +43,8 @@ CACHED = 150_000
 #: itself and how steeply that rises, a round's bound on the copies of a length (a part of the round's sequences), and the
 #: share of what is left that each rounding takes at least.
 ROUNDS, RATE, HARD, STEEP, PART, SHARE = 20, 4.0, 1.0, 6, 8, 0.1
-#: Of the program over groups of lengths: groups, rounds, how much weights change, configurations of a round; of worths that
-#: begin with its weights, how much a length that is covered less counts besides; and the part of the volume that a plan may be above it.
-LENGTH_GROUPS, GROUP_ROUNDS, GROUP_RATE, GROUP_PRICED, UNCOVERED, GAP = 64, 300, 0.1, 8, 0.1, 0.001
+#: Of plans rounded longest pieces first: how many at most, in how many parts, and the power of a length that is its first worth.
+PLANS, BATCHES, RISING = 2, 40, 1.02
 #: Groups in which pieces are ranked: no smaller than this many rows, about so many groups in all.
 GROUP_ROWS, GROUPS = 256, 65_536
 
@@ -114,33 +113,57 @@ class Prices:
         return tuple(sorted(held.items(), reverse=True))
 
 
-def length_worths(left: np.ndarray, capacity: int) -> np.ndarray:
-    """What each length is worth, by multiplicative weights over groups of lengths of about equal volume, each as long as its longest."""
-    sizes, held = np.arange(len(left)), np.flatnonzero(left)
-    volume = sizes * left
-    group = np.minimum((np.cumsum(volume)[held] - volume[held] / 2) * LENGTH_GROUPS // volume.sum(), LENGTH_GROUPS - 1)
-    many = np.zeros(len(left))
-    for g in np.unique(group):
-        own = held[group == g]
-        many[own[-1]] = left[own].sum()
-    open_, need = many > 0, float((sizes * many).sum()) / capacity
-    worth, total = np.where(open_, sizes / capacity, 0.0), np.zeros(len(left))
-    bound = np.where(open_, capacity // np.maximum(sizes, 1), 0)
-    for r in range(GROUP_ROUNDS):
-        prices = Prices(worth, bound, capacity)
-        worth = worth / prices.whole.max()
-        if r >= GROUP_ROUNDS // 3:
-            total += worth
-        best = [i for i in np.argsort(-prices.whole, kind="stable").tolist()[:GROUP_PRICED] if prices.whole[i] >= 0.99 * prices.whole.max()]
-        used = np.zeros(len(left))
-        for i in best:
-            for length, n in prices.configuration(i):
-                used[length] += n * need / len(best)
-        covered = np.divide(used, many, out=np.zeros(len(left)), where=open_)
-        worth = worth * np.exp(-GROUP_RATE / (1 + r) ** 0.5 * np.minimum(covered - 1, 5.0))
-    known = np.flatnonzero(total)
-    between = np.interp(sizes, [0, *known], [0.0, *np.maximum.accumulate(total[known])])  # a longer piece is worth no less
-    return np.where(left > 0, between / between.max(), 0.0)
+def lower_bound(left: np.ndarray, capacity: int) -> int:
+    """Sequences that any packing needs: the greatest over all t of what the pieces of at least ``t`` need.
+
+    Those over half the capacity can't share a sequence with one another, those over ``capacity - t`` with none; the others of at least
+    ``t`` need what volume is left beside the first.
+    """
+    sizes, half = np.arange(len(left)), capacity // 2
+    number, volume = np.cumsum(left), np.cumsum(sizes * left)
+    t = np.arange(half + 1)
+    large = number[-1] - number[half]
+    between = number[capacity - t] - number[half]
+    room = between * capacity - (volume[capacity - t] - volume[half])
+    small = volume[half] - np.concatenate([[0], volume])[t]
+    return int((large + np.maximum(0, -(-(small - room) // capacity))).max())
+
+
+def longest_first(left: np.ndarray, worth: np.ndarray, capacity: int) -> Counter:
+    """Whole copies of priced configurations for all pieces of ``left``: the longest pieces take the configuration that is worth most with
+    them, as often as what is left allows; prices are found anew for each of about ``BATCHES`` parts of the volume."""
+    left, chosen, sizes = left.copy(), Counter(), np.arange(len(left))
+    quota = max(1, int((sizes * left).sum() / capacity / BATCHES))
+    while left.any():
+        prices, best, given = Prices(worth, left, capacity), {}, 0
+        for i, (length, _) in enumerate(prices.packages):
+            if length not in best or prices.whole[i] > prices.whole[best[length]] + 1e-12:
+                best[length] = i
+        for length in sorted(best, reverse=True):
+            if given >= quota:
+                break
+            if not left[length]:
+                continue
+            conf = prices.configuration(best[length])
+            k = min(quota - given, *(int(left[size]) // n for size, n in conf))
+            if not k:
+                break  # what it was priced with is used up
+            chosen[conf] += k
+            given += k
+            for size, n in conf:
+                left[size] -= k * n
+    return chosen
+
+
+def raised(worth: np.ndarray, plan: Counter, capacity: int) -> np.ndarray:
+    """Weights of the next plan: a length's weight rises with the share that stays empty of the sequences that hold it."""
+    empty, many = np.zeros(len(worth)), np.zeros(len(worth))
+    for conf, k in plan.items():
+        room = 1 - sum(length * n for length, n in conf) / capacity
+        for length, n in conf:
+            empty[length] += room * n * k
+            many[length] += n * k
+    return worth * np.exp(np.divide(empty, many, out=np.zeros(len(worth)), where=many > 0))
 
 
 def fractional(left: np.ndarray, base: np.ndarray, hard: np.ndarray, capacity: int, rounds: int) -> dict[Configuration, float]:
@@ -211,12 +234,16 @@ def rounded(left: np.ndarray, base: np.ndarray, hard: np.ndarray, capacity: int)
 
 
 def configurations(left: np.ndarray, capacity: int) -> list[tuple[Configuration, int]]:
-    """Configurations with their copies for all pieces of ``left``, by worths that begin as lengths or as found over groups of lengths."""
-    sizes = np.arange(len(left))
+    """Configurations with their copies for all pieces of ``left``; where rounding down leaves more of them than any packing needs,
+    the best of that plan and up to ``PLANS`` that are rounded longest pieces first."""
+    sizes, least = np.arange(len(left)), lower_bound(left, capacity)
     plan = rounded(left, sizes.astype(float), HARD * (sizes / capacity) ** STEEP, capacity)
-    if plan.total() > (1 + GAP) * (sizes * left).sum() / capacity + 1:
-        base = length_worths(left, capacity)
-        plan = min(plan, rounded(left, base, UNCOVERED * base, capacity), key=Counter.total)
+    worth = (sizes / capacity) ** RISING
+    for _ in range(PLANS):
+        if plan.total() <= least:
+            break
+        other = longest_first(left, worth, capacity)
+        plan, worth = min(plan, other, key=Counter.total), raised(worth, other, capacity)
     return sorted(plan.items(), reverse=True)
 
 

@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import math
 import random
 import zlib
 
@@ -156,12 +157,48 @@ def best_fit_decreasing(lengths, capacity=2048):
     return used
 
 
-@pytest.mark.parametrize("kind, n", [("lognormal", 200), ("lognormal", 1100), ("lognormal", 20_000), ("halves", 3000), ("thirds", 1000), ("few", 500)])
-def test_no_more_sequences_than_best_fit(kind, n):
-    rng = np.random.default_rng(11)
-    lengths = {"lognormal": lambda: np.clip(rng.lognormal(5.5, 1.2, n).astype(int) + 1, 1, 2047), "halves": lambda: rng.integers(500, 1100, n), "thirds": lambda: rng.integers(600, 720, n), "few": lambda: rng.choice([3, 700, 1400], n)}[kind]()
+KINDS = {
+    "lognormal": lambda rng, n: np.clip(rng.lognormal(5.5, 1.2, n).astype(int) + 1, 1, 2047),
+    "halves": lambda rng, n: rng.integers(500, 1100, n),
+    "thirds": lambda rng, n: rng.integers(600, 720, n),
+    "few": lambda rng, n: rng.choice([3, 700, 1400], n),
+    "uniform": lambda rng, n: rng.integers(1, 2049, n),
+    "below a third": lambda rng, n: rng.integers(640, 701, n),
+    "halves and small": lambda rng, n: np.concatenate([rng.integers(900, 1201, n // 2), rng.integers(60, 201, n // 2)]),
+    "quarters": lambda rng, n: rng.integers(400, 561, n),
+    "two only": lambda rng, n: rng.integers(700, 1001, n),
+}
+
+
+@pytest.mark.parametrize(
+    "kind, n",
+    [("lognormal", 200), ("lognormal", 1100), ("lognormal", 20_000), ("halves", 3000), ("thirds", 1000), ("few", 500)]
+    + [("uniform", 5000), ("below a third", 5000), ("halves and small", 6000), ("quarters", 4000), ("two only", 4000)],
+)
+@pytest.mark.parametrize("seed", [11, 12])
+def test_at_most_one_sequence_more_than_best_fit(kind, n, seed):
+    lengths = KINDS[kind](np.random.default_rng(seed), n)
     values, counts = np.unique(lengths, return_counts=True)
-    assert packing.solve(dict(zip(values.tolist(), counts.tolist()))).sequences <= best_fit_decreasing(lengths.tolist())
+    plan = packing.solve(dict(zip(values.tolist(), counts.tolist())))
+    left = np.bincount(lengths, minlength=2049)
+    assert packing.lower_bound(left, 2048) <= plan.sequences <= best_fit_decreasing(lengths.tolist()) + 1
+    ordered = np.sort(lengths)
+    sequence, offset = plan.place(ordered, np.arange(len(ordered)) - np.searchsorted(ordered, ordered))
+    assert check_packing(list(zip(sequence.tolist(), offset.tolist(), ordered.tolist())), None) == plan.sequences
+
+
+def test_lower_bound_by_all_thresholds():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        capacity = int(rng.integers(6, 30))
+        lengths = rng.integers(1, capacity + 1, rng.integers(0, 20))
+        large = [x for x in lengths if 2 * x > capacity]
+        bounds = []
+        for t in range(capacity // 2 + 1):
+            middle = [x for x in large if x <= capacity - t]
+            volume = sum(x for x in lengths if t <= x <= capacity // 2)
+            bounds.append(len(large) + max(0, math.ceil((volume - sum(capacity - x for x in middle)) / capacity)))
+        assert packing.lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity) == max(bounds)
 
 
 def test_prices_by_brute_force():
