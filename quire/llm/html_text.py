@@ -12,7 +12,7 @@ Names of elements are soft: a class, id or role that consists of words for
 boilerplate and of words for page parts ("related-posts") tells much, one that only holds such a word
 among others ("related-work") tells little, one that says that there is or isn't such a
 part ("has-sidebar", "no-ads") nothing. What a wrapper is called does not count where
-the article lies inside it. All steps but the cut take time in proportion to the page,
+the article lies inside it: a marked article, or all paragraphs of a page that has no other text, however short. All steps but the cut take time in proportion to the page,
 however deep its elements nest.
 """
 
@@ -53,11 +53,13 @@ BOILER_TAGS = frozenset("nav footer aside form menu dialog search select fieldse
 MAIN_TAGS = frozenset(["article", "main"])
 BOILER_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense banner breadcrumb breadcrumbs consent contentinfo cookie cookies "
-    "copyright dialog disclaimer footer gdpr legal login menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo "
+    "copyright dialog disclaimer footer gdpr legal login menu menubar modal nav navbar navigation newsletter next notice notices notification overlay pager pagination popup prev previous promo "
     "promoted promotion recommended recommendations related search share sharing sidebar signup skip social sponsor sponsored subscribe "
     "subscription toolbar topbar widget widgets complementary alert".split()
 )
-COMMENT_WORDS = frozenset("comment comments commentlist discussion disqus replies reply respond".split())
+COMMENT_WORDS = frozenset("comment comments commentlist discussion disqus feedback replies reply respond reviews".split())
+#: Words for boxes that may hold anything: where a page has no other content, such a box holds its article.
+HOLDER_WORDS = frozenset("alert banner dialog legal modal notice overlay popup widget widgets".split())
 HEAD_WORDS = frozenset(["header", "masthead"])
 MAIN_WORDS = frozenset("article content entry main post story".split())
 #: Words for parts of a page that say nothing of what is in them.
@@ -69,6 +71,8 @@ PART_WORDS = frozenset(
 HAVING = frozenset("has have no not with without is hide hides show shows".split())
 W_MAIN, W_OUTSIDE, W_UNMARKED, W_BOILER, W_WEAK = 3.0, -3.5, -0.5, -9.0, -1.2
 W_PARAGRAPH, W_HEADING, W_ITEM, W_BARE, W_LENGTH, W_LINKS = 1.2, 0.8, -0.6, 0.6, 1.0, -4.0
+#: Of pages without a marked article: a block with words outside links. What part of links counts in the article, and in a paragraph with such words.
+W_WORDS, LINKED_PROSE = 0.9, 0.4
 #: A name's evidence counts for its first levels.
 WEAK_LEVELS = 2
 #: Characters without links that make a block prose; share of a page's prose that makes a wrapper the article's; and how much that is at least.
@@ -95,6 +99,7 @@ class Element:
     main: bool = False
     strong: bool = False
     comments: bool = False
+    holder: bool = False
     head: bool = False
     weak: int = 0
     hidden: bool = False
@@ -110,37 +115,39 @@ class Block:
     text: str
     element: Element
     linked: int
+    worded: bool = False  # it has words outside links
     evidence: float = field(default=0.0)
 
 
 @lru_cache(maxsize=4096)
-def name_says(name: str) -> tuple[bool, bool, bool, bool, bool]:
-    """(main, strong, comments, head, weak) of a class, id or role."""
+def name_says(name: str) -> tuple[bool, bool, bool, bool, bool, bool]:
+    """(main, strong, comments, holder, head, weak) of a class, id or role."""
     words = [w.lower() for w in _WORD.findall(name)]
     if not words or words[0] in HAVING:
-        return False, False, False, False, False
+        return False, False, False, False, False, False
     parts = [w for w in words if not w.isdigit()]
     told = [w for w in parts if w in BOILER_WORDS or w in COMMENT_WORDS]
     head = any(w in HEAD_WORDS for w in parts)
     whole = bool(told) and all(w in BOILER_WORDS or w in COMMENT_WORDS or w in PART_WORDS or w in HEAD_WORDS for w in parts)
     main = bool(parts) and not told and not head and any(w in MAIN_WORDS for w in parts) and all(w in MAIN_WORDS or w in PART_WORDS for w in parts)
     alone = head and not told and all(w in HEAD_WORDS or w in PART_WORDS for w in parts) and not (set(parts) & {"article", "entry", "post", "story"})
-    return main, whole, whole and any(w in COMMENT_WORDS for w in told), alone, bool(told) and not whole
+    return main, whole, whole and any(w in COMMENT_WORDS for w in told), whole and all(w in HOLDER_WORDS for w in told), alone, bool(told) and not whole
 
 
 def _open(tag: str, attributes: str, parent: Element) -> Element:
     at = Element(tag, parent, parent.depth + 1, parent.block)
     if tag in BLOCK:
         at.block = at
-    named = False
+    named, others = False, tag in BOILER_TAGS and tag not in ("form", "fieldset")
     for name, *values in _NAMED.findall(attributes) if attributes else ():
         name, value = name.lower(), "".join(values)
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value):
             at.hidden = True
         elif name in ("class", "id", "role"):
             for one in value.split():
-                main, strong, comments, head, weak = name_says(one)
+                main, strong, comments, holder, head, weak = name_says(one)
                 named |= main
+                others |= strong and not holder
                 at.strong |= strong
                 at.comments |= comments
                 at.head |= head
@@ -153,8 +160,9 @@ def _open(tag: str, attributes: str, parent: Element) -> Element:
     at.hidden |= tag in UNSEEN
     at.head |= tag == "header"
     at.strong |= tag in BOILER_TAGS
+    at.holder = at.strong and not others
     if tag == "main":
-        at.strong = at.comments = at.head = False
+        at.strong = at.comments = at.head = at.holder = False
     return at
 
 
@@ -165,14 +173,14 @@ def read_blocks(page: str) -> tuple[list[Block], list[Element]]:
     stack, elements, blocks, buffer = [root], [root], [], []
     where: dict[str, list[int]] = {}  # of each tag, the places in the stack where it is open
     unclosed: set[str] = set()  # tags that aren't closed anywhere behind the current place
-    linked = 0
+    linked, worded = 0, False
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, worded
         if buffer and (text := " ".join("".join(buffer).split())):
-            blocks.append(Block(text, stack[-1].block, linked))
+            blocks.append(Block(text, stack[-1].block, linked, worded))
         buffer.clear()
-        linked = 0
+        linked, worded = 0, False
 
     def pop_to(index: int) -> None:
         while len(stack) > index:
@@ -193,7 +201,7 @@ def read_blocks(page: str) -> tuple[list[Block], list[Element]]:
         return found
 
     def say(raw: str) -> None:
-        nonlocal linked
+        nonlocal linked, worded
         e = stack[-1]
         if (e.boiler or e.hidden) and not (e.block.boiler or e.block.hidden):
             return  # hidden or boilerplate within a block's text
@@ -201,6 +209,8 @@ def read_blocks(page: str) -> tuple[list[Block], list[Element]]:
         buffer.append(text)
         if where.get("a"):
             linked += len(text.strip())
+        else:
+            worded = worded or any(map(str.isalnum, text))
 
     at, end = 0, len(page)
     while at < end:
@@ -305,12 +315,40 @@ def _free(elements: list[Element], blocks: list[Block]) -> set[int]:
     most = max((e for e in elements if e.main and not shut[id(e)][1]), key=lambda e: e.prose, default=None)
     if most is not None and 2 * most.prose >= max(whole, 1):
         return chain(most)
+    box = _only_box(elements, blocks)
+    if box is not None:
+        return chain(box)
     if whole < ENOUGH:
         return set()
     layout = [e for e in elements if e.strong and not shut[id(e)][1] and (e.tag not in BOILER_TAGS or e.tag in ("form", "fieldset")) and e.prose >= MOST * whole]
     return {id(e) for e in layout}
 
 
+def _only_box(elements: list[Element], blocks: list[Block]) -> Element | None:
+    """The innermost form or box that holds all paragraphs that could be the page's article, however short it is; none where a text
+    that isn't a heading or links stands outside of forms, boxes and boilerplate."""
+    inside: dict[int, tuple[bool, bool]] = {}  # (in a form or box, in other boilerplate)
+    for e in elements:
+        boxed, other = inside[id(e.parent)] if e.parent is not None else (False, False)
+        inside[id(e)] = boxed or e.strong, other or e.hidden or e.strong and not e.holder
+    paragraphs: dict[int, int] = {id(e): 0 for e in elements}
+    total = 0
+    for b in blocks:
+        boxed, other = inside[id(b.element)]
+        if other or not b.worded:
+            continue
+        if not boxed and not b.element.head and b.element.tag not in ("h1", "h2", "h3", "h4", "h5", "h6"):
+            return None
+        if boxed and b.element.tag in ("p", "blockquote", "pre"):
+            paragraphs[id(b.element)] += 1
+            total += 1
+    for e in reversed(elements):
+        if e.parent is not None:
+            paragraphs[id(e.parent)] += paragraphs[id(e)]
+    around = [e for e in elements if total and e.strong and e.holder and not e.hidden and paragraphs[id(e)] == total]
+    return around[-1] if around else None
+
+
 def inherit(elements: list[Element], blocks: list[Block]) -> None:
     """What elements have from those around them: whether they lie in the article, in boilerplate, and how many weak names stand above."""
     free = _free(elements, blocks)
@@ -339,7 +377,9 @@ def weigh(blocks: list[Block]) -> None:
             x += W_ITEM
         elif tag in ("#root", "body") and not whole:
             x += W_BARE
-        x += W_LENGTH * min(1.5, size / 120) + W_LINKS * min(1.0, b.linked / size) * (0.4 if b.element.in_main else 1.0)
+        x += W_WORDS * (b.worded and not whole)
+        prose = b.element.in_main or tag == "p" and b.worded and not whole
+        x += W_LENGTH * min(1.5, size / 120) + W_LINKS * min(1.0, b.linked / size) * (LINKED_PROSE if prose else 1.0)
         b.evidence = x + W_WEAK * b.element.weakness + (W_BOILER if b.element.boiler else 0.0)
 
 

@@ -57,6 +57,30 @@ def test_cut_decides():
     assert [b.evidence > 0 for b, _ in html_text.labelled(page)] == [True, False, True]
 
 
+@pytest.mark.parametrize("many", [1, 2, 3, 4, 8])
+@pytest.mark.parametrize("page", ["<form>{}</form>", '<div class="widget">{}</div>', '<div class="notice">{}</div>', '<nav><a href=x>a</a></nav><h1></h1><form><div class="widget">{}</div></form><footer>(c)</footer>'])
+def test_boxes_hold_articles_of_every_length(page, many):
+    for text in (LONG, "Short one."):
+        assert html_text.main_text(page.format(f"<p>{text}</p>" * many)) == "\n".join([text] * many)
+
+
+@pytest.mark.parametrize("page, text", [
+    ('<p>Short one.</p><div class="notice"><p>We use them.</p></div>', "Short one."), ('<div>Short one.</div><form><p>Your mail</p></form>', "Short one."), ('<div class="ad"><p>Buy now.</p></div>', ""),
+    ('<div class="cookie-notice"><p>We use them.</p></div>', ""), ("<p>see <a href=x>this link</a></p>", "see this link"), ("<body><div>short</div></body>", "short"), ("<p><a href=x>Home</a> | <a href=y>About</a></p>", ""),
+    (f"<p>{LONG}</p><ul><li>a</li><li>b</li></ul><p>{LONG}</p>", f"{LONG}\na\nb\n{LONG}"), (f'<article><p>{LONG}</p><div class="user-reviews"><p>Nice.</p></div><div class="PrevNext"><a href=x>Before</a></div></article>', LONG),
+    (f'<article><p>{LONG}</p><section id="feedback"><p>Well said.</p></section></article>', LONG), (f'<article><p>{LONG}</p><div id="next-steps"><p>{LONG}</p></div></article>', f"{LONG}\n{LONG}"),
+])
+def test_short_content(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_items_stay_by_their_neighbours():
+    """List items are boilerplate by their own evidence; between paragraphs the cut keeps them, alone it doesn't."""
+    page = f"<p>{LONG}</p><ul><li>a</li><li>b</li></ul><p>{LONG}</p>"
+    assert [b.evidence > 0 for b, _ in html_text.labelled(page)] == [True, False, False, True]
+    assert [keep for _, keep in html_text.labelled(page)] == [True] * 4 and html_text.main_text("<ul><li>a</li><li>b</li></ul>") == ""
+
+
 def random_page(rng):
     """A page of at most a dozen texts."""
 
