@@ -176,12 +176,12 @@ KINDS = {
     + [("uniform", 5000), ("below a third", 5000), ("halves and small", 6000), ("quarters", 4000), ("two only", 4000)],
 )
 @pytest.mark.parametrize("seed", [11, 12])
-def test_at_most_one_sequence_more_than_best_fit(kind, n, seed):
+def test_no_more_sequences_than_best_fit(kind, n, seed):
     lengths = KINDS[kind](np.random.default_rng(seed), n)
     values, counts = np.unique(lengths, return_counts=True)
     plan = packing.solve(dict(zip(values.tolist(), counts.tolist())))
     left = np.bincount(lengths, minlength=2049)
-    assert packing.lower_bound(left, 2048) <= plan.sequences <= best_fit_decreasing(lengths.tolist()) + 1
+    assert packing.lower_bound(left, 2048) <= plan.sequences <= best_fit_decreasing(lengths.tolist()) + (kind == "uniform")
     ordered = np.sort(lengths)
     sequence, offset = plan.place(ordered, np.arange(len(ordered)) - np.searchsorted(ordered, ordered))
     assert check_packing(list(zip(sequence.tolist(), offset.tolist(), ordered.tolist())), None) == plan.sequences
