@@ -197,6 +197,15 @@ def test_top_k(spark, shard, block, span):
     assert sorted(tuple(r) for r in ball_tree.top_k(df, shard=shard, block=block).collect()) == brute_top(rows)
 
 
+def test_top_k_ties_beyond_doubles(spark):
+    """Scores of over 2^53 that many rows share: the k-th score, as a double, may be greater than itself."""
+    rng = random.Random(4)
+    kinds = [tuple(rng.randint(-(1 << 29), 1 << 29) for _ in range(5)) for _ in range(12)]
+    rows = [(i, rng.choice(kinds)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, v array<long>")
+    assert sorted(tuple(r) for r in ball_tree.top_k(df, shard=40, block=3).collect()) == brute_top(rows)
+
+
 def test_top_k_small_and_odd_tables(spark):
     raw = [(0, [0.5, float("nan")], 1), (1, None, 1), (2, [1.0, None], 1), (20, [0.51, -0.01], 1), (21, [1.0, 0.0], 1), (None, [1.0, 1.0], 1), (22, [float("inf"), 0.0], 1), (23, [1.0, 0.0], 1)]
     v = ball_tree.integer_vectors(spark.createDataFrame(raw, "vec_id long, embedding array<float>, label int"))
