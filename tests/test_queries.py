@@ -41,3 +41,10 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_phones_of_seven_digits(spark, tmp_path):
+    texts = ["call 9.179.169 now", "or +91 (044) 5550-0199", "nothing"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = catalog.queries()["phone_normalized"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [tuple(r) for r in found] == [(0, "9.179.169", "9 179 169"), (1, "+91 (044) 5550-0199", "+91 044 5550 0199")]
