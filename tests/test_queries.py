@@ -48,3 +48,11 @@ def test_phones_of_seven_digits(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = catalog.queries()["phone_normalized"](spark, str(tmp_path)).orderBy("doc_id").collect()
     assert [tuple(r) for r in found] == [(0, "9.179.169", "9 179 169"), (1, "+91 (044) 5550-0199", "+91 044 5550 0199")]
+
+
+def test_vocabulary_comes_from_parts(spark, tmp_path):
+    rows = [(1, "Red bolt", "PROMO TIN", "Brand#2", 30), (2, "blue nut", "SMALL TIN", "Brand#1", 3), (3, "red bolt", "PROMO TIN", "Brand#1", 40)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    found = {r["variant"]: (r["nosep"], r["canon"], r["prio"]) for r in catalog.queries()["vocabulary_extend"](spark, str(tmp_path)).collect()}
+    last = 1 << 20
+    assert found == {"promo tin": ("promotin", "Brand#1", 1), "small tin": ("smalltin", "Brand#1", 2), "red bolt": ("redbolt", "Brand#1", last), "blue nut": ("bluenut", "Additional Information", last)}
