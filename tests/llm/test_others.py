@@ -234,6 +234,33 @@ def test_bradley_terry_learns_and_falls_back():
         assert np.sign(flat.slope * (0 - flat.threshold)) == sign
 
 
+def test_all_pairs_of_all_rows_count(spark):
+    """Held against the plain loss over all pairs, and rows in Spark against the same rows in arrays."""
+    rng = np.random.default_rng(3)
+    x = np.abs(rng.normal(size=(400, len(quality.NAMES))))
+    good = x[:, 0] + 0.5 * x[:, 2] - x[:, 3] + 0.5 * rng.normal(size=400) > 0.1
+    model = quality.bradley_terry(x, good)
+    scale = x.std(axis=0) + 1e-6
+    d = ((x[good][:, None] - x[~good][None]) / scale).reshape(-1, x.shape[1])
+    w = np.array(model.weights) * scale
+    slope = d.T @ (1 / (1 + np.exp(-(d @ w))) - 1) / len(d) + quality.RIDGE * w
+    assert np.abs(slope).max() < 1e-3 and np.abs(w).max() > 0.1
+    ordered = np.sort(x @ np.array(model.weights))
+    assert abs(model.threshold - ordered[(~good).sum() - 1 : (~good).sum() + 1].mean()) < 1e-9
+    ids = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5][:400]
+    held = spark.createDataFrame([(i, r.tolist()) for i, r in zip(ids, x)], "doc_id long, x array<double>")
+    assert quality.learn(held.repartition(7), spark.createDataFrame([(i, int(g)) for i, g in zip(ids, good)], "doc_id long, quality int")) == model
+
+
+@pytest.mark.parametrize("few", [1, 4096])
+def test_ranks_are_exact(spark, monkeypatch, few):
+    monkeypatch.setattr(quality, "FEW", few)
+    monkeypatch.setattr(quality, "BINS", 4)
+    values = [0.1, 0.1, 0.1, -7.5, 1e9, 3.0, 3.0 + 1e-15, 2.0]
+    df = spark.createDataFrame([(v,) for v in values], "s double")
+    assert [quality.ranked(df, k) for k in range(len(values))] == sorted(values)
+
+
 def test_quality_of_documents(spark, documents, awkward):
     rng = random.Random(1)
     words = ["the", "of", "lamp", "river", "house,", "green."]
