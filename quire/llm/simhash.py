@@ -18,10 +18,10 @@ distinct fingerprints; copies never meet.
   and no word has more than 65 of them.
 * Links make components (see ``components``).
 
-``drop_near_copies``, the pipeline's stage, has a criterion of its own: texts whose sets
-of five-word shingles have a Jaccard similarity of at least 0.8 are linked.
+``drop_near_copies``, the pipeline's stage, takes these links of fingerprints as candidates, verifies them, and adds those that two
+bits miss: texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8 are linked.
 
-* Candidates share a band of five least hashes. Of pairs with a similarity of 0.8 a part
+* Further candidates share a band of five least hashes. Of pairs with a similarity of 0.8 a part
   of (1 - 0.8^5)^40 = 1.2e-7 shares none of the 40 bands, of more similar ones less.
 * Work is on distinct sets; only sets with a candidate are made a second time, and
   every link is verified by the sets themselves.
@@ -262,25 +262,27 @@ def band_keys(own: np.ndarray) -> np.ndarray:
     return ((least.reshape(BANDS, ROWS) * _MIX[:ROWS]).sum(axis=1, dtype=np.uint64) ^ _BAND).view(np.int64)
 
 
-def similar_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket: int = BUCKET, pivots: int = PIVOTS) -> DataFrame:
+def similar_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket: int = BUCKET, pivots: int = PIVOTS, bands: int = BANDS) -> DataFrame:
     """One row per row of ``df``: doc_id, h (a hash of the text), component (a number of its group), component_id: the smallest doc_id reachable over similarities of at least 0.8.
 
-    Texts without words are copies of one another. Null ids have no say in component_id.
+    Candidates are fingerprints that differ in at most two bits, and sets that share one of ``bands`` bands. Texts without words are copies of one another. Null ids have no say in component_id.
     """
     own = df.select(text_or_empty(text).alias("text"), F.col(doc_id).alias("doc_id"), text_hash(text).alias("h"))
 
     def banded(batches):
         for batch in batches:
             sets = [shingle_set(x.as_py()) for x in batch.column(0)]
-            columns = [pa.array([set_name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *columns], names=["doc_id", "h", "f", "n", "keys"])
+            columns = [pa.array([set_name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([band_keys(s)[:bands] for s in sets], pa.list_(pa.int64()))]
+            columns.append(pa.array(np.array([fingerprint(x.as_py()) for x in batch.column(0)], np.uint64).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *columns], names=["doc_id", "h", "f", "n", "keys", "p"])
 
-    rows = cut(own.mapInArrow(banded, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, h bigint, f bigint, n bigint, keys array<bigint>"))
+    rows = cut(own.mapInArrow(banded, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, h bigint, f bigint, n bigint, keys array<bigint>, p bigint"))
     distinct = rows.groupBy("f").agg(F.min("doc_id").alias("least"))
     keyed = rows.groupBy("f").agg(F.first("n").alias("n"), F.first("keys").alias("keys")).select("f", "n", F.explode("keys").alias("key"))
     same = Window.partitionBy("key")
     shared = cut(keyed.select("key", "f", "n", F.count("*").over(same).alias("m")).where("m > 1"))
-    wanted = rows.join(shared.select("f").distinct(), "f", "left_semi").select("h").distinct()
+    by_print = cut(_by_print(rows, bucket))
+    wanted = rows.join(shared.select("f").union(by_print.select("f_a")).union(by_print.select("f_b")).distinct(), "f", "left_semi").select("h").distinct()
 
     def whole(batches):
         for batch in batches:
@@ -302,7 +304,7 @@ def similar_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bu
     both = F.col("u_a").isNotNull() & F.col("u_b").isNotNull()  # rare shingles are counted among the sets of full bands
     close = 9 * F.when(both, F.least(F.col("n_a") - F.col("u_a"), F.col("n_b") - F.col("u_b"))).otherwise(F.least("n_a", "n_b")) >= 4 * (F.col("n_a") + F.col("n_b"))
     pairs = first.join(second, "key").where(F.col("r_a") < F.col("r_b")).where(close).where((F.col("m_a") <= bucket) | (F.col("r_a") <= pivots))
-    found = cut(_similar(pairs.select("f_a", "f_b").unionByName(by_rare), sets))
+    found = cut(_similar(pairs.select("f_a", "f_b").unionByName(by_rare).unionByName(by_print), sets))
     crowded = shared.where((F.col("m") > bucket) & (F.col("m") > pivots))
     if not crowded.isEmpty():
         classes = components(found).select(F.col("node").alias("f"), "component")
@@ -319,6 +321,15 @@ def similar_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bu
     return rows.join(known, F.col("f") == F.col("g")).select("doc_id", "h", "component", "component_id")
 
 
+def _by_print(rows: DataFrame, bucket: int) -> DataFrame:
+    """(f_a, f_b): sets whose texts' fingerprints (p) are linked; the least set of a fingerprint stands for it, and is paired with its others."""
+    known = cut(rows.where("n > 0").select("p", "f").distinct())
+    named = cut(known.groupBy("p").agg(F.min("f").alias("own")))
+    x, y = (named.select(F.col("p").alias(s), F.col("own").alias(f"f_{s}")) for s in "ab")
+    near = links(named.select(F.col("p").alias("f")), bucket).join(x, "a").join(y, "b").select("f_a", "f_b")
+    return near.unionByName(known.join(named, "p").select(F.col("own").alias("f_a"), F.col("f").alias("f_b"))).where("f_a <> f_b")
+
+
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): of pairs (f_a, f_b) those whose sets have a similarity of at least 0.8."""
     x, y = (sets.select(F.col("f").alias(f"f_{s}"), F.col("shingles").alias(f"set_{s}")) for s in "ab")
@@ -327,7 +338,7 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(df: DataFrame) -> DataFrame:
-    """Of each group of similar texts (``similar_groups``) one row of ``df``, the one with the smallest doc_id, with its own columns.
+    """Of each group of near copies (``similar_groups``) one row of ``df``, the one with the smallest doc_id, with its own columns.
 
     Rows are told apart by id and text: of several texts with the smallest id one stays, the one with the least hash; rows
     without an id stay only where a group has no others; of repeated rows one stays, the least in its other

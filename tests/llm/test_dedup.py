@@ -209,6 +209,18 @@ def test_drop_near_copies_finds_planted_pairs(spark, documents, bucket, pivots):
         assert sorted(r["doc_id"] for r in simhash.drop_near_copies(documents(rows)).collect()) == want
 
 
+def test_fingerprints_are_candidates(spark, documents):
+    """Without bands those links remain whose fingerprints differ in at most two bits, if the sets are similar."""
+    rng = random.Random(7)
+    text = lambda n: " ".join(f"w{rng.randint(0, 9999)}" for _ in range(n))
+    often, long = "river stone lamp walks green house tree " * 200, text(3000)
+    rows = [(1, often + text(30)), (2, often + text(30)), (3, long), (4, long + " more"), (5, text(30)), (6, ""), (7, None)]
+    prints = [brute_print(t) for _, t in rows]
+    assert (prints[0] ^ prints[1]).bit_count() <= 2 and (prints[2] ^ prints[3]).bit_count() <= 2
+    groups = simhash.similar_groups(documents(rows), bands=0).collect()
+    assert sorted(r["doc_id"] for r in groups if r["doc_id"] == r["component_id"]) == [1, 2, 3, 5, 6] == brute_similar(rows)[0]
+
+
 def test_large_group_of_similar_texts(spark, documents):
     rng = random.Random(6)
     words, rows = [f"w{i}" for i in range(150)], []
