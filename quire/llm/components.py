@@ -3,6 +3,7 @@
 Large-star and small-star steps alternate until nothing changes: every node
 links its larger neighbours to the least it knows of, then its smaller ones. The
 links never grow in number, and end as a star from each component's least node.
+Few links are read by few tasks, and each round's shuffle files go before the next.
 """
 
 from __future__ import annotations
@@ -10,7 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import cut
+from quire.llm.shared import cut, release
+
+#: Links that a task reads at least, if there are so many.
+LINKS = 1 << 18
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -34,13 +38,20 @@ def components(links: DataFrame) -> DataFrame:
     now = cut(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     state = _state(now)
     while True:
-        now = cut(_small_star(_large_star(now)))
+        release(links.sparkSession)
+        now = cut(_small_star(_large_star(_gathered(now, state[0]))))
         if (after := _state(now)) == state:
             break
         state = after
+    now = _gathered(now, state[0])
     return now.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
 
 
+def _gathered(links: DataFrame, count: int) -> DataFrame:
+    """``links`` in one partition for each ``LINKS`` of them, if they have more."""
+    return links.coalesce(-(-count // LINKS) or 1)
+
+
 def _state(links: DataFrame) -> tuple:
     """Of a set of links: their number, and a sum of hashes that does not depend on their order."""
     return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())

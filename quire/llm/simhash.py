@@ -25,10 +25,10 @@ bits miss: texts whose sets of five-word shingles have a Jaccard similarity of a
   of (1 - 0.8^5)^40 = 1.2e-7 shares none of the 40 bands, of more similar ones less.
 * Work is on distinct sets; only sets with a candidate are made a second time, and
   every link is verified by the sets themselves.
-* In a band that more than ``BUCKET`` sets share, all are compared with the ``PIVOTS`` of
-  them that have the fewest rare shingles, and those that share a rare shingle with each
-  other; then those that still lie in different components are compared pair by pair, but
-  for pairs that have too many rare shingles to be similar. Nothing is capped.
+* In every band all sets are compared with ``PIVOTS`` of them first, those with the fewest rare
+  shingles; only pairs that then lie in different components are compared further, for
+  others can't change the groups. Of bands that more than ``BUCKET`` sets share these are the pairs
+  that share a rare shingle, and those that don't have too many rare ones to be similar. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm.components import components
-from quire.llm.shared import cut, known_rows, table, text_hash, text_or_empty, without_rows
+from quire.llm.shared import cut, known_rows, release, table, text_hash, text_or_empty, without_rows
 
 #: White space between words; a word is a run of other characters.
 WHITE = " \t\n\x0b\x0c\r"
@@ -49,7 +49,7 @@ WORDS, SEED = 3, 42
 BUCKET = 64
 #: Words that are hashed at a time.
 STRETCH = 1 << 16
-#: The stage's shingles; bands and least hashes of a band; sets of a full band that all its others are compared with first.
+#: The stage's shingles; bands and least hashes of a band; sets of a band that all its others are compared with first.
 STAGE_WORDS, BANDS, ROWS, PIVOTS = 5, 40, 5, 4
 #: Sets of full bands that may have a rare shingle.
 RARE = 16
@@ -281,7 +281,9 @@ def similar_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bu
     keyed = rows.groupBy("f").agg(F.first("n").alias("n"), F.first("keys").alias("keys")).select("f", "n", F.explode("keys").alias("key"))
     same = Window.partitionBy("key")
     shared = cut(keyed.select("key", "f", "n", F.count("*").over(same).alias("m")).where("m > 1"))
+    release(df.sparkSession)
     by_print = cut(_by_print(rows, bucket))
+    release(df.sparkSession)
     wanted = rows.join(shared.select("f").union(by_print.select("f_a")).union(by_print.select("f_b")).distinct(), "f", "left_semi").select("h").distinct()
 
     def whole(batches):
@@ -290,31 +292,38 @@ def similar_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bu
             yield pa.RecordBatch.from_arrays([pa.array([set_name(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["f", "shingles"])
 
     sets = cut(own.join(wanted, "h", "left_semi").select("text").mapInArrow(whole, "f bigint, shingles array<bigint>").dropDuplicates(["f"]))
-    full = shared.where((F.col("m") > bucket) & (F.col("m") > pivots)).select("f").distinct()
+    more = F.col("m") > pivots + 1  # of fewer sets the pivots meet all
+    release(df.sparkSession)
+    full = shared.where((F.col("m") > bucket) & more).select("f").distinct()
     # Of the sets of full bands those that share a rare shingle are compared for that; for all other pairs the rare ones bound
     # the similarity. The set with the fewest is the likeliest centre.
     own_shingles = sets.join(full, "f", "left_semi").select("f", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     rare = cut(own_shingles.join(own_shingles.groupBy("s").agg(F.count("*").alias("c")).where(F.col("c") <= RARE), "s"))
     lone = full.join(rare.groupBy("f").agg(F.count("*").alias("u")), "f", "left").select(F.col("f").alias("g"), F.coalesce("u", F.lit(0)).alias("u"))
-    first, second = (rare.where("c > 1").select("s", *[F.col(c).alias(f"{c}_{x}") for c in ("f", "n")]) for x in "ab")
-    by_rare = first.join(second, "s").where("f_a < f_b and 5 * n_a >= 4 * n_b and 5 * n_b >= 4 * n_a").select("f_a", "f_b")
     bounded = shared.join(lone, F.col("f") == F.col("g"), "left").select("key", "f", "n", "m", "u")
     shared = cut(bounded.withColumn("r", F.row_number().over(same.orderBy("u", "f"))))
-    first, second = (shared.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("f", "n", "u", "r", "m")]) for x in "ab")
+    release(df.sparkSession)
+    first, second = (shared.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("f", "n", "u", "r")]) for x in "ab")
     both = F.col("u_a").isNotNull() & F.col("u_b").isNotNull()  # rare shingles are counted among the sets of full bands
     close = 9 * F.when(both, F.least(F.col("n_a") - F.col("u_a"), F.col("n_b") - F.col("u_b"))).otherwise(F.least("n_a", "n_b")) >= 4 * (F.col("n_a") + F.col("n_b"))
-    pairs = first.join(second, "key").where(F.col("r_a") < F.col("r_b")).where(close).where((F.col("m_a") <= bucket) | (F.col("r_a") <= pivots))
-    found = cut(_similar(pairs.select("f_a", "f_b").unionByName(by_rare).unionByName(by_print), sets))
-    crowded = shared.where((F.col("m") > bucket) & (F.col("m") > pivots))
-    if not crowded.isEmpty():
-        classes = components(found).select(F.col("node").alias("f"), "component")
-        placed = crowded.join(classes, "f", "left").select("key", "f", "n", "u", "r", F.coalesce("component", "f").alias("c"))
+    pairs = first.where(F.col("r_a") <= pivots).join(second, "key").where("r_a < r_b").where(close)
+    classes = cut(components(_similar(pairs.select("f_a", "f_b").unionByName(by_print), sets)))
+    release(df.sparkSession)
+    later = shared.where(more)
+    if not later.isEmpty():
+        known = classes.select(F.col("node").alias("f"), "component")
+        placed = later.join(known, "f", "left").select("key", "f", "n", "u", "r", F.coalesce("component", "f").alias("c"))
         several = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
         placed = cut(placed.join(several, "key", "left_semi"))
         first, second = (placed.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("f", "n", "u", "r", "c")]) for x in "ab")
-        rest = first.join(second, "key").where((F.col("r_a") < F.col("r_b")) & (F.col("r_a") > pivots) & (F.col("c_a") != F.col("c_b"))).where(close)
-        found = found.unionByName(_similar(rest, sets))
-    named = components(found).join(distinct, F.col("node") == F.col("f")).select("f", "component", "least")
+        rest = first.where(F.col("r_a") > pivots).join(second, "key").where("r_a < r_b and c_a <> c_b").where(close).select("f_a", "f_b")
+        apart = rare.where("c > 1").join(known, "f", "left").select("s", "f", "n", F.coalesce("component", "f").alias("c"))
+        first, second = (apart.select("s", *[F.col(c).alias(f"{c}_{x}") for c in ("f", "n", "c")]) for x in "ab")
+        by_rare = first.join(second, "s").where("f_a < f_b and c_a <> c_b and 5 * n_a >= 4 * n_b and 5 * n_b >= 4 * n_a").select("f_a", "f_b")
+        found = cut(_similar(rest.unionByName(by_rare), sets))
+        if not found.isEmpty():
+            classes = cut(components(classes.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(found)))
+    named = classes.join(distinct, F.col("node") == F.col("f")).select("f", "component", "least")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     linked = named.join(least, "component").select(F.col("f").alias("g"), "component", "component_id")
     known = cut(distinct.join(linked, F.col("f") == F.col("g"), "left").select(F.col("f").alias("g"), F.coalesce("component", "f").alias("component"), F.coalesce("component_id", "least").alias("component_id")))

@@ -156,6 +156,22 @@ def test_components_of_chains_and_cycles(spark):
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 102: 100, 150: 150, 200: 150}
 
 
+def test_components_leave_no_shuffle_files_of_earlier_rounds(spark, monkeypatch):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        names = blocks.getAllFiles().mkString("\n")
+        return {int(x) for x in re.findall(r"/shuffle_(\d+)_", names)}
+
+    before, rounds, cut = shuffles(), [], components.cut
+    monkeypatch.setattr(components, "cut", lambda df: rounds.append(shuffles() - before) or cut(df))
+    chain = spark.createDataFrame([(i, i + 1) for i in range(100)], "a long, b long")
+    got = {r["component"] for r in components.components(chain).collect()}
+    assert got == {0} and len(rounds) > 5
+    made = [now - earlier for earlier, now in zip(rounds, rounds[1:])]  # by the round before
+    assert all(made) and not any(own & later for own, later in zip(made, rounds[3:]))
+
+
 def test_drop_near_copies_keeps_columns(spark, documents):
     df = documents([(5, "same words here today"), (3, "same  words here today"), (9, "quite another text altogether now")])
     kept = simhash.drop_near_copies(df)
