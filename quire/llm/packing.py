@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.shared import cut, table, text_or_empty
 from quire.llm.token_counts import cuttable, load_tokenizer, unit_encoder
-from quire.llm.units import BoundedCache, stretches, units
+from quire.llm.units import BoundedCache, stretches
 
 #: Tokens of a sequence, and the id that ends a document.
 CAPACITY, END = 2048, 0
@@ -277,12 +277,13 @@ def piece_documents(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end
 
     def pieces(batches):
         cache, tail = BoundedCache(CACHED), np.array([end], "<u4").tobytes()
-        encode = unit_encoder(tokenizer).ids if by_unit else whole_encoder(tokenizer)
+        encoder = unit_encoder(tokenizer) if by_unit else None
+        encode = None if by_unit else whole_encoder(tokenizer)
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
             for i, one in enumerate(batch.column(0).to_pylist()):
-                parts = (cache.values_of(units(s), encode) for s in stretches(one)) if by_unit else (encode([one]),)
-                ids = memoryview(b"".join(x for own in parts for x in own) + tail)
+                parts = [encoder.stretch_ids(s, cache) for s in stretches(one)] if by_unit else encode([one])
+                ids = memoryview(b"".join([*parts, tail]))
                 n = len(ids) // 4
                 at, number = 0, 0
                 while at < n:

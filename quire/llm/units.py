@@ -17,6 +17,7 @@ import numpy as np
 
 _WHITE_THEN_SPACE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S) ")
+_WHITE = re.compile(r"\s+")
 #: How the byte-level pattern splits text before merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Units that are encoded as one text.
@@ -25,6 +26,8 @@ TOGETHER = 4096
 LONGEST = 64
 #: Texts are worked on in stretches of about so many characters.
 STRETCH = 1 << 20
+#: A longer run of white space goes to the tokenizers library: at 1,000,000 characters tiktoken's matcher runs out of stack.
+LONGEST_RUN = 500_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -58,7 +61,7 @@ class UnitEncoder:
 
     Where ids are in the order of the merges, rank-based BPE gives the same ids,
     and tiktoken's is several times faster on words met for the first time; texts
-    that hold an added token go to the tokenizers library all the same.
+    that hold an added token or a very long run of white space go to the tokenizers library all the same.
     """
 
     def __init__(self, tokenizer) -> None:
@@ -81,8 +84,14 @@ class UnitEncoder:
         ranks = {bytes(letters[c] for c in k): v for k, v in vocab.items() if k not in set(self.added)}
         return tiktoken.Encoding("units", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
+    def ranked(self, text: str) -> bool:
+        """Whether ``by_rank`` encodes ``text`` as the library does."""
+        if self.by_rank is None or any(a in text for a in self.added):
+            return False
+        return len(text) <= LONGEST_RUN or all(m.end() - m.start() <= LONGEST_RUN for m in _WHITE.finditer(text))
+
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        slow = [i for i, t in enumerate(texts) if self.by_rank is None or any(a in t for a in self.added)]
+        slow = [i for i, t in enumerate(texts) if not self.ranked(t)]
         found = dict(zip(slow, self.tokenizer.encode_batch_fast([texts[i] for i in slow], add_special_tokens=False)))
         return [np.array(found[i].ids if i in found else self.by_rank(t), "<u4") for i, t in enumerate(texts)]
 
@@ -118,6 +127,16 @@ class UnitEncoder:
                 out[i] = raw[a:b]
         return out
 
+    def stretch_ids(self, stretch: str, cache: BoundedCache) -> bytes:
+        """The ids of a stretch, as ``ids`` gives them.
+
+        By rank it is encoded whole, as looking up all its units takes longer than that. For the library the units that
+        ``cache`` doesn't hold yet are enough.
+        """
+        if self.ranked(stretch):
+            return np.array(self.by_rank(stretch), "<u4").tobytes()
+        return b"".join(cache.values_of(units(stretch), self.ids))
+
 
 class BoundedCache(dict):
     """A dict that is emptied when it is full; ``base`` stays in it always. Long keys are not kept."""

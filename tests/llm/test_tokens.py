@@ -130,6 +130,26 @@ def test_packing(spark, awkward, library):
     assert sorted((r["doc_id"] or 0, r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == sorted(want)
 
 
+def test_stretches_are_encoded_whole(library):
+    encoder, cache, asked = units.UnitEncoder(library), units.BoundedCache(1000), []
+    by_rank = encoder.by_rank
+    encoder.by_rank = lambda text: asked.append(text) or by_rank(text)
+    for text in ["", "Hello world, it's  me\n" * 50, *random_texts(300, 5)]:
+        asked.clear()
+        assert encoder.stretch_ids(text, cache) == np.array(ids_of(library, text), "<u4").tobytes()
+        assert "<|endoftext|>" in text or asked == [text]  # no unit was looked up
+    assert cache and all("<|endoftext|>" not in x for x in asked)
+
+
+def test_long_runs_of_white_space(spark, documents, library):
+    texts = ["a" + "\n" * 1_000_100 + "b", "a b" + " " * 1_000_100]
+    rows = packing.piece_documents(documents(list(enumerate(texts))), NAME).collect()
+    for i, text in enumerate(texts):
+        ids, own = np.array([*ids_of(library, text), 0], "<u4"), [r for r in rows if r["doc_id"] == i]
+        assert sum(r["length"] for r in own) == len(ids)
+        assert all(r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) for r in own)
+
+
 @pytest.mark.parametrize("n, hot", [(1, 0), (300, 0), (9000, 0), (12000, 5000)])
 def test_solver_covers_and_packs_well(n, hot):
     rng = np.random.default_rng(n)
