@@ -17,7 +17,6 @@ import numpy as np
 
 _WHITE_THEN_SPACE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S) ")
-_WHITE = re.compile(r"\s+")
 #: How the byte-level pattern splits text before merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Units that are encoded as one text.
@@ -26,8 +25,8 @@ TOGETHER = 4096
 LONGEST = 64
 #: Texts are worked on in stretches of about so many characters.
 STRETCH = 1 << 20
-#: A longer run of white space goes to the tokenizers library: at 1,000,000 characters tiktoken's matcher runs out of stack.
-LONGEST_RUN = 500_000
+#: Texts with a whole block of white space go to the tokenizers library: in runs of 1,000,000 characters tiktoken's matcher runs out of stack.
+BLOCK = 250_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -88,7 +87,7 @@ class UnitEncoder:
         """Whether ``by_rank`` encodes ``text`` as the library does."""
         if self.by_rank is None or any(a in text for a in self.added):
             return False
-        return len(text) <= LONGEST_RUN or all(m.end() - m.start() <= LONGEST_RUN for m in _WHITE.finditer(text))
+        return not any(text[i : i + BLOCK].isspace() for i in range(0, len(text) - BLOCK + 1, BLOCK))
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         slow = [i for i, t in enumerate(texts) if not self.ranked(t)]
